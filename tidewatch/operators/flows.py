@@ -38,6 +38,11 @@ def window_totals(packets: DataFrame, p: Profile) -> DataFrame:
     )
 
 
+def tcp_packets(packets: DataFrame) -> DataFrame:
+    """TCP packets whose transport header could be read."""
+    return packets.filter((F.col("proto") == TCP) & F.col("dst_port").isNotNull())
+
+
 def flow_summaries(packets: DataFrame, p: Profile) -> DataFrame:
     """One row per TCP flow and capture window.
 
@@ -47,7 +52,7 @@ def flow_summaries(packets: DataFrame, p: Profile) -> DataFrame:
     """
     flags = F.col("tcp_flags")
     return (
-        packets.filter(F.col("proto") == TCP)
+        tcp_packets(packets)
         .groupBy(capture_window(p.capture_seconds), *FLOW_KEY)
         .agg(
             F.min(F.unix_micros("ts")).alias("first_us"),
@@ -158,8 +163,11 @@ def packet_gaps(packets: DataFrame, p: Profile) -> DataFrame:
     Packets are ordered inside one (flow, window); the packet before the window comes
     from the window summaries.
     """
-    tcp = packets.filter(F.col("proto") == TCP).withColumns(
-        {"_us": F.unix_micros("ts"), "window_start": F.window("ts", f"{p.capture_seconds} seconds")["start"]}
+    tcp = tcp_packets(packets).withColumns(
+        {
+            "_us": F.unix_micros("ts"),
+            "window_start": F.window("ts", f"{p.capture_seconds} seconds")["start"],
+        }
     )
     inside = Window.partitionBy(*FLOW_KEY, "window_start").orderBy("_us", "packet_id")
     ordered = tcp.withColumn("_lag", F.lag("_us").over(inside))

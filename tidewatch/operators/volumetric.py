@@ -100,19 +100,19 @@ def tumbling_entropy(
             F.array(
                 *[
                     F.struct(
-                        F.lit(c).alias("series"),
-                        bin_index(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), bins).alias("bin"),
+                        F.lit(c).alias("_series"),
+                        bin_index(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), bins).alias("_bin"),
                     )
                     for c in series
                 ]
             )
         ),
     )
-    share = F.col("n") / F.lit(float(size))
-    counts = binned.groupBy(*keys, "w", "series", "bin").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("_n") / F.lit(float(size))
+    counts = binned.groupBy(*keys, "w", "_series", "_bin").agg(F.count(F.lit(1)).alias("_n"))
 
     def entropy(c: str) -> Column:
-        mine = F.col("series") == c
+        mine = F.col("_series") == c
         if alpha == 1:
             return (-F.sum(F.when(mine, share * F.log2(share))) + F.lit(0.0)).alias(f"h_{c}")
         power_sum = F.sum(F.when(mine, F.pow(share, F.lit(float(alpha)))))
