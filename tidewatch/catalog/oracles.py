@@ -61,9 +61,9 @@ def d(value: float) -> str:
     return f"CAST({value!r} AS DOUBLE)"
 
 
-def r(expr: str, name: str) -> str:
+def r(expr: str, name: str, places: int = 6) -> str:
     """Rounded like the queries, without a negative zero."""
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    return f"round({expr}, {places}) + 0.0 AS {name}"
 
 
 def t(expr: str, name: str) -> str:
@@ -184,8 +184,8 @@ step("tcp", ["packets"], f"SELECT *, time_bucket({CAPTURE}, ts) AS w FROM packet
 step(
     "gaps",
     ["tcp"],
-    f"""SELECT *, CASE WHEN epoch_us(w) - epoch_us(prev) <= {P.flow_ttl_seconds} * 1000000
-THEN (epoch_us(ts) - epoch_us(prev)) / 1e6 END AS gap FROM (SELECT *, lag(ts) OVER (
+    f"""SELECT *, CASE WHEN epoch_us(w) - epoch_us(prev) <= CAST({P.flow_ttl_seconds} AS BIGINT) * 1000000
+THEN epoch_us(ts) - epoch_us(prev) END AS gap FROM (SELECT *, lag(ts) OVER (
 PARTITION BY src_ip, src_port, dst_ip, dst_port ORDER BY ts, packet_id) AS prev FROM tcp)""",
 )
 step(
@@ -194,7 +194,8 @@ step(
     """SELECT c.*, x.t_vol, x.n_req, x.s_len, row_number() OVER (PARTITION BY source_ip ORDER BY w) AS rn
 FROM (SELECT w, src_ip AS source_ip, count(DISTINCT dst_port) AS unique_ports,
 count(*) FILTER (tcp_flags & 2 <> 0) AS syn_count, count(*) FILTER (tcp_flags & 16 <> 0) AS ack_count,
-coalesce(sum(gap), 0) AS iat_sum, count(gap) AS iat_count, avg(gap) AS gap_mean, stddev_pop(gap) AS gap_std
+coalesce(sum(gap), 0) / 1e6 AS iat_sum, count(gap) AS iat_count,
+avg(gap / 1e6) AS gap_mean, stddev_pop(gap / 1e6) AS gap_std
 FROM gaps GROUP BY ALL) c JOIN totals x USING (w)""",
 )
 FLOW_MOVING = trailing("flow", "flows", "source_ip", P.trailing_rows, False, FLOW_MODEL)
@@ -237,7 +238,7 @@ SCORE = f"matches / {d(float(P.minhash_size))}"
 step(
     "stacked",
     [FLOW_MOVING, "flows", "similarity", "sources", "dns", "dns_entropy"],
-    f"""SELECT w AS ts, source_ip, velocity, acceleration, NULL AS jac, NULL AS ent,
+    f"""SELECT w AS ts, source_ip, velocity, acceleration, CAST(NULL AS DOUBLE) AS jac, CAST(NULL AS DOUBLE) AS ent,
 0 AS syn, 0 AS ack, 0 AS iat_sum, 0 AS iat_count FROM {FLOW_MOVING} JOIN flows USING (source_ip, rn)
 UNION ALL SELECT w, source_ip, NULL, NULL, NULL, NULL, syn_count, ack_count, iat_sum, iat_count FROM flows
 UNION ALL SELECT w, src_ip, NULL, NULL, {SCORE}, NULL, 0, 0, 0, 0 FROM similarity JOIN sources USING (w, target_port)
@@ -250,8 +251,8 @@ step(
 {mean('iat_sum', 'iat_count')} AS iat_mean, {ratio('syn', 'ack')} AS sa_ratio, jaccard_score, entropy_shannon
 FROM (SELECT time_bucket({EVALUATION}, ts) AS w, source_ip, coalesce(max(velocity), 0) AS velocity,
 coalesce(max(acceleration), 0) AS acceleration, coalesce(max(jac), 0) AS jaccard_score,
-coalesce(max(ent), 0) AS entropy_shannon, sum(syn) AS syn, sum(ack) AS ack, sum(iat_sum) AS iat_sum,
-sum(iat_count) AS iat_count FROM stacked GROUP BY ALL)""",
+coalesce(max(ent), 0) AS entropy_shannon, sum(syn) AS syn, sum(ack) AS ack,
+sum(CAST(round(iat_sum * 1e6) AS BIGINT)) / 1e6 AS iat_sum, sum(iat_count) AS iat_count FROM stacked GROUP BY ALL)""",
 )
 Z = d(SCORE_BIAS) + "".join(f" + {c} * {d(w)}" for c, w in SCORE_WEIGHTS.items())
 step("scored", ["features"], f"SELECT *, 1.0 / (1.0 + exp(-({Z}))) AS probability FROM features")
@@ -267,21 +268,21 @@ def posterior_steps(prefix: str, rows: str, needs: list[str]) -> None:
     step(
         f"{prefix}_rows",
         needs,
-        f"""SELECT source_ip, time, epoch_us(time) / 1000000 AS at,
+        f"""SELECT source_ip, time, epoch_us(time) / 1000000 AS sec,
 greatest(1e-5, least(1 - 1e-5, q)) AS a, row_number() OVER (PARTITION BY source_ip ORDER BY time) AS n
 FROM ({rows})""",
     )
-    prior = f"""CASE WHEN r.at - w.at > {P.gap_seconds}
-THEN greatest(w.posterior * pow({d(P.decay)}, floor((r.at - w.at) / {P.step_seconds})), {d(P.base_prior)})
+    prior = f"""CASE WHEN r.sec - w.sec > {P.gap_seconds}
+THEN greatest(w.posterior * pow({d(P.decay)}, floor((r.sec - w.sec) / {P.step_seconds})), {d(P.base_prior)})
 ELSE w.posterior END"""
     base = d(P.base_prior)
     step(
         f"{prefix}_walk",
         [f"{prefix}_rows"],
-        f"""SELECT source_ip, time, at, n, a * {base} / (a * {base} + (1 - a) * (1 - {base})) AS posterior
+        f"""SELECT source_ip, time, sec, n, a * {base} / (a * {base} + (1 - a) * (1 - {base})) AS posterior
 FROM {prefix}_rows WHERE n = 1
-UNION ALL SELECT source_ip, time, at, n, a * prior / (a * prior + (1 - a) * (1 - prior)) FROM (
-SELECT r.source_ip, r.time, r.at, r.n, r.a, {prior} AS prior
+UNION ALL SELECT source_ip, time, sec, n, a * prior / (a * prior + (1 - a) * (1 - prior)) FROM (
+SELECT r.source_ip, r.time, r.sec, r.n, r.a, {prior} AS prior
 FROM {prefix}_walk w JOIN {prefix}_rows r ON r.source_ip = w.source_ip AND r.n = w.n + 1)""",
     )
 
@@ -442,7 +443,9 @@ FROM packets GROUP BY 1) WINDOW o AS (ORDER BY score DESC)""",
 )
 
 MD5_ID = "md5('42-' || doc_id)"
-FEATURES_ROUNDED = ", ".join(r(c, c) for c in FEATURES)
+# exact microsecond sums: enough places that no value sits half way between two
+PLACES = {"iat_mean": 9}
+FEATURES_ROUNDED = ", ".join(r(c, c, PLACES.get(c, 6)) for c in FEATURES)
 H_ROUNDED = ", ".join(r(c, c) for c in ("h_t_vol", "h_n_req", "h_s_len"))
 SERIES = ("t_vol", "n_req", "s_len")
 FLOW_COLUMNS = f"""{t('w', 'window_start')}, source_ip, {r('t_vol', 't_vol')}, {r('n_req', 'n_req')}, {r('s_len', 's_len')},
@@ -468,12 +471,12 @@ GROUP BY w, ip_a, ip_b, port_a, port_b, proto""",
     ),
     "iat_ttl": sql(
         ["gaps"],
-        f"SELECT packet_id, src_ip AS source_ip, src_port, dst_ip, dst_port, {r('gap', 'iat')} FROM gaps WHERE gap IS NOT NULL",
+        f"SELECT packet_id, src_ip AS source_ip, src_port, dst_ip, dst_port, {r('gap / 1e6', 'iat')} FROM gaps WHERE gap IS NOT NULL",
     ),
     "sa_ratio": sql(
         ["flows"],
         f"""SELECT {t('w', 'window_start')}, source_ip, {r(ratio('syn_count', 'ack_count'), 'sa_ratio')},
-{r(mean('iat_sum', 'iat_count'), 'iat_mean')} FROM flows""",
+{r(mean('iat_sum', 'iat_count'), 'iat_mean', 9)} FROM flows""",
     ),
     "valid_ips": sql(
         ["packets"],
@@ -490,7 +493,7 @@ AND CAST(TRY_CAST(x AS INTEGER) AS VARCHAR) = x)) = 4 AND len(string_split(ip, '
     ),
     "stealth_labels": sql(
         ["flows"],
-        f"""SELECT {t('w', 'window_start')}, source_ip, unique_ports, {r('sa', 'sa_ratio')}, {r('m', 'iat_mean')}, {r('sd', 'iat_std')},
+        f"""SELECT {t('w', 'window_start')}, source_ip, unique_ports, {r('sa', 'sa_ratio', 3)}, {r('m', 'iat_mean', 3)}, {r('sd', 'iat_std', 3)},
 CASE WHEN unique_ports > {P.port_scan_ports} THEN 'Stealth Port Scan (Reconnaissance Phase)'
 WHEN sa > {P.syn_flood_ratio} THEN 'Stealth SYN Flood (State Exhaustion)'
 WHEN sd > {P.slow_floor} AND m > {P.slow_mean} AND sd < {P.slow_std} THEN 'Slowloris (Application-Layer DoS)'
@@ -560,8 +563,8 @@ FROM (SELECT series, w, {', '.join(f'avg({c}) AS a_{c}' for c in SERIES)} FROM w
     ),
     "series_stats": sql(
         ["lines"],
-        f"""SELECT {', '.join(r(f'avg({c})', f'mean_{c}') for c in SERIES)},
-{', '.join(r(f'stddev_pop({c})', f'std_{c}') for c in SERIES)} FROM lines""",
+        f"""SELECT {', '.join(r(f'avg({c})', f'mean_{c}', 4) for c in SERIES)},
+{', '.join(r(f'stddev_pop({c})', f'std_{c}', 4) for c in SERIES)} FROM lines""",
     ),
     "inf_clean": sql(
         ["lines"],
@@ -717,13 +720,13 @@ ORDER BY md5('42-' || id), id LIMIT (SELECT count(*) FROM x WHERE label = 0))"""
     "shuffled_labels": f"SELECT doc_id, quality, toxic, {MD5_ID} AS order_key FROM labels",
     "scaled_features": sql(
         ["stored"],
-        f"""SELECT {t('time', 'time')}, source_ip, {', '.join(r(f'({c} - m_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END', c) for c in FEATURES)}
+        f"""SELECT {t('time', 'time')}, source_ip, {', '.join(r(f'({c} - m_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END', c, PLACES.get(c, 6)) for c in FEATURES)}
 FROM stored, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS sd_{c}' for c in FEATURES)} FROM stored)""",
     ),
     "training_stats": sql(
         ["line_fit", "lines"],
-        f"""SELECT {r('avg(abs(actual - predicted))', 'mean_train')}, {r('stddev_pop(abs(actual - predicted))', 'sigma_train')},
-{', '.join(r(f'any_value(m_{c})', f'mean_{c}') + ', ' + r(f'any_value(sd_{c})', f'std_{c}') for c in SERIES)}
+        f"""SELECT {r('avg(abs(actual - predicted))', 'mean_train', 4)}, {r('stddev_pop(abs(actual - predicted))', 'sigma_train', 4)},
+{', '.join(r(f'any_value(m_{c})', f'mean_{c}', 4) + ', ' + r(f'any_value(sd_{c})', f'std_{c}', 4) for c in SERIES)}
 FROM line_fit, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS sd_{c}' for c in SERIES)} FROM lines)""",
     ),
     "ground_truth": sql(["packets"], f"SELECT packet_id, {TRUTH} AS is_attack, {NUMBER} AS \"interval\" FROM packets"),

@@ -47,22 +47,28 @@ from tidewatch.sources.tables import dns_queries, events_as_packets, read_table,
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+# means and deviations of large values, where the order of summation shows in later digits
+PLACES = {"series_stats": 4, "training_stats": 4, "stealth_labels": 3}
 
 
-def present(df: DataFrame) -> DataFrame:
-    """Comparable values: times as text, doubles to six places without a negative zero."""
+# exact microsecond sums: enough places that no value sits half way between two
+COLUMN_PLACES = {"iat_mean": 9}
+
+
+def present(df: DataFrame, places: int | None = None) -> DataFrame:
+    """Comparable values: times as text, doubles rounded and without a negative zero."""
     shown = {}
     for name, kind in df.dtypes:
         if kind == "timestamp":
             shown[name] = F.date_format(name, "yyyy-MM-dd HH:mm:ss")
         elif kind == "double":
-            shown[name] = F.round(name, 6) + F.lit(0.0)
+            shown[name] = F.round(name, places or COLUMN_PLACES.get(name, 6)) + F.lit(0.0)
     return df.withColumns(shown) if shown else df
 
 
 def query(build: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return present(build(spark, folder))
+        return present(build(spark, folder), PLACES.get(build.__name__))
 
     run.__name__, run.__doc__ = build.__name__, build.__doc__
     REGISTRY[build.__name__] = run
@@ -925,5 +931,8 @@ def frames_of(p: DataFrame) -> DataFrame:
 @query
 def frame_decode(spark, folder):
     """Packets packed into frames and decoded again."""
-    packed = frames_of(with_qname(spark, folder, packets(spark, folder)))
-    return frames.decode_frames(packed).drop("length")
+
+    def build(s: SparkSession, d: str) -> DataFrame:
+        return frames_of(with_qname(s, d, packets(s, d)))
+
+    return frames.decode_frames(staged(spark, folder, "frames", build)).drop("length")

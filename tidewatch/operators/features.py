@@ -81,6 +81,10 @@ def roll_up(features: DataFrame, p: Profile, ts: str = "ts") -> DataFrame:
     def total(column: str) -> Column:
         return F.coalesce(F.sum(of("stealth", column)), F.lit(0)).alias(column)
 
+    # whole microseconds, so that the sum does not depend on the order of the rows
+    gap_us = F.round(of("stealth", "iat_sum") * 1e6).cast("bigint")
+    gap_sum = F.coalesce(F.sum(gap_us), F.lit(0)) / F.lit(1e6)
+
     return (
         features.filter(F.col("source_ip") != UNKNOWN)
         .groupBy(F.window(ts, f"{p.evaluation_seconds} seconds").alias("window"), "source_ip")
@@ -91,7 +95,7 @@ def roll_up(features: DataFrame, p: Profile, ts: str = "ts") -> DataFrame:
             highest("dns", "entropy_shannon"),
             total("syn_count"),
             total("ack_count"),
-            total("iat_sum"),
+            gap_sum.alias("iat_sum"),
             total("iat_count"),
         )
         .select(

@@ -81,7 +81,7 @@ def is_idle(signature: Column) -> Column:
 def matching_positions(current: Column, previous: Column) -> Column:
     return F.size(
         F.filter(F.zip_with(current, previous, lambda x, y: x == y), lambda same: same)
-    )
+    ).cast("bigint")
 
 
 def jaccard_verdict(current: Column, previous: Column, threshold: float = 0.70) -> Column:
