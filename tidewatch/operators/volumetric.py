@@ -34,6 +34,12 @@ class EntropyModel:
     weights: tuple[float, ...]
     intercept: float
 
+    def predict(self, n: float, s: float) -> float:
+        """Single value, for the streaming state."""
+        terms = (n, s, n * n, n * s, s * s)
+        parts = zip(terms, self.center, self.scale, self.weights)
+        return self.intercept + sum((x - c) / r * w for x, c, r, w in parts)
+
 
 def poly_terms(n: Column, s: Column) -> dict[str, Column]:
     """Degree-2 expansion, without the constant."""
