@@ -816,6 +816,28 @@ FROM packets LEFT JOIN (SELECT packet_id, domain FROM dns) USING (packet_id) WHE
     ),
 }
 
+step(
+    "timeline_runs",
+    ["packets"],
+    f"""SELECT *, sum(CASE WHEN actual = before THEN 0 ELSE 1 END) OVER (PARTITION BY dst_ip ORDER BY ts, packet_id) AS run
+FROM (SELECT *, lag(actual) OVER (PARTITION BY dst_ip ORDER BY ts, packet_id) AS before
+FROM (SELECT *, {TRUTH} AS actual, CASE WHEN length > 75 THEN 1 ELSE 0 END AS predicted FROM packets))""",
+)
+step(
+    "timeline_adjusted",
+    ["timeline_runs"],
+    """SELECT dst_ip AS log, actual, CASE WHEN actual = 1 THEN max(predicted) OVER (PARTITION BY dst_ip, run)
+ELSE predicted END AS adjusted FROM timeline_runs""",
+)
+ORACLES["log_quality"] = sql(
+    ["timeline_adjusted"], rates("timeline_adjusted", "adjusted").replace("SELECT log, tp", "SELECT log AS dst_ip, tp", 1)
+)
+ORACLES["stream_events"] = sql(
+    ["stored"],
+    f"""SELECT {t('time', 'time')}, source_ip, 'aggregated' AS analyzer, {FEATURES_ROUNDED},
+{r('probability', 'probability')}, prediction FROM stored""",
+)
+
 step("short_frames", ["lines"], frames("lines", "series", P.trailing_rows, False))
 step("short_long", ["short_frames"], longer("short_frames", "series, rn"))
 step("short_h", ["short_long"], renyi("short_long", "series, rn", most=P.trailing_rows))

@@ -38,12 +38,14 @@ from tidewatch.operators import (
     volumetric,
 )
 from tidewatch.operators.ordering import number_rows
+from tidewatch.plans import evaluation, learning_loop, offline
 from tidewatch.session import stage_path
 from tidewatch.sinks import events as event_sink
 from tidewatch.sinks import messages as message_sink
 from tidewatch.sources import files, frames, messages
 from tidewatch.sources.schemas import FEATURE_COLUMNS
 from tidewatch.sources.tables import dns_queries, events_as_packets, read_table, with_qname
+from tidewatch.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -936,3 +938,91 @@ def frame_decode(spark, folder):
         return frames_of(with_qname(s, d, packets(s, d)))
 
     return frames.decode_frames(staged(spark, folder, "frames", build)).drop("length")
+
+
+@query
+def log_quality(spark, folder):
+    """Detections of fast windows against the recorded timeline."""
+    log = packets(spark, folder)
+    return evaluation.log_quality(
+        log, "ts", F.col("length") > 75, ["dst_ip"], [F.col("packet_id")]
+    )
+
+
+# ---- models (checked by properties, not by SQL) -------------------------------------
+
+
+def classifier_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return learning_loop.training_set(
+        recorded_features(spark, folder), events_table(spark, folder), as_of(), SPARSE, TRUSTED
+    )
+
+
+@query
+def mlp_scores(spark, folder):
+    """Windows scored by a classifier trained on the balanced set."""
+    network = models.fit_classifier(classifier_rows(spark, folder), models.ADAPTIVE_LAYERS, 40)
+    return network.score(scored_windows(spark, folder)).select(
+        "time", "source_ip", "probability", "prediction"
+    )
+
+
+@query
+def mlp_hold_out(spark, folder):
+    """Class report of the base classifier on held-out rows."""
+    _, scored = offline.train_base_classifier(classifier_rows(spark, folder), F.col("id"), 40)
+    return evaluate.class_report(scored, "label", "prediction")
+
+
+@query
+def regression_fit(spark, folder):
+    """Quality of an entropy regression fitted on these tables."""
+    entropies = line_entropies(spark, folder)
+    model = models.fit_entropy_model(entropies, F.concat_ws("-", "series", "w"))
+    return evaluate.regression_metrics(
+        evaluate.scored_rows(models.regression_rows(entropies, model), "actual", "predicted")
+    )
+
+
+# ---- streaming ----------------------------------------------------------------------
+
+CLOSING_IP = "10.255.255.1"
+
+
+def packet_files(spark: SparkSession, folder: str, path: str) -> None:
+    """Packets as a stream source, followed by packets that close the last windows."""
+    columns = [c.split()[0] for c in streams.PACKETS.split(", ")]
+    real = with_qname(spark, folder, packets(spark, folder)).select(*columns)
+    last = packets(spark, folder).agg(F.max("ts")).scalar()
+    later = last + F.make_dt_interval(days=F.col("id").cast("int") * 2)
+    closing = (
+        spark.range(1, 13)
+        .select("id", later.alias("ts"), F.explode(F.array(F.lit(network.TCP), F.lit(network.UDP))).alias("proto"))
+        .select(
+            (-F.col("id")).alias("packet_id"),
+            "ts",
+            F.lit(CLOSING_IP).alias("src_ip"),
+            F.lit("192.168.0.0").alias("dst_ip"),
+            F.lit(1).alias("src_port"),
+            F.when(F.col("proto") == network.UDP, 53).otherwise(80).alias("dst_port"),
+            "proto",
+            F.lit(16).alias("tcp_flags"),
+            F.lit(60).alias("length"),
+            F.when(F.col("proto") == network.UDP, "end.example").alias("qname"),
+        )
+    )
+    real.unionByName(closing).write.parquet(path)
+
+
+@query
+def stream_events(spark, folder):
+    """Events that the streaming stages store for the same packets."""
+    run = streams.Streams(
+        spark, stage_path(spark, "streams"), SPARSE, FLOW_MODEL, hosts=(HOST,)
+    )
+    packet_files(spark, folder, run.table("packets"))
+    run.run_once(lambda: lambda df: df.withColumn("probability", logistic_score()))
+    stored = event_sink.read_events(spark, run.table("events"))
+    return stored.filter(F.col("source_ip") != CLOSING_IP).select(
+        "time", "source_ip", "analyzer", *FEATURE_COLUMNS, "probability", "prediction"
+    )
