@@ -28,7 +28,7 @@ def same(a, b):
 
 
 def ordered(rows):
-    return sorted(rows, key=lambda row: [round(v, 3) if isinstance(v, float) else str(v) for v in row])
+    return sorted(rows, key=lambda row: [v if isinstance(v, float) else str(v) for v in row])
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -85,6 +85,7 @@ def test_bin_index_equals_numpy_histogram(spark):
         (".hidden", 0.0),
         ("", 0.0),
         ("nodots", 2.2516291673878226),
+        ("a\U0001f600\U0001f600.com", 0.9182958340544896),
     ],
 )
 def test_domain_entropy(spark, domain, want):

@@ -455,6 +455,11 @@ BALANCED_LINES = """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey
 CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS label FROM lineitem"""
 
 ORACLES: dict[str, str] = {
+    "transport_packets": sql(
+        ["packets"],
+        """SELECT proto, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets
+WHERE packet_id % 10 <> 0 GROUP BY proto""",
+    ),
     "flow_window_totals": sql(
         ["totals"],
         f"SELECT {t('w', 'window_start')}, {r('t_vol', 't_vol')}, {r('n_req', 'n_req')}, {r('s_len', 's_len')} FROM totals",

@@ -44,7 +44,13 @@ from tidewatch.sinks import events as event_sink
 from tidewatch.sinks import messages as message_sink
 from tidewatch.sources import files, frames, messages
 from tidewatch.sources.schemas import FEATURE_COLUMNS
-from tidewatch.sources.tables import dns_queries, events_as_packets, read_table, with_qname
+from tidewatch.sources.tables import (
+    dns_queries,
+    events_as_packets,
+    only_transport,
+    read_table,
+    with_qname,
+)
 from tidewatch.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +215,17 @@ def packet_scores(spark: SparkSession, folder: str) -> DataFrame:
 # ---- flows --------------------------------------------------------------------------
 
 
+@query
+def transport_packets(spark, folder):
+    """TCP and UDP packets per protocol, with some packets renamed to other protocols."""
+    mixed = packets(spark, folder).withColumn(
+        "proto", F.when(F.col("packet_id") % 10 == 0, 1).otherwise(F.col("proto"))
+    )
+    return only_transport(mixed).groupBy("proto").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes")
+    )
+
+
 @query
 def flow_window_totals(spark, folder):
     """Volume of each capture window."""
@@ -392,13 +409,17 @@ def offline_features(spark, folder):
 @query
 def stability_check(spark, folder):
     """Count windows that leave the batch mean by a tenth of its deviation."""
-    return volumetric.stability_flags(numbered_lines(spark, folder), ["series"], SPARSE.offline_rows)
+    return volumetric.stability_flags(
+        numbered_lines(spark, folder), ["series"], SPARSE.offline_rows, line_series(spark, folder)
+    )
 
 
 @query
 def any_violation(spark, folder):
     """Whether any window of the batch is unstable."""
-    flags = volumetric.stability_flags(numbered_lines(spark, folder), ["series"], SPARSE.offline_rows)
+    flags = volumetric.stability_flags(
+        numbered_lines(spark, folder), ["series"], SPARSE.offline_rows, line_series(spark, folder)
+    )
     return volumetric.any_violation(flags, [f"unstable_{c}" for c in volumetric.SERIES])
 
 
@@ -414,7 +435,9 @@ def zscore_chebyshev(spark, folder):
 @query
 def burst_signature(spark, folder):
     """Burst or flood label of each count window of five rows."""
-    return volumetric.burst_signatures(numbered_lines(spark, folder), ["series"], 5, k=0.8)
+    return volumetric.burst_signatures(
+        numbered_lines(spark, folder), ["series"], 5, line_series(spark, folder), k=0.8
+    )
 
 
 @query
@@ -852,9 +875,8 @@ def json_decode(spark, folder):
         F.when(F.length("key") % 2 == 0, F.regexp_replace("value", '"syn_count":[0-9]+,', ""))
         .otherwise(F.col("value"))
     )
-    whole = sent.withColumn("value", value)
-    cut = sent.withColumn("value", F.substring("value", 1, 20))
-    return messages.decode_flows(whole.unionByName(cut))
+    both = F.explode(F.array(value, F.substring("value", 1, 20)))
+    return messages.decode_flows(sent.withColumn("value", both))
 
 
 @query

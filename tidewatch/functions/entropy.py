@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.folds import let
+
 # fixed value: window used when the asked one holds fewer than two rows
 DEFAULT_WINDOW = 1000
 
@@ -116,18 +118,16 @@ def first_label(domain: Column) -> Column:
 
 def domain_entropy(domain: Column) -> Column:
     """Shannon entropy of the characters before the first dot, case-sensitive."""
-    chars = F.split(first_label(domain), "")
-
-    def over_chars(letters: Column) -> Column:
-        total = F.size(letters).cast("double")
-        shares = F.transform(
-            F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / total
-        )
-        return F.aggregate(shares, F.lit(0.0), lambda acc, s: acc - s * F.log2(s))
-
-    letters = F.filter(chars, lambda c: c != "")
-    blank = domain.isNull() | (first_label(domain) == "")
-    return F.when(blank, 0.0).otherwise(F.transform(F.array(letters), over_chars)[0] + F.lit(0.0))
+
+    def of_label(text: Column) -> Column:
+        size = F.length(text).cast("double")
+        letters = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+        shares = F.transform(letters, lambda c: (size - F.length(F.replace(text, c))) / size)
+        return F.aggregate(shares, F.lit(0.0), lambda acc, s: acc - s * F.log2(s)) + F.lit(0.0)
+
+    return let(
+        first_label(domain), lambda text: F.when(F.length(text) > 0, of_label(text)).otherwise(0.0)
+    )
 
 
 def cell_entropy(domain: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.entropy import bin_index
 from tidewatch.functions.network import guarded_ratio, seconds_of_day
 from tidewatch.operators.ordering import running_totals
+from tidewatch.operators.scalars import row_of
 
 
 @dataclass(frozen=True)
@@ -234,10 +235,8 @@ def score_curve(df: DataFrame, score: str, actual: str = "actual", bands: int =
     curve = running_totals(
         groups, [], [band], [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}
     )
-    totals = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return curve.withColumns(
-        {"p": totals.select("p").scalar(), "n": totals.select("n").scalar()}
-    )
+    totals = row_of(groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
+    return curve.withColumns({"p": totals["p"], "n": totals["n"]})
 
 
 def roc_points(curve: DataFrame) -> DataFrame:
@@ -296,8 +295,7 @@ def regression_metrics(rows: DataFrame) -> DataFrame:
 
 def residual_histogram(rows: DataFrame, bins: int = 15) -> DataFrame:
     """Counts of equal-width residual bins between the smallest and the largest."""
-    ends = rows.agg(F.min("residual").alias("low"), F.max("residual").alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    tagged = rows.withColumns({"_low": low, "_high": high})
+    ends = row_of(rows.agg(F.min("residual").alias("low"), F.max("residual").alias("high")))
+    tagged = rows.withColumns({"_low": ends["low"], "_high": ends["high"]})
     index = bin_index(F.col("residual"), F.col("_low"), F.col("_high"), F.lit(bins))
     return tagged.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import Profile
+from tidewatch.operators.scalars import row_of
 from tidewatch.sources.schemas import FEATURE_COLUMNS
 
 SEED = 42
@@ -142,8 +143,10 @@ def scaling_stats(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> Da
 def scaled(df: DataFrame, stats: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """Standardised columns; a constant column is only centred."""
 
+    row = row_of(stats)
+
     def one(c: str) -> Column:
-        std = stats.select(f"std_{c}").scalar()
-        return (F.col(c) - stats.select(f"mean_{c}").scalar()) / F.when(std == 0, 1.0).otherwise(std)
+        std = row[f"std_{c}"]
+        return (F.col(c) - row[f"mean_{c}"]) / F.when(std == 0, 1.0).otherwise(std)
 
     return df.withColumns({c: one(c) for c in columns})

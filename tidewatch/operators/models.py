@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.learning import in_test_split, scaling_stats
+from tidewatch.operators.scalars import row_of
 from tidewatch.operators.volumetric import (
     SERIES,
     TERMS,
@@ -76,7 +77,8 @@ def training_stats(rows: DataFrame, raw: DataFrame) -> DataFrame:
     residual = F.abs(F.col("actual") - F.col("predicted"))
     stats = rows.agg(F.avg(residual).alias("mean_train"), F.stddev_pop(residual).alias("sigma_train"))
     raw_stats = series_stats(raw, SERIES)
-    return stats.withColumns({c: raw_stats.select(c).scalar() for c in raw_stats.columns})
+    row = row_of(raw_stats)
+    return stats.withColumns({c: row[c] for c in raw_stats.columns})
 
 
 @dataclass

@@ -16,6 +16,7 @@ from tidewatch.functions.entropy import (
     renyi_of_frame,
 )
 from tidewatch.operators.ordering import DEFAULT_BLOCK, over_blocks
+from tidewatch.operators.scalars import row_of
 
 SERIES = ["t_vol", "n_req", "s_len"]
 TERMS = ["n_req", "s_len", "n_req_sq", "n_req_s_len", "s_len_sq"]
@@ -244,12 +245,10 @@ def replace_infinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     finite = {
         c: F.when(~F.col(c).isin(float("inf"), float("-inf")), F.col(c)) for c in columns
     }
-    means = df.agg(*[F.avg(finite[c]).alias(c) for c in columns])
+    means = row_of(df.agg(*[F.avg(finite[c]).alias(c) for c in columns]))
     return df.withColumns(
         {
-            c: F.when(
-                F.col(c).isin(float("inf"), float("-inf")), means.select(c).scalar()
-            ).otherwise(F.col(c))
+            c: F.when(F.col(c).isin(float("inf"), float("-inf")), means[c]).otherwise(F.col(c))
             for c in columns
         }
     )
@@ -264,18 +263,21 @@ def series_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def stability_flags(
-    numbered: DataFrame, keys: Sequence[str], size: int, series: Sequence[str] = SERIES, factor: float = 0.1
+    numbered: DataFrame,
+    keys: Sequence[str],
+    size: int,
+    batch: DataFrame,
+    series: Sequence[str] = SERIES,
+    factor: float = 0.1,
 ) -> DataFrame:
     """Per count window: does any row leave mean ± factor * deviation of its series?
 
-    Mean and deviation are those of the whole batch.
+    Mean and deviation are those of the whole `batch`, the rows before they were numbered.
     """
-    stats = series_stats(numbered, series)
+    stats = row_of(series_stats(batch, series))
     windows = tumbling_windows(numbered, keys, size)
     deviates = {
-        c: F.abs(F.col(c) - stats.select(f"mean_{c}").scalar())
-        > F.lit(factor) * stats.select(f"std_{c}").scalar()
-        for c in series
+        c: F.abs(F.col(c) - stats[f"mean_{c}"]) > F.lit(factor) * stats[f"std_{c}"] for c in series
     }
     return windows.groupBy(*keys, "w").agg(
         *[F.max(deviates[c]).alias(f"unstable_{c}") for c in series],
@@ -321,12 +323,12 @@ def burst_label(
 
 
 def burst_signatures(
-    numbered: DataFrame, keys: Sequence[str], size: int, k: float = 5.0
+    numbered: DataFrame, keys: Sequence[str], size: int, batch: DataFrame, k: float = 5.0
 ) -> DataFrame:
-    """Labels each full count window against the statistics of the whole batch."""
-    stats = series_stats(numbered, SERIES)
-    mean = {c: stats.select(f"mean_{c}").scalar() for c in SERIES}
-    std = {c: stats.select(f"std_{c}").scalar() for c in SERIES}
+    """Labels each full count window against the statistics of the whole `batch`."""
+    stats = row_of(series_stats(batch, SERIES))
+    mean = {c: stats[f"mean_{c}"] for c in SERIES}
+    std = {c: stats[f"std_{c}"] for c in SERIES}
     averages = tumbling_windows(numbered, keys, size).groupBy(*keys, "w").agg(
         *[F.avg(c).alias(f"avg_{c}") for c in SERIES]
     )

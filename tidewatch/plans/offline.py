@@ -76,6 +76,7 @@ def hold_out_quality(scored: DataFrame) -> dict[str, DataFrame]:
 def check_batch(
     numbered: DataFrame,
     keys: Sequence[str],
+    batch: DataFrame,
     p: Profile,
     model: EntropyModel,
     mean_train: float,
@@ -86,7 +87,7 @@ def check_batch(
 
     Returns the anomalous windows; none when the first step finds the batch stable.
     """
-    flags = volumetric.stability_flags(numbered, keys, p.offline_rows)
+    flags = volumetric.stability_flags(numbered, keys, p.offline_rows, batch)
     unstable = volumetric.any_violation(
         flags, [f"unstable_{c}" for c in volumetric.SERIES]
     ).scalar()

@@ -71,8 +71,7 @@ def question_name(data: Column, offset: Column) -> Column:
                 joined = F.when(s["text"] == "", text).otherwise(F.concat(s["text"], F.lit("."), text))
                 whole = F.octet_length(name) >= s["at"] + 1 + n
                 return (
-                    F.when(s["end"] != 0, s)
-                    .when(n == 0, F.struct(s["at"], s["text"], F.lit(1).alias("end")))
+                    F.when(n == 0, F.struct(s["at"], s["text"], F.lit(1).alias("end")))
                     .when(
                         n.isNull() | (n > 63) | ~whole,
                         F.struct(s["at"], s["text"], F.lit(-1).alias("end")),
@@ -82,7 +81,7 @@ def question_name(data: Column, offset: Column) -> Column:
                     )
                 )
 
-            return let(number(name, s["at"], 1), take)
+            return F.when(s["end"] != 0, s).otherwise(let(number(name, s["at"], 1), take))
 
         done = F.aggregate(F.sequence(F.lit(0), F.lit(MAX_LABELS)), start, label)
         return let(done, lambda d: F.when((d["end"] == 1) & (d["text"] != ""), d["text"]))

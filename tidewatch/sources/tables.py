@@ -34,10 +34,12 @@ def _flags(event_type: Column) -> Column:
 
 
 def events_as_packets(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads `events` rows as packet headers."""
-    events = read_table(spark, folder, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    """Reads `events` rows as packet headers; all of them are TCP or UDP."""
+    k = F.col("k")
     user = F.col("user_id")
+    events = read_table(spark, folder, "events").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("int")
+    )
     parsed = events.select(
         F.col("event_id").alias("packet_id"),
         "ts",
@@ -53,20 +55,16 @@ def events_as_packets(spark: SparkSession, folder: str) -> DataFrame:
         "event_type",
         (F.lit(40) + F.floor("value")).cast("int").alias("length"),
     )
-    return only_transport(
-        parsed.select(
-            "packet_id",
-            "ts",
-            "src_ip",
-            "dst_ip",
-            "src_port",
-            "dst_port",
-            F.when(F.col("dst_port") == 53, UDP).otherwise(TCP).alias("proto"),
-            F.when(F.col("dst_port") == 53, 0).otherwise(_flags(F.col("event_type"))).alias(
-                "tcp_flags"
-            ),
-            "length",
-        )
+    return parsed.select(
+        "packet_id",
+        "ts",
+        "src_ip",
+        "dst_ip",
+        "src_port",
+        "dst_port",
+        F.when(F.col("dst_port") == 53, UDP).otherwise(TCP).alias("proto"),
+        F.when(F.col("dst_port") == 53, 0).otherwise(_flags(F.col("event_type"))).alias("tcp_flags"),
+        "length",
     )
 
 
