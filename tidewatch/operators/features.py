@@ -15,16 +15,6 @@ from tidewatch.operators.volumetric import EntropyModel, flow_kinematics
 UNKNOWN = "Unknown"
 
 
-def volumetric_features(flows: DataFrame, p: Profile, model: EntropyModel) -> DataFrame:
-    return flow_kinematics(flows, p.trailing_rows, model, p.renyi_alpha).select(
-        F.col("window_start").alias("ts"),
-        "source_ip",
-        F.lit("volumetric").alias("analyzer"),
-        "velocity",
-        "acceleration",
-    )
-
-
 def stealth_features(flows: DataFrame) -> DataFrame:
     return flows.select(
         F.col("window_start").alias("ts"),
@@ -37,6 +27,31 @@ def stealth_features(flows: DataFrame) -> DataFrame:
     )
 
 
+def flow_features(flows: DataFrame, p: Profile, model: EntropyModel) -> DataFrame:
+    """Both analyzers of the flow rows in one pass.
+
+    As two branches, each would prune other columns and the packets would be read and
+    aggregated once per branch.
+    """
+    moving = flow_kinematics(flows, p.trailing_rows, model, p.renyi_alpha)
+    volumes = ["velocity", "acceleration"]
+    counters = ["syn_count", "ack_count", "iat_sum", "iat_count"]
+    kinds = dict(moving.dtypes)
+
+    def row(analyzer: str, own: list[str]) -> Column:
+        metrics = [
+            (F.col(c) if c in own else F.lit(None).cast(kinds[c])).alias(c)
+            for c in (*volumes, *counters)
+        ]
+        return F.struct(F.lit(analyzer).alias("analyzer"), *metrics)
+
+    return moving.select(
+        F.col("window_start").alias("ts"),
+        "source_ip",
+        F.inline(F.array(row("volumetric", volumes), row("stealth", counters))),
+    )
+
+
 def spatial_features(similarity: DataFrame) -> DataFrame:
     return similarity.select(
         F.col("window_start").alias("ts"),
@@ -119,8 +134,7 @@ def window_features(
     flows = flow_rows(packets, p)
     return roll_up(
         unify(
-            volumetric_features(flows, p, model),
-            stealth_features(flows),
+            flow_features(flows, p, model),
             spatial_features(similarity_per_source(packets, p)),
             dns_features(queries),
         ),
