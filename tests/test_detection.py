@@ -105,6 +105,14 @@ def test_similarity_needs_the_adjacent_window(spark):
     assert log.count() == 5
 
 
+def test_similarity_log_spans_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SPINE_CHUNK", 4)
+    p = replace(LIVE, capture_seconds=10)
+    rows = [(i, T0 + dt.timedelta(seconds=s), "10.0.0.1", "192.168.0.1", 1, 80, 6, 2, 60) for i, s in enumerate((3, 205))]
+    log = spatial.similarity_log(spark.createDataFrame(rows, PACKET), p).orderBy("window_start").collect()
+    assert [r["window_start"] for r in log] == [T0 + dt.timedelta(seconds=10 * i) for i in range(1, 21)]
+
+
 def window_row(ip, seconds, probability, **changes):
     values = dict(velocity=1.0, acceleration=0.0, iat_mean=0.5, sa_ratio=1.0, jaccard_score=0.0, entropy_shannon=0.0)
     values.update(changes)

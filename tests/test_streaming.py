@@ -1,5 +1,6 @@
 """Streaming stages against the batch run, and a restart."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import queries
@@ -16,6 +17,15 @@ def rounded(df):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in kinds])
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each stage keeps one state store per shuffle partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_stream_equals_batch_and_restarts_cleanly(spark, folder, tmp_path):
     run = Streams(spark, str(tmp_path), SPARSE, FLOW_MODEL, hosts=(HOST,))
     packets = str(tmp_path / "all")
@@ -30,7 +40,9 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, folder, tmp_path):
     first = spark.read.parquet(run.table("events")).count()
     whole.filter(F.col("ts") >= middle).coalesce(1).write.mode("append").parquet(run.table("packets"))
     run.run_once(score)
-    run.run_once(score)
+    # a restart without new input adds nothing
+    for stage in (run.kinematics, run.posteriors, run.events):
+        stage().awaitTermination()
 
     stored = spark.read.parquet(run.table("events")).filter(F.col("source_ip") != queries.CLOSING_IP)
     want = rounded(queries.events_table(spark, folder))

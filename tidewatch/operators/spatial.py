@@ -15,6 +15,8 @@ PRIME = 4294967311
 SEED = 42
 IDLE = -1
 
+SPINE_CHUNK = 4096
+
 
 def coefficients(k: int) -> list[tuple[int, int]]:
     """The k (a, b) pairs, drawn in order from one seeded generator."""
@@ -172,15 +174,28 @@ def similarity_log(packets: DataFrame, p: Profile) -> DataFrame:
     scores = signature_similarity(
         signatures(port_sources(packets, p), p), first_capture_window(packets, p), p
     )
-    step = f"interval {p.capture_seconds} seconds"
+    step_us = p.capture_seconds * 1_000_000
+    first_us = F.unix_micros(F.window("low", f"{p.capture_seconds} seconds")["start"])
+    # numbers of the windows, in chunks so that no single row holds them all
     spine = (
         packets.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+        .select(first_us.alias("first_us"), F.unix_micros("high").alias("last_us"))
+        .withColumn("count", F.floor((F.col("last_us") - F.col("first_us")) / step_us))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.col("count") / SPINE_CHUNK))))
+        .withColumn(
+            "n",
+            F.explode(
+                F.sequence(
+                    F.col("chunk") * SPINE_CHUNK,
+                    F.least(F.col("count"), (F.col("chunk") + 1) * SPINE_CHUNK - 1),
+                )
+            ),
+        )
+        .filter(F.col("n") > 0)
         .select(
-            F.window("low", f"{p.capture_seconds} seconds")["start"].alias("low"), "high"
+            F.timestamp_micros(F.col("first_us") + F.col("n") * step_us).alias("window_start"),
+            F.lit(p.target_port).alias("target_port"),
         )
-        .select(F.explode(F.expr(f"sequence(low, high, {step})")).alias("window_start"), "low")
-        .filter(F.col("window_start") > F.col("low"))
-        .select("window_start", F.lit(p.target_port).alias("target_port"))
     )
     return spine.join(scores, ["window_start", "target_port"], "left").select(
         "window_start", "target_port", F.coalesce("jaccard_score", F.lit(0.0)).alias("jaccard_score")

@@ -20,11 +20,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and stage tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    a local test session, a temporary folder is made and remembered for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a temporary folder, which is remembered for the session.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set(CHECKPOINT_KEY, configured)
     if spark.sparkContext.getCheckpointDir() is None:
