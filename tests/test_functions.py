@@ -41,6 +41,12 @@ def test_renyi_known_answers(spark):
         assert got[i] == pytest.approx(want, abs=1e-12)
 
 
+def test_frame_without_values_has_no_entropy(spark):
+    df = spark.createDataFrame([(1, []), (2, [1.0, 2.0]), (3, [])], "i int, a array<double>").coalesce(1)
+    got = {r[0]: r[1] for r in df.select("i", entropy.renyi_of_frame(10)("a")).collect()}
+    assert got == {1: None, 2: 1.0, 3: None}
+
+
 def test_shannon_case(spark):
     df = spark.createDataFrame([([1.0, 1.0, 1.0, 1.0, 100.0],)], "a array<double>")
     assert df.select(entropy.renyi_of_frame(1)("a")).first()[0] == pytest.approx(0.7219280948873623)

@@ -522,6 +522,7 @@ entropy > {P.dga_entropy} AS "is_DGA", {d(P.dga_entropy)} AS threshold FROM dns
         f"""SELECT {t('ts', 'ts')}, source_ip, 'dns' AS analyzer, {r('entropy', 'entropy_shannon')}
 FROM dns JOIN dns_entropy USING (domain)""",
     ),
+    "count_windows": sql(["windows20"], "SELECT series, w, rn, t_vol, n_req, s_len FROM windows20"),
     "renyi_tumbling": sql(["line_wide"], f"SELECT series, w, {H_ROUNDED} FROM line_wide"),
     "shannon_tumbling": sql(["line_wide1"], f"SELECT series, w, {H_ROUNDED} FROM line_wide1"),
     "entropy_residual": sql(

@@ -351,6 +351,14 @@ def dns_fanout(spark, folder):
 # ---- entropy and kinematics ---------------------------------------------------------
 
 
+@query
+def count_windows(spark, folder):
+    """Rows of the full 20-row windows, with their window number."""
+    return volumetric.tumbling_windows(
+        numbered_lines(spark, folder), ["series"], SPARSE.offline_rows
+    ).select("series", "w", "rn", "t_vol", "n_req", "s_len")
+
+
 @query
 def renyi_tumbling(spark, folder):
     """Rényi entropy of 20-row windows per supplier."""

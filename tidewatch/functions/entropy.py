@@ -58,16 +58,15 @@ def bin_index(value: Column, low: Column, high: Column, bins: Column) -> Column:
     return settled_bin(guessed_bin(value, start, width, bins), value, start, width, bins)
 
 
-def renyi_from_power_sum(power_sum: Column, alpha: int) -> Column:
-    """Rényi entropy from sum(p^alpha); 0.0 is added so that -0.0 never shows."""
-    return F.log2(power_sum) * F.lit(1.0 / (1 - alpha)) + F.lit(0.0)
-
-
 def frame_entropies(values: np.ndarray, lengths: np.ndarray, alpha: int) -> np.ndarray:
     """Rényi entropy of many short frames stored one after the other.
 
-    Same bins and edge rule as `bin_index`; every frame has at least one value.
+    Same bins and edge rule as `bin_index`. A frame without values has no entropy.
     """
+    if not lengths.all():
+        full = np.full(len(lengths), np.nan)
+        full[lengths > 0] = frame_entropies(values, lengths[lengths > 0], alpha)
+        return full
     if len(lengths) == 0:
         return np.empty(0)
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -107,7 +106,7 @@ def renyi_of_frame(alpha: int = 10):
     def entropy(frames: pa.Array) -> pa.Array:
         lengths = pc.list_value_length(frames).to_numpy(zero_copy_only=False)
         values = frames.flatten().to_numpy(zero_copy_only=False)
-        return pa.array(frame_entropies(values, lengths, alpha))
+        return pa.array(frame_entropies(values, lengths, alpha), from_pandas=True)
 
     return entropy
 

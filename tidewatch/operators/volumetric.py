@@ -8,13 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewatch.functions.entropy import (
-    bin_count,
-    bin_index,
-    effective_window,
-    renyi_from_power_sum,
-    renyi_of_frame,
-)
+from tidewatch.functions.entropy import effective_window, renyi_of_frame
 from tidewatch.operators.ordering import DEFAULT_BLOCK, over_blocks
 from tidewatch.operators.scalars import row_of
 
@@ -82,6 +76,19 @@ def tumbling_windows(numbered: DataFrame, keys: Sequence[str], size: int, rn: st
     )
 
 
+def full_windows(
+    numbered: DataFrame, keys: Sequence[str], size: int, *measures: Column, rn: str = "rn"
+) -> DataFrame:
+    """Aggregates each full count window: (keys, w, measures)."""
+    size = effective_window(size)
+    return (
+        numbered.groupBy(*keys, F.floor((F.col(rn) - 1) / size).alias("w"))
+        .agg(F.count(F.lit(1)).alias("_rows"), *measures)
+        .filter(F.col("_rows") == size)
+        .drop("_rows")
+    )
+
+
 def tumbling_entropy(
     numbered: DataFrame,
     keys: Sequence[str],
@@ -90,42 +97,15 @@ def tumbling_entropy(
     series: Sequence[str] = SERIES,
     rn: str = "rn",
 ) -> DataFrame:
-    """Rényi entropy of each series per full count window: (keys, w, h_<series>)."""
-    size = effective_window(size)
-    bins = F.lit(bin_count(size))
-    whole = Window.partitionBy(*keys, "w")
-    windows = tumbling_windows(numbered, keys, size, rn)
-    ranged = windows.withColumns(
-        {f"_lo_{c}": F.min(c).over(whole) for c in series}
-        | {f"_hi_{c}": F.max(c).over(whole) for c in series}
-    )
-    # at most `size` rows per window, so the bins of all series fit one short list
-    binned = ranged.select(
-        *keys,
-        "w",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("_series"),
-                        bin_index(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), bins).alias("_bin"),
-                    )
-                    for c in series
-                ]
-            )
-        ),
-    )
-    share = F.col("_n") / F.lit(float(size))
-    counts = binned.groupBy(*keys, "w", "_series", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    """Rényi entropy of each series per full count window: (keys, w, h_<series>).
 
-    def entropy(c: str) -> Column:
-        mine = F.col("_series") == c
-        if alpha == 1:
-            return (-F.sum(F.when(mine, share * F.log2(share))) + F.lit(0.0)).alias(f"h_{c}")
-        power_sum = F.sum(F.when(mine, F.pow(share, F.lit(float(alpha)))))
-        return renyi_from_power_sum(power_sum, alpha).alias(f"h_{c}")
-
-    return counts.groupBy(*keys, "w").agg(*[entropy(c) for c in series])
+    The rows of a window meet as one short list per series, `size` values long.
+    """
+    entropy = renyi_of_frame(alpha)
+    frames = full_windows(
+        numbered, keys, size, *[F.collect_list(c).alias(f"_f_{c}") for c in series], rn=rn
+    )
+    return frames.select(*keys, "w", *[entropy(f"_f_{c}").alias(f"h_{c}") for c in series])
 
 
 def tumbling_residuals(
@@ -275,15 +255,16 @@ def stability_flags(
     Mean and deviation are those of the whole `batch`, the rows before they were numbered.
     """
     stats = row_of(series_stats(batch, series))
-    windows = tumbling_windows(numbered, keys, size)
     deviates = {
         c: F.abs(F.col(c) - stats[f"mean_{c}"]) > F.lit(factor) * stats[f"std_{c}"] for c in series
     }
-    return windows.groupBy(*keys, "w").agg(
+    any_series = F.greatest(*[deviates[c].cast("int") for c in series]) == 1
+    return full_windows(
+        numbered,
+        keys,
+        size,
         *[F.max(deviates[c]).alias(f"unstable_{c}") for c in series],
-        F.count_if(
-            F.greatest(*[deviates[c].cast("int") for c in series]) == 1
-        ).alias("unstable_rows"),
+        F.count_if(any_series).alias("unstable_rows"),
     )
 
 
@@ -329,8 +310,8 @@ def burst_signatures(
     stats = row_of(series_stats(batch, SERIES))
     mean = {c: stats[f"mean_{c}"] for c in SERIES}
     std = {c: stats[f"std_{c}"] for c in SERIES}
-    averages = tumbling_windows(numbered, keys, size).groupBy(*keys, "w").agg(
-        *[F.avg(c).alias(f"avg_{c}") for c in SERIES]
+    averages = full_windows(
+        numbered, keys, size, *[F.avg(c).alias(f"avg_{c}") for c in SERIES]
     )
     return averages.withColumn(
         "label", burst_label({c: F.col(f"avg_{c}") for c in SERIES}, mean, std, k)
