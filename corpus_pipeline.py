@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import contamination, exact, packing, quality
+from tidewatch.llm import contamination, exact, neardup, packing, quality
 from tidewatch.llm.common import staged
 from tidewatch.sources.tables import read_table
 
@@ -23,6 +23,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five-word shingles)."""
+    return neardup.drop_near(docs, percent=80, size=5)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     return contamination.keep_uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -36,6 +41,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]

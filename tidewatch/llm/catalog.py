@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import contamination, exact, extraction, langid, packing, quality, secrets
+from tidewatch.llm import contamination, exact, extraction, langid, neardup, packing, quality, secrets, substrings, suffixes
 from tidewatch.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,14 +17,26 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_languages(docs, langid.fit_languages(docs))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeat_report(read_table(spark, folder, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.string_report(read_table(spark, folder, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract_main_text(read_table(spark, folder, "pages"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, folder, "documents")).drop("text_hash")
+
+
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(read_table(spark, folder, "documents"))
 
@@ -48,8 +60,11 @@ REGISTRY: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_substring_dedup,
         op3_best_fit_packing,
+        op4_suffix_array_dedup,
         op5_html_extraction,
+        op6_minhash_near_dedup,
         op7_secret_scan,
         op8_quality_classifier,
         op9_exact_dedup,
