@@ -12,9 +12,10 @@ posted. Two classes whose similarity reaches the limit agree in at least `matche
 
 Within a posting list classes are first joined to the list's smallest class only. The
 links that hold on full sets give components; lists whose members are all in one component
-are done. In the others each class outside the first component is compared with the rest,
-so that no pair of different components that meets anywhere goes unseen, while a large
-group of near copies costs one pair per copy and list. Every link is confirmed on the full
+are done. In the others each class outside the first component meets `PIVOTS` members of
+it, and what is still apart meets all the rest, in blocks where a list is large. So no pair of different components that
+meets anywhere goes unseen, while a large group of near copies costs a few pairs per copy
+and list. Every link is confirmed on the full
 sets of shingle hashes.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,9 @@ SHINGLE = 2
 PERCENT = 80
 MISS = 1e-7
 SEED = 20_011
+PIVOTS = 8
+LIST_PAIRS = 10_000  # beyond so many pairs a list's open nodes are compared in blocks
+BLOCK = 2_000
 
 
 def least_matches(n: int, p: float, miss: float = MISS) -> int:
@@ -145,13 +150,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return compared.filter(agree >= matches).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
-
-    The sets are made again from one text of each class in a pair.
-    """
-    pairs = staged(pairs, "candidates")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node and its full set, made again from one text of each class."""
     wanted = classes.select("node", "text_hash", "set_key").join(nodes, "node", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     # a class is found by the hash of one of its texts; equal texts are sent once
     texts = id_text(docs).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     found = texts.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "set_key", "text")
-    sets = staged(found.mapInArrow(hashed, "node bigint, set array<bigint>"), "sets")
+    return staged(found.mapInArrow(hashed, "node bigint, set array<bigint>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     compared = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(
         sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b"
     )
@@ -197,53 +201,111 @@ def _posts(classes: DataFrame, matches: int) -> DataFrame:
     return prefix.join(classes.select("node", "n_shingles", "bits"), "node")
 
 
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes outside their list's first component (`main`) to the list's others.
+
+    `members` (main, node, component) are the nodes of large lists. The nodes outside are
+    the queries; per `main` they meet all members in blocks of about `BLOCK` by `BLOCK`
+    nodes. Of the links from one node to one component, one is returned.
+    """
+    sizes = members.groupBy("main").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("rows"),
+        F.ceil(F.sum((F.col("component") != F.col("main")).cast("bigint")) / BLOCK).alias("queries"),
+    )
+    placed = members.join(sizes, "main").filter("queries > 0").join(sets, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    columns = ["main", "x", "y", "node", "component", "set"]
+    rows = placed.withColumn("y", own("rows")).withColumn("x", every("queries")).select(*columns)
+    queries = (
+        placed.filter("component <> main")
+        .withColumn("x", own("queries"))
+        .withColumn("y", every("rows"))
+        .select(*columns)
+        .toDF(*columns)  # columns of their own beside `rows`
+    )
+
+    def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            lengths = right["set"].map(len).to_numpy()
+            flat = np.concatenate(right["set"].to_numpy())
+            starts = np.cumsum(lengths) - lengths
+            nodes, parts = right["node"].to_numpy(), right["component"].to_numpy()
+            for node, part, own_set in zip(left["node"], left["component"], left["set"]):
+                ordered = np.sort(own_set)
+                at = np.minimum(np.searchsorted(ordered, flat), len(ordered) - 1)
+                shared = np.add.reduceat((ordered[at] == flat).astype(np.int64), starts)
+                hit = (100 * shared >= percent * (len(ordered) + lengths - shared)) & (parts != part)
+                first = np.unique(parts[hit], return_index=True)[1]
+                found += [(node, other) for other in nodes[hit][first]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    keys = ["main", "x", "y"]
+    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(compared, "a bigint, b bigint")
+
+
 def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordinates: int) -> DataFrame:
     """Confirmed links between classes that keep all components together."""
     matches = least_matches(coordinates, percent / 100)
     bits = least_matches(64, (1 + percent / 100) / 2) if coordinates >= 64 else 0
-    posts = staged(_posts(classes, matches), "posts")
+    posts = _posts(classes, matches)
     lists = (
         posts.groupBy("token")
         .agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select("token", "first")
     )
-    met = posts.join(lists, "token").filter("node > first")
-    star = met.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
-    sized = classes.select("node", "n_shingles", "bits")
-    star = (
-        star.join(sized.alias("x"), F.col("a") == F.col("x.node"))
-        .join(sized.alias("y"), F.col("b") == F.col("y.node"))
-        .filter(_close("x", "y", percent, bits))
-        .select("a", "b")
-    )
-    tested = staged(_alike(star, classes, matches), "stars")
-    links = _confirmed(tested, classes, docs, percent, size)
-    parts = components(links)
-
-    placed = posts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_lists = (
-        placed.groupBy("token")
-        .agg(F.min("component").alias("main"), F.max("component").alias("other"))
-        .filter("main < other")
-        .select("token", "main")
-    )
-    open_posts = staged(placed.join(mixed_lists, "token"), "open-posts")
-    x, y = open_posts.filter("component <> main").alias("x"), open_posts.alias("y")
-    left = (
-        x.join(
-            y,
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.component") != F.col("y.component"))
-            & ((F.col("y.component") == F.col("y.main")) | (F.col("y.node") < F.col("x.node")))
-            & _close("x", "y", percent, bits),
+    posts = staged(posts.join(lists, "token"), "posts")
+    sets = _sets(posts.select("node").distinct(), classes, docs, size)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _confirmed(staged(_alike(pairs, classes, matches), "candidates"), sets, percent)
+
+    def still_open(links: DataFrame) -> DataFrame:
+        placed = posts.drop("first").join(components(links), "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
         )
-        .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(_alike(left, classes, matches), classes, docs, percent, size)
-    return links.unionByName(more)
+        mixed_lists = (
+            placed.groupBy("token")
+            .agg(F.min("component").alias("main"), F.max("component").alias("other"))
+            .filter("main < other")
+            .select("token", "main")
+        )
+        return staged(placed.join(mixed_lists, "token"), "open-posts")
+
+    def met(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+        close = _close("x", "y", percent, bits) & (F.col("x.component") != F.col("y.component"))
+        return (
+            x.alias("x")
+            .join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & condition & close)
+            .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+            .distinct()
+        )
+
+    # each class and the smallest of the list
+    star = posts.filter("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"), "n_shingles", "bits")
+    star = star.groupBy("a", "b", "n_shingles", "bits").agg(F.count(F.lit(1)).alias("collisions")).alias("x")
+    sized = classes.select("node", "n_shingles", "bits").alias("y")
+    star = star.join(sized, F.col("x.b") == F.col("y.node")).filter(_close("x", "y", percent, bits)).select("a", "b")
+    links = linked(star)
+
+    # each class outside the first component and some of that component, by hash
+    rows = still_open(links)
+    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("node", "token"), "node")
+    some = rows.filter("component = main").withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= PIVOTS)
+    links = staged(links.unionByName(linked(met(rows.filter("component <> main"), some, F.lit(True)))), "links")
+
+    # what is still apart: everything that meets in a list
+    rows = still_open(links)
+    outside = F.sum((F.col("component") != F.col("main")).cast("bigint"))
+    busy = rows.groupBy("token").agg((outside * F.count(F.lit(1)) > LIST_PAIRS).alias("busy"))
+    rows = rows.join(busy, "token")
+    quiet = rows.filter(~F.col("busy"))
+    main = F.col("y.component") == F.col("y.main")
+    rest = met(quiet.filter("component <> main"), quiet, main | (F.col("y.node") < F.col("x.node")))
+    members = rows.filter("busy").select("main", "node", "component").distinct()
+    return links.unionByName(linked(rest)).unionByName(_block_links(members, sets, percent))
 
 
 def near_duplicates(
