@@ -22,17 +22,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+class Memo(dict):
+    """64-bit hashes of words met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
     """64-bit hash of each word; `memo` is emptied when it holds `MEMO_WORDS` words."""
     if len(memo) > MEMO_WORDS:
         memo.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, word in enumerate(words):
-        h = memo.get(word)
-        if h is None:
-            h = memo[word] = xxhash.xxh64_intdigest(word)
-        out[i] = h
-    return out
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def byte_letters() -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import id_text, staged
-from tidewatch.llm.hashing import GOLDEN, MIX_A, MIX_B, mixed, word_hashes
+from tidewatch.llm.hashing import GOLDEN, MIX_A, MIX_B, Memo, mixed, word_hashes
 
 COORDINATES = 64
 SHINGLE = 2
@@ -54,7 +54,7 @@ def least_matches(n: int, p: float, miss: float = MISS) -> int:
         m += 1
 
 
-def shingle_hashes(text: bytes, size: int, memo: dict[bytes, int]) -> np.ndarray:
+def shingle_hashes(text: bytes, size: int, memo: Memo) -> np.ndarray:
     """Distinct hashes of the shingles, sorted; the whole sequence if it has fewer words."""
     words = word_hashes(text.lower().split(), memo)  # bytes.lower() changes A-Z only
     if not len(words):
@@ -70,7 +70,7 @@ def sketch(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_key, low bits and signature of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo = Memo()
         factors = mixed(np.arange(SEED, SEED + coordinates, dtype=np.uint64) * np.uint64(GOLDEN)) | np.uint64(1)
         offsets = mixed(factors * np.uint64(MIX_A))
         for batch in batches:
@@ -155,7 +155,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> D
     wanted = classes.select("node", "text_hash", "set_key").join(nodes, "node", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo = Memo()
         for batch in batches:
             out_nodes, sets = [], []
             texts = batch.column("text").cast(pa.binary()).to_pylist()

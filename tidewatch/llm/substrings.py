@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import id_text, staged
-from tidewatch.llm.hashing import Powers, Substrings, word_hashes
+from tidewatch.llm.hashing import Memo, Powers, Substrings, word_hashes
 from tidewatch.llm.seeds import FULL, PROBE, document_key, judge_seeds, merged, post_seeds, seeds, verdict_kinds, with_verdicts
 
 SIZE = 13
@@ -29,7 +29,7 @@ WINDOWS = pa.list_(pa.struct([("hash", pa.int64()), ("check", pa.int64()), ("at"
 
 
 def _letters() -> Callable[[bytes], np.ndarray]:
-    memo: dict[bytes, int] = {}
+    memo = Memo()
     return lambda text: word_hashes(text.split(), memo)  # bytes split at the contract's white space
 
 
