@@ -1,0 +1,392 @@
+"""The corpus operators on a small table with awkward rows, against brute force."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidewatch.llm import (
+    catalog,
+    contamination,
+    exact,
+    extraction,
+    langid,
+    neardup,
+    packing,
+    quality,
+    secrets,
+    seeds,
+    substrings,
+    suffixes,
+)
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, text_sha256 string, _row int"
+LETTERS = {"en": "aeiothnsrd", "xx": "ükzqwäpvoy"}
+
+
+def sentence(rng, n, lang="en"):
+    words = ["".join(rng.choices(LETTERS[lang], k=rng.randint(2, 8))) for _ in range(60)]
+    return " ".join(rng.choices(words, k=n))
+
+
+def corpus():
+    """Texts with exact and near copies, shared passages, repeats and edge cases."""
+    rng = random.Random(5)
+    passage = sentence(rng, 60)
+    texts = [sentence(rng, rng.randint(1, 120)) for _ in range(40)]
+    base = sentence(rng, 150).split()
+    for _ in range(12):  # near copies of one text
+        copy = list(base)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(len(copy))] = sentence(rng, 1)
+        texts.append(" ".join(copy))
+    texts += [f"{sentence(rng, 20)} {passage} {sentence(rng, 20)}" for _ in range(6)]
+    texts += [texts[3], texts[3].replace(" ", "\t \n", 4), texts[45].upper()]
+    texts += ["", None, " \n ", "one", "x " * 700, "ab" * 900, passage + "\n" + passage, sentence(rng, 9000)]
+    return list(enumerate(texts))
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "src", 1, True, "z", 3) for i, t in rows], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, corpus())
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+# ---- exact copies ------------------------------------------------------------------------
+
+
+def normal(text):
+    out = " ".join(x for x in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if x)
+    raw = (text or "")
+    return (" " if raw[:1] in (" ", "\t", "\n") else "") + out + (" " if out and raw[-1:] in (" ", "\t", "\n") else "")
+
+
+@pytest.mark.parametrize("digest", [exact.sha256, lambda c: F.substring(exact.sha256(c), 1, 1)])
+def test_exact_groups_also_when_digests_clash(docs, digest):
+    groups = defaultdict(list)
+    for i, t in corpus():
+        groups[normal(t)].append(i)
+    want = {
+        i: (min(ids), len(ids), i == min(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids
+    }
+    assert by_id(exact.exact_groups(docs, 4, digest), "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+def test_exact_repeated_and_null_ids(spark, none):
+    rows = table(spark, [(5, "a b"), (5, "a b"), (None, "a  b"), (None, "c"), (None, "c")])
+    got = sorted(map(str, exact.exact_groups(rows).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert len(got) == 5 and sum("kept=True" in x for x in got) == 2
+    assert exact.drop_exact(rows).count() == 2 and exact.drop_exact(rows).columns == rows.columns
+    assert exact.exact_groups(none).count() == 0 and exact.drop_exact(none).count() == 0
+
+
+# ---- repeated words and bytes ------------------------------------------------------------
+
+
+def test_word_windows(docs, none):
+    got = by_id(substrings.repeat_report(docs), "n_words", "n_removed", "kept_sha256")
+    assert got == substrings.brute_force(corpus())
+    assert sum(x[1] for x in got.values()) > 300
+    assert substrings.repeat_report(none).count() == 0
+
+
+def test_word_windows_of_repeated_and_null_ids(spark):
+    text = " ".join(map(str, range(20)))
+    rows = table(spark, [(2, text), (2, text), (None, text), (None, None)])
+    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in substrings.repeat_report(rows).collect())
+    assert got == [("2", 0), ("2", 0), ("None", 0), ("None", 20)]
+
+
+@pytest.mark.parametrize("group", [suffixes.GROUP, 2])
+def test_byte_strings_also_in_large_groups(docs, group):
+    rows = suffixes.remove_repeated_strings(docs, group=group)
+    got = by_id(rows, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == suffixes.brute_force(corpus())
+    assert sum(x[1] for x in got.values()) > 3000
+
+
+def test_byte_strings_of_repeated_rows_and_empty_table(spark, none):
+    text = "".join(map(str, range(120)))
+    got = suffixes.string_report(table(spark, [(1, text + "x"), (1, text + "x"), (None, "y" + text), (2, None)])).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == [
+        ("1", 251, 251), ("1", 251, 251), ("2", 0, 0), ("None", 251, 250)]
+    assert suffixes.string_report(none).count() == 0
+
+
+def test_deep_shallow_order_is_sorted_order():
+    rng = random.Random(1)
+    strings = ["".join(rng.choices("ab", k=rng.randint(0, 90))).encode() for _ in range(300)]
+    strings += [b"a" * k for k in range(80)] + [b"a" * 40] * 3
+    assert [strings[i] for i in suffixes.deep_shallow_order(strings, 16)] == sorted(strings)
+    assert suffixes.common_prefix(b"abcd", b"abxd") == 2 and suffixes.common_prefix(b"", b"a") == 0
+
+
+def test_hot_anchor_streams_in_bounded_rows(spark, docs):
+    keyed = docs.select("text", seeds.document_key(F.col("doc_id"), F.col("text")).alias("_doc"))
+    posts = seeds.post_seeds(keyed, substrings._letters, 13, 5).withColumn("n", F.lit(1)).persist()
+    full = lambda rows: sorted((r["doc"], r["around"]) for r in rows.collect() if r["kind"] & seeds.FULL)
+    assert full(seeds.judge_seeds(posts, True, held_rows=2)) == full(seeds.judge_seeds(posts, True))
+
+
+def test_long_texts_give_the_same_seeds_in_chunks(monkeypatch):
+    import numpy as np
+
+    letters = np.random.default_rng(2).integers(0, 5, 5000).astype(np.uint64)
+    whole = seeds.seeds(letters, 40, 8, seeds.Powers())
+    monkeypatch.setattr(seeds, "CHUNK", 300)
+    parts = seeds.seeds(letters, 40, 8, seeds.Powers())
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+# ---- near copies -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("list_pairs,block", [(neardup.LIST_PAIRS, neardup.BLOCK), (0, 2)])
+def test_near_copies(docs, none, monkeypatch, list_pairs, block):
+    monkeypatch.setattr(neardup, "LIST_PAIRS", list_pairs)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    want = neardup.brute_force(corpus())
+    got = by_id(neardup.near_duplicates(docs), "n_shingles", "component_id")
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(want) - 10
+    if not list_pairs:
+        assert neardup.near_duplicates(none).count() == 0
+        assert neardup.drop_near(docs, size=2).columns == docs.columns
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 51)], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in neardup.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
+
+
+# ---- benchmark passages ------------------------------------------------------------------
+
+
+def brute_contamination(texts, items, size):
+    windows = defaultdict(set)
+    for item, text in items:
+        words = contamination.words_of(text)
+        for at in range(max(1, len(words) - size + 1) if words else 0):
+            windows[tuple(words[at : at + size])].add(str(item))
+    out = {}
+    for i, text in texts:
+        words = contamination.words_of(text)
+        hit, found = set(), set()
+        for n in {len(w) for w in windows}:
+            for at in range(len(words) - n + 1):
+                w = tuple(words[at : at + n])
+                if w in windows:
+                    hit.update(range(at, at + n))
+                    found |= windows[w]
+        out[i] = (len(words), len(hit), len(found), contamination.digest(list(found)), bool(hit))
+    return out
+
+
+def test_contamination(spark, docs, none):
+    texts = corpus()
+    items = [(1, texts[60][1]), (12, texts[2][1].upper()), (7, "one"), (8, None), (9, "..."), (1, texts[60][1]),
+             (30, " ".join(texts[5][1].split()[:12])), (31, "x, x X"), (32, sentence(random.Random(8), 30))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = brute_contamination(texts, items, 10)
+    assert by_id(contamination.contamination_report(docs, benchmark), *columns) == want
+    blocks = contamination.find_contamination(docs, benchmark, block_words=40)
+    assert {i: (len(s), sorted(x)) for i, (s, x) in by_id(blocks, "spans", "items").items()} == {
+        i: (len(s), sorted(x)) for i, (s, x) in by_id(contamination.find_contamination(docs, benchmark), "spans", "items").items()
+    }
+    kept = {r["doc_id"] for r in contamination.keep_uncontaminated(docs, benchmark).collect()}
+    assert kept == {i for i, x in want.items() if not x[4]}
+    cut = contamination.remove_spans(contamination.find_contamination(docs, benchmark))
+    assert all(len(contamination.words_of(r["text"])) == want[r["doc_id"]][0] - want[r["doc_id"]][1] for r in cut.collect())
+    empty = benchmark.limit(0)
+    assert contamination.contamination_report(docs, empty).filter("contaminated").count() == 0
+    assert contamination.contamination_report(none, benchmark).count() == 0
+
+
+# ---- language, quality -------------------------------------------------------------------
+
+
+def test_cross_parsing_counts_greedy_phrases():
+    import numpy as np
+
+    table_ = langid.symbol_table(list("ab"))
+    codes, bounds = langid.to_symbols(["AB-ab", "..", "bbbab a"], table_)
+    assert codes.tolist() == [2, 3, 0, 2, 3, 0, 3, 3, 3, 2, 3, 0, 2, 0] and bounds.tolist() == [0, 6, 6, 14]
+    sample = [2, 3, 0, 2, 2, 3]
+    following = langid.suffix_automaton(sample)
+    dense = np.zeros((len(following), 4), np.int32)
+    for state, targets in enumerate(following):
+        dense[state, list(targets)] = list(targets.values())
+    dense *= 4
+    dense = np.where(dense > 0, dense, ~dense[0]).ravel().astype(np.int32)
+
+    def greedy(text):
+        pieces = {tuple(sample[a:b]) for a in range(6) for b in range(a, 7)}
+        count, phrase = 1, ()
+        for c in text:
+            if (*phrase, c) in pieces:
+                phrase = (*phrase, c)
+            else:
+                count, phrase = count + 1, (c,)
+        return count
+
+    for block in (3, 512):
+        got = langid.phrase_counts(codes, bounds, (dense,), 4, block)[:, 0]
+        want = [sum(greedy(codes[a:b].tolist()[k : k + block]) for k in range(0, b - a, block)) for a, b in zip(bounds, bounds[1:])]
+        assert got.tolist() == want
+
+
+def test_languages(spark, none):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 40, lang), lang) for i, lang in enumerate(["en", "xx"] * 40)]
+    rows += [(100, None, "en"), (101, "12 !", "xx"), (102, "", None), (None, sentence(rng, 9), None)]
+    df = spark.createDataFrame([(i, t, lang, "s") for i, t, lang in rows], "doc_id bigint, text string, lang string, score string")
+    model = langid.fit_languages(df)
+    got = {r["doc_id"]: r for r in langid.predict_languages(df, model).collect()}
+    assert all(got[i]["lang_pred"] == lang and got[i]["score"] > 0.9 for i, _, lang in rows[:80])
+    assert {got[i]["lang_pred"] for i in (100, 101, 102)} == {"und"} and got[None]["lang_pred"] == "en"
+    assert any(r["held_out"] for r in got.values()) and not got[None]["held_out"]
+    unlearned = langid.fit_languages(none)
+    assert {r["lang_pred"] for r in langid.predict_languages(df, unlearned).collect()} == {"und"}
+
+
+def test_quality(spark, none):
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 60) + "." if i % 3 else " ".join(w.upper() + "!!" for w in sentence(rng, 60).split())) for i in range(300)]
+    df = table(spark, [*rows, (900, None), (901, ""), (None, "a b c")])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)] + [(5, None, 0)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit_quality(df, labels)
+    got = {r["doc_id"]: r for r in quality.score_quality(df, model).collect()}
+    right = [got[i]["predicted"] == int(i % 3 > 0) for i in range(300) if got[i]["held_out"]]
+    assert len(right) > 30 and sum(right) >= 0.95 * len(right)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values()) and len(got) == 303
+    kept = {r["doc_id"] for r in quality.keep_good(df, model).collect()}
+    assert kept == {i for i, r in got.items() if r["predicted"]}
+    flat = quality.fit_quality(df, labels.filter("quality = 1"))
+    assert quality.keep_good(df, flat).count() == 303
+    assert quality.score_quality(none, quality.fit_quality(none, labels)).count() == 0
+
+
+# ---- packing, pages, secrets -------------------------------------------------------------
+
+
+def test_packing_places_every_token_once(docs, none):
+    rows = packing.pack(docs, sizes=(16, 64, 256), block_tokens=2000).collect()
+    want = {i: len((t or "").split()) for i, t in corpus()}
+    got, bins = Counter(), defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]] += r["n_tokens"]
+        if r["n_tokens"]:
+            bins[r["bin_id"], r["bin_size"]].append((r["bin_offset"], r["n_tokens"]))
+    assert {i: got[i] for i in want} == want and {r["doc_id"] for r in rows} == set(want)
+    for (_, size), places in bins.items():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= size and all(at > s for s in (16, 64, 256) if s < size)
+    assert packing.pack(none).count() == 0
+
+
+def test_packing_is_no_dearer_than_one_size():
+    rng = random.Random(6)
+    lengths = sorted((rng.randint(1, 500) for _ in range(300)), reverse=True)
+    _, _, final = packing.pack_lengths(lengths, (128, 256, 512))
+    assert sum(map(packing.cost, final)) <= sum(map(packing.cost, packing.pack_lengths(lengths, (512,))[2]))
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
+<header><a href=/>Home</a></header><nav><ul><li><a href=x>One</a><li><a>Two</a></ul></nav><div class="cookie notice">We use cookies. OK?</div>
+<article><header><h1>Head &amp; tail</h1></header><p>First  <b>bold</b>\n text.<p>A &lt; B<br>next.<aside>Related: x.</aside>
+<ul><li>item</ul><form><input> Sign up now.</form><div class="ad">Buy this now.</div><section id="comments"><p>Nice article, really well done.</p></section></article>
+<footer>&copy; me</footer></body>"""
+
+
+def test_pages(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (3, "v", ""), (4, "w", "<p>unclosed <b x='"), (5, "y", "a < b <")]
+    pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id bigint, url string, html string, text string")
+    got = {r["page_id"]: r for r in extraction.extract_main_text(pages).collect()}
+    assert got[1]["text"] == "Head & tail\nFirst bold text.\nA < B next.\nitem" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == "" and got[2]["n_chars"] == 0 and got[3]["text"] == ""
+    assert extraction.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_minimum_cut_is_least():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randint(1, 8)
+        costs = [rng.randint(-9, 9) for _ in range(n)]
+        edges = [(a, b, rng.randint(1, 6)) for a in range(n) for b in range(a) if rng.random() < 0.4]
+
+        def energy(labels):
+            return sum(max(c, 0) * (not x) + max(-c, 0) * x for c, x in zip(costs, labels)) + sum(
+                w for a, b, w in edges if labels[a] != labels[b]
+            )
+
+        best = min(energy([bool(k >> i & 1) for i in range(n)]) for k in range(2**n))
+        assert energy(extraction.minimum_cut(costs, edges)) == best
+
+
+def test_secrets(spark, none):
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    rows = [(i, f'{sentence(rng, 9)} token = "{key()}" {sentence(rng, 5)} {rng.randrange(10**15, 10**16)} and') for i in range(80)]
+    rows += [(200, None), (201, ""), (202, 'my token = "your_token_example_1234567"'), (203, "word " * 500)]
+    found = secrets.scan_secrets(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in found if r["is_secret"]} == set(range(80))
+    assert all(r["value_length"] == 40 for r in found if r["is_secret"])
+    assert {r["doc_id"] for r in found} <= set(range(80)) | {202}
+    assert secrets.scan_secrets(none).count() == 0
+
+
+# ---- queries and pipeline ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_against_sql(spark, folder, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    result = con.execute(catalog.ORACLES[name])
+    names = [c[0] for c in result.description]
+    got = catalog.REGISTRY[name](spark, folder)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, result.fetchall()))
+
+
+def test_pipeline(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    read = lambda t: [tuple(r) for r in spark.read.parquet(f"{folder}/{t}.parquet").collect()]
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
+    model = quality.fit_quality(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    good = {r["doc_id"] for r in quality.score_quality(docs, model).collect() if r["predicted"]}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(normal(texts[i]), i)
+    texts = {i: texts[i] for i in first.values()}
+    parts = neardup.brute_force(sorted(texts.items()), 80, 5)
+    texts = {i: t for i, t in texts.items() if parts[i][1] == i}
+    hit = brute_contamination(sorted(texts.items()), read("benchmark"), 10)
+    want = {i for i in texts if not hit[i][4]}
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in out} == want
+    assert sum(r["n_tokens"] for r in out) == sum(len((texts[i] or "").split()) for i in want)
