@@ -243,6 +243,30 @@ def test_balance_gate(spark, benign, attacks, want):
     assert (counts.get(0, 0), counts.get(1, 0)) == want
 
 
+def test_batch_across_the_snapshot_waits_as_a_whole(spark):
+    t = lambda hour: dt.datetime(2024, 1, 2, hour)
+    values = {c: 0.0 for c in FEATURE_COLUMNS}
+    rows = [(1, t(1)), (1, t(9)), (2, t(2))]
+    events = spark.createDataFrame(
+        [{"ingest_batch_id": b, "time": at, "source_ip": "a", "is_host_ip": False, "probability": 0.99, "prediction": 1, **values} for b, at in rows]
+    )
+    ledger = spark.createDataFrame([], "ingest_batch_id bigint")
+    early, late = (F.lit(t(h)).cast("timestamp") for h in (5, 10))
+    assert [r[0] for r in learning.processed_batches(events, ledger, early, LIVE).collect()] == [2]
+    assert learning.sanitized_batch(events, ledger, early, LIVE).count() == 1
+    done = learning.processed_batches(events, ledger, early, LIVE)
+    assert learning.sanitized_batch(events, done, late, LIVE).count() == 2
+
+
+def test_other_protocols_do_not_count_in_totals(spark):
+    packets = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 1), 100, 6), (dt.datetime(2024, 1, 1), 50, 17), (dt.datetime(2024, 1, 1), 1000, 1)],
+        "ts timestamp, length int, proto int",
+    )
+    row = flows.window_totals(packets, LIVE).first()
+    assert row["t_vol"] * LIVE.capture_seconds == 150 and row["n_req"] * LIVE.capture_seconds == 2
+
+
 def test_ledger_marks_every_pending_batch_but_only_after_a_selection(spark):
     def events(probability):
         return spark.createDataFrame(

@@ -36,6 +36,20 @@ def test_signature_and_dns_messages(spark):
     assert sorted((r["source_ip"], r["domain"]) for r in messages.decode_dns(dns).collect()) == [("Unknown", "y.com"), ("a", "x.com")]
 
 
+def test_float_signatures_and_the_number_of_sources_survive(spark):
+    floats = as_messages(spark, ['{"timestamp":5.0,"target_port":80,"signature":[123.0,5.0,-1.0],"source_ips":["a","b"]}'])
+    row = messages.decode_signatures(floats).first()
+    assert row["signature"] == [123, 5, -1] and row["n_sources"] == 2
+    rows = spark.createDataFrame([(T0, 80, [7, 8], 4)], "window_start timestamp, target_port int, signature array<bigint>, n_sources bigint")
+    back = messages.decode_signatures(message_sink.encode_signatures(rows)).first()
+    assert (back["signature"], back["n_sources"]) == ([7, 8], 4)
+
+
+def test_dns_messages_that_do_not_parse_are_kept_aside(spark):
+    sent = as_messages(spark, ['[{"timestamp":1.5,"domain":"x.com"}]', "[]", "junk"])
+    assert [r["value"] for r in messages.malformed_dns(sent).collect()] == ["junk"]
+
+
 def test_feature_messages_round_trip(spark):
     rows = spark.createDataFrame([(T0, "a", 0.5, 0.25)], "ts timestamp, source_ip string, velocity double, acceleration double")
     sent = message_sink.encode_features(rows, "volumetric")

@@ -27,7 +27,7 @@ def few_partitions(spark):
 
 
 def test_stream_equals_batch_and_restarts_cleanly(spark, folder, tmp_path):
-    run = Streams(spark, str(tmp_path), SPARSE, FLOW_MODEL, hosts=(HOST,))
+    run = Streams(spark, str(tmp_path), SPARSE, FLOW_MODEL, "0 seconds", hosts=(HOST,))
     packets = str(tmp_path / "all")
     queries.packet_files(spark, folder, packets)
     whole = spark.read.parquet(packets)

@@ -991,7 +991,7 @@ def classifier_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def mlp_scores(spark, folder):
     """Windows scored by a classifier trained on the balanced set."""
-    network = models.fit_classifier(classifier_rows(spark, folder), models.ADAPTIVE_LAYERS, 40)
+    network = models.fit_classifier(classifier_rows(spark, folder), models.ADAPTIVE_LAYERS)
     return network.score(scored_windows(spark, folder)).select(
         "time", "source_ip", "probability", "prediction"
     )
@@ -1000,7 +1000,7 @@ def mlp_scores(spark, folder):
 @query
 def mlp_hold_out(spark, folder):
     """Class report of the base classifier on held-out rows."""
-    _, scored = offline.train_base_classifier(classifier_rows(spark, folder), F.col("id"), 40)
+    _, scored = offline.train_base_classifier(classifier_rows(spark, folder), F.col("id"))
     return evaluate.class_report(scored, "label", "prediction")
 
 
@@ -1048,7 +1048,7 @@ def packet_files(spark: SparkSession, folder: str, path: str) -> None:
 def stream_events(spark, folder):
     """Events that the streaming stages store for the same packets."""
     run = streams.Streams(
-        spark, stage_path(spark, "streams"), SPARSE, FLOW_MODEL, hosts=(HOST,)
+        spark, stage_path(spark, "streams"), SPARSE, FLOW_MODEL, "0 seconds", hosts=(HOST,)
     )
     packet_files(spark, folder, run.table("packets"))
     run.run_once(lambda: lambda df: df.withColumn("probability", logistic_score()))

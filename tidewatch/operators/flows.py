@@ -14,6 +14,7 @@ from tidewatch.functions.network import (
     has_flag,
     is_valid_ip,
 )
+from tidewatch.sources.tables import only_transport
 
 FLOW_KEY = ["src_ip", "src_port", "dst_ip", "dst_port"]
 MICROS = 1_000_000
@@ -25,9 +26,12 @@ def capture_window(seconds: int, ts: str = "ts") -> Column:
 
 
 def window_totals(packets: DataFrame, p: Profile) -> DataFrame:
-    """Bytes per second, packets per second and mean length of each capture window."""
+    """Bytes per second, packets per second and mean length of each capture window.
+
+    TCP and UDP packets count.
+    """
     return (
-        packets.groupBy(capture_window(p.capture_seconds))
+        only_transport(packets).groupBy(capture_window(p.capture_seconds))
         .agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("packets"))
         .select(
             F.col("window.start").alias("window_start"),
@@ -205,10 +209,10 @@ def gap_spread(packets: DataFrame, p: Profile) -> DataFrame:
 def bidirectional_flows(packets: DataFrame, p: Profile) -> DataFrame:
     """Flow rates with both directions folded together.
 
-    Addresses and ports are ordered independently of each other.
+    TCP and UDP packets count. Addresses and ports are ordered independently of each other.
     """
     return (
-        packets.groupBy(
+        only_transport(packets).groupBy(
             capture_window(p.capture_seconds),
             F.least("src_ip", "dst_ip").alias("ip_a"),
             F.greatest("src_ip", "dst_ip").alias("ip_b"),

@@ -39,20 +39,30 @@ def unprocessed(events: DataFrame, ledger: DataFrame) -> DataFrame:
     return events.join(done, "ingest_batch_id", "left_anti")
 
 
+def _pending(events: DataFrame, ledger: DataFrame, as_of: Column) -> DataFrame:
+    """Unprocessed events of the batches that end by the snapshot time.
+
+    A batch that reaches beyond it waits as a whole for a later snapshot, so that no row
+    of it is marked unseen or selected twice.
+    """
+    ended = events.groupBy("ingest_batch_id").agg(F.max("time").alias("last")).filter(F.col("last") <= as_of)
+    return unprocessed(events, ledger).join(ended.select("ingest_batch_id"), "ingest_batch_id", "left_semi")
+
+
 def sanitized_batch(
     events: DataFrame, ledger: DataFrame, as_of: Column, p: Profile, host: str | None = None
 ) -> DataFrame:
-    """Confident unprocessed rows up to the snapshot time, with their labels."""
-    pending = unprocessed(events.filter(F.col("time") <= as_of), ledger)
+    """Confident unprocessed rows of the batches up to the snapshot, with their labels."""
+    pending = _pending(events, ledger, as_of)
     return _training_rows(pending.filter(confident(p, host)), host, ("time",))
 
 
 def processed_batches(events: DataFrame, ledger: DataFrame, as_of: Column, p: Profile, host: str | None = None) -> DataFrame:
-    """Batches to add to the ledger: every unprocessed one up to the snapshot.
+    """Batches to add to the ledger: every unprocessed one that ends by the snapshot.
 
     Nothing is marked when no confident row was selected.
     """
-    pending = unprocessed(events.filter(F.col("time") <= as_of), ledger)
+    pending = _pending(events, ledger, as_of)
     selected = pending.agg(F.coalesce(F.max(confident(p, host)), F.lit(False)).alias("any")).scalar()
     return pending.filter(selected).select("ingest_batch_id").distinct()
 

@@ -13,7 +13,7 @@ from tidewatch.operators import features, scoring
 from tidewatch.operators.volumetric import EntropyModel
 from tidewatch.session import stage_path
 from tidewatch.sinks.events import read_events, write_events
-from tidewatch.sources.tables import dns_queries
+from tidewatch.sources.tables import dns_queries, only_transport
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -27,6 +27,7 @@ def detect(
     state: DataFrame | None = None,
 ) -> DataFrame:
     """Event rows of one batch of packets; `score` adds the classifier probability."""
+    packets = only_transport(packets)
     windows = features.window_features(packets, dns_queries(packets), p, model)
     return scoring.verdicts(score(windows), p, hosts, state)
 

@@ -86,23 +86,36 @@ def decode_flows(messages: DataFrame) -> DataFrame:
 
 
 def decode_signatures(messages: DataFrame) -> DataFrame:
-    """Signature messages; an empty signature or a missing or zero port is left out."""
+    """Signature messages; an empty signature or a missing or zero port is left out.
+
+    Senders write the hashes as whole numbers or as floats, and the sources as a list or
+    as their number.
+    """
     good = _parsed(messages, SIGNATURE_MESSAGE).filter(~is_malformed())
     return good.filter(
         (F.coalesce("m.target_port", F.lit(0)) != 0) & (F.size(F.coalesce("m.signature", F.array())) > 0)
     ).select(
         F.timestamp_seconds("m.timestamp").alias("window_start"),
         F.col("m.target_port").alias("target_port"),
-        F.col("m.signature").alias("signature"),
+        F.col("m.signature").cast("array<bigint>").alias("signature"),
         F.coalesce("m.source_ips", F.array().cast("array<string>")).alias("source_ips"),
+        F.coalesce("m.n_sources", F.size("m.source_ips").cast("bigint"), F.lit(0)).alias("n_sources"),
     )
 
 
+def _dns_queries() -> Column:
+    return F.from_json("value", DNS_MESSAGE, {"mode": "PERMISSIVE"})
+
+
+def malformed_dns(messages: DataFrame) -> DataFrame:
+    """DNS messages that do not parse, or hold an entry that does not, for a side output."""
+    entries = F.coalesce(_dns_queries(), F.array(F.lit(None)).cast(DNS_MESSAGE))
+    return messages.filter(F.exists(entries, lambda e: e.isNull()))
+
+
 def decode_dns(messages: DataFrame) -> DataFrame:
-    """One row per query of each DNS message."""
-    return messages.select(
-        F.inline(F.from_json("value", DNS_MESSAGE, {"mode": "PERMISSIVE"}))
-    ).select(
+    """One row per query of each DNS message; `malformed_dns` has the messages left out."""
+    return messages.select(F.inline(F.filter(_dns_queries(), lambda e: e.isNotNull()))).select(
         F.timestamp_seconds("timestamp").alias("ts"),
         F.coalesce("source_ip", F.lit(UNKNOWN)).alias("source_ip"),
         F.coalesce("domain", F.lit("")).alias("domain"),

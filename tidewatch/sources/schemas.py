@@ -8,8 +8,8 @@ FLOW_MESSAGE = (
 )
 
 SIGNATURE_MESSAGE = (
-    "timestamp double, target_port int, k_size int, signature array<bigint>, "
-    "source_ips array<string>"
+    "timestamp double, target_port int, k_size int, signature array<double>, "
+    "source_ips array<string>, n_sources bigint"
 )
 
 DNS_MESSAGE = "array<struct<timestamp: double, source_ip: string, domain: string>>"

@@ -25,7 +25,7 @@ from tidewatch.operators.volumetric import EntropyModel
 from tidewatch.session import prepare
 from tidewatch.sinks.events import write_events
 from tidewatch.sources.schemas import FEATURE_COLUMNS
-from tidewatch.sources.tables import dns_queries
+from tidewatch.sources.tables import dns_queries, only_transport
 from tidewatch.streaming import state
 
 PACKETS = (
@@ -34,6 +34,13 @@ PACKETS = (
 )
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that the query's recent batches dropped because they came after the watermark."""
+    return sum(
+        state["numRowsDroppedByWatermark"] for batch in query.recentProgress for state in batch["stateOperators"]
+    )
+
+
 @dataclass
 class Streams:
     """Stage tables and checkpoints under one shared folder."""
@@ -42,7 +49,7 @@ class Streams:
     root: str
     profile: Profile
     model: EntropyModel
-    delay: str = "0 seconds"
+    delay: str  # how late a packet may come; later ones are dropped and counted
     hosts: tuple[str, ...] = ()
     trigger: dict | None = None
 
@@ -73,7 +80,7 @@ class Streams:
     # ---- stages ---------------------------------------------------------------------
 
     def packets(self) -> DataFrame:
-        return self.read("packets", PACKETS).withWatermark("ts", self.delay)
+        return only_transport(self.read("packets", PACKETS)).withWatermark("ts", self.delay)
 
     def totals(self) -> StreamingQuery:
         return self.append(flow_ops.window_totals(self.packets(), self.profile), "totals")
