@@ -39,8 +39,8 @@ SHINGLE = 2
 PERCENT = 80
 MISS = 1e-7
 SEED = 20_011
-PIVOTS = 8
-LIST_PAIRS = 10_000  # beyond so many pairs a list's open nodes are compared in blocks
+PIVOTS = 2
+LIST_PAIRS = 500  # beyond so many pairs a list's open nodes are compared in blocks
 BLOCK = 2_000
 
 
