@@ -150,9 +150,17 @@ def _alike(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return compared.filter(agree >= matches).select("a", "b")
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node and its full set, made again from one text of each class."""
-    wanted = classes.select("node", "text_hash", "set_key").join(nodes, "node", "left_semi")
+    """node and its full set, made again from one text of each class.
+
+    The wanted classes are a table of their own, so that its size is known before the
+    texts are read: while it is small, texts of other classes are not shuffled.
+    """
+    wanted = staged(classes.select("node", "text_hash", "set_key").join(nodes, "node", "left_semi"), "wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
@@ -257,10 +265,13 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordin
         .select("token", "first")
     )
     posts = staged(posts.join(lists, "token"), "posts")
-    sets = _sets(posts.select("node").distinct(), classes, docs, size)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        return staged(_alike(pairs, classes, matches), "candidates")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return _confirmed(staged(_alike(pairs, classes, matches), "candidates"), sets, percent)
+        pairs = candidates(pairs)
+        return _confirmed(pairs, _sets(_nodes(pairs), classes, docs, size), percent)
 
     def still_open(links: DataFrame) -> DataFrame:
         placed = posts.drop("first").join(components(links), "node", "left").withColumn(
@@ -303,9 +314,10 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int, coordin
     rows = rows.join(busy, "token")
     quiet = rows.filter(~F.col("busy"))
     main = F.col("y.component") == F.col("y.main")
-    rest = met(quiet.filter("component <> main"), quiet, main | (F.col("y.node") < F.col("x.node")))
-    members = rows.filter("busy").select("main", "node", "component").distinct()
-    return links.unionByName(linked(rest)).unionByName(_block_links(members, sets, percent))
+    rest = candidates(met(quiet.filter("component <> main"), quiet, main | (F.col("y.node") < F.col("x.node"))))
+    members = staged(rows.filter("busy").select("main", "node", "component").distinct(), "members")
+    sets = _sets(_nodes(rest).unionByName(members.select("node")), classes, docs, size)
+    return links.unionByName(_confirmed(rest, sets, percent)).unionByName(_block_links(members, sets, percent))
 
 
 def near_duplicates(
