@@ -13,8 +13,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back.
+def staged(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back; `settings` hold for that write.
 
     That cuts the lineage at a table which survives lost executors. The shuffle files
     that the write needed are released when it ends, so the disk holds one phase of a
@@ -22,12 +22,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    before = spark.conf.get(CLEANUP_KEY, "false")
-    spark.conf.set(CLEANUP_KEY, "true")
+    wanted = {CLEANUP_KEY: "true", **(settings or {})}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP_KEY, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

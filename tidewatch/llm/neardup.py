@@ -42,6 +42,16 @@ SEED = 20_011
 PIVOTS = 2
 LIST_PAIRS = 500  # beyond so many pairs a list's open nodes are compared in blocks
 BLOCK = 2_000
+# a Bloom filter of at most 4 MB, whatever the input's size, keeps texts that no pair needs
+# out of the shuffle; beyond about 4 million classes it lets more of them through, losing none
+TEXT_JOIN = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "33554432",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 
 def least_matches(n: int, p: float, miss: float = MISS) -> int:
@@ -66,6 +76,15 @@ def shingle_hashes(text: bytes, size: int, memo: Memo) -> np.ndarray:
     return np.unique(sums)
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _row_key(text_hash: Column) -> Column:
+    """Tells rows apart by id and text; a chance collision costs a comparison of set keys."""
+    return F.xxhash64(F.col("doc_id"), text_hash)
+
+
 def sketch(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_key, low bits and signature of every row."""
 
@@ -97,7 +116,7 @@ def sketch(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                 }
             )
 
-    rows = id_text(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = id_text(docs).withColumn("text_hash", _text_hash(F.col("text")))
     return rows.mapInArrow(
         sketched, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bits bigint, signature array<int>"
     )
@@ -155,12 +174,13 @@ def _nodes(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node and its full set, made again from one text of each class.
+    """node and its full set, made again from one row of each class.
 
     The wanted classes are a table of their own, so that its size is known before the
-    texts are read: while it is small, texts of other classes are not shuffled.
+    texts are read: texts of other classes are dropped before the shuffle, by a broadcast
+    of that table while it is small and by its Bloom filter beyond.
     """
-    wanted = staged(classes.select("node", "text_hash", "set_key").join(nodes, "node", "left_semi"), "wanted")
+    wanted = staged(classes.select("node", "row_key", "set_key").join(nodes, "node", "left_semi"), "wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
@@ -174,10 +194,12 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> D
                     sets.append(hashes.view(np.int64))
             yield pa.record_batch({"node": pa.array(out_nodes, pa.int64()), "set": pa.array(sets, pa.list_(pa.int64()))})
 
-    # a class is found by the hash of one of its texts; equal texts are sent once
-    texts = id_text(docs).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    found = texts.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "set_key", "text")
-    return staged(found.mapInArrow(hashed, "node bigint, set array<bigint>"), "sets")
+    # a class is found by the hash of one of its rows, so its other copies stay where they
+    # are; the filter on `node` is always true, Spark makes Bloom filters of filtered tables
+    texts = id_text(docs).select(_row_key(_text_hash(F.col("text"))).alias("row_key"), "text")
+    found = texts.join(wanted.filter("node >= 0"), "row_key").dropDuplicates(["row_key", "node"])
+    made = found.select("node", "set_key", "text").mapInArrow(hashed, "node bigint, set array<bigint>")
+    return staged(made, "sets", TEXT_JOIN)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -356,7 +378,7 @@ def near_duplicates(
     classes = staged(
         sketches.filter("n_shingles > 0")
         .groupBy("set_key", "n_shingles", "bits", "signature")
-        .agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")),
+        .agg(F.min("doc_id").alias("first"), F.min(_row_key(F.col("text_hash"))).alias("row_key")),
         "classes",
     ).withColumn("node", F.monotonically_increasing_id())
     parts = components(_links(docs, classes, percent, size, coordinates))
@@ -379,7 +401,7 @@ def near_duplicates(
 def drop_near(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The rows of `docs`, all columns, that are kept: one id of each component."""
     kept = near_duplicates(docs, percent, size).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = docs.withColumn("_text_hash", _text_hash(F.col("text").cast("string")))
     return rows.join(
         kept,
         rows["doc_id"].cast("bigint").eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"]),
