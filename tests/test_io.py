@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.parameters import FLOW_MODEL
-from tidewatch.config import LIVE
-from tidewatch.operators import models
+from tidewatch.config import LIVE, SPARSE
+from tidewatch.operators import learning, models, reports
 from tidewatch.plans import evaluation, learning_loop, offline
 from tidewatch.sinks import events as event_sink
 from tidewatch.sinks import messages as message_sink
@@ -135,6 +135,10 @@ def test_events_are_idempotent_partitioned_and_checked(spark, tmp_path):
     assert recent.count() == 10
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+    as_of = F.lit(T0 + dt.timedelta(days=SPARSE.lookback_days + 1))
+    for pruned in (learning.adaptive_rows(stored, as_of, SPARSE), reports.retained(stored, as_of, SPARSE.lookback_days)):
+        plan = pruned._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(date" in plan
     with pytest.raises(Exception, match="incomplete event row"):
         event_sink.write_events(event_rows(spark).withColumn("probability", F.lit(None).cast("double")), path, 3)
 

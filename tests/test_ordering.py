@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewatch.config import SPARSE
 from tidewatch.functions.entropy import frame_entropies
-from tidewatch.operators import evaluate, learning, spikes, volumetric
+from tidewatch.operators import evaluate, learning, spatial, spikes, volumetric
 from tidewatch.operators.ordering import number_rows, running_totals
 from tidewatch.operators.volumetric import EntropyModel
+from tidewatch.sources.tables import with_qname
 
 MODEL = EntropyModel((1.0, 1.0, 1.0, 1.0, 1.0), (2.0, 1.0, 1.0, 1.0, 1.0), (0.1, 0.2, 0.3, 0.1, 0.1), 0.5)
 
@@ -203,3 +205,54 @@ def test_tumbling_drops_the_remainder(spark):
     got = volumetric.tumbling_entropy(df, ["key"], 20, series=["t_vol"]).collect()
     assert sorted(r["w"] for r in got) == [0, 1]
     assert got[0]["h_t_vol"] == pytest.approx(3.4683400536172693)
+
+
+@pytest.fixture
+def plain_joins(spark):
+    """Joins shuffle both sides and nothing is planned anew."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_rows_outside_runs_spread_over_the_join(spark, plain_joins):
+    log = spark.range(4000).select(
+        F.col("id").alias("at"), (F.col("id") % 100 == 7).cast("int").alias("actual"), F.lit(1).alias("predicted")
+    )
+    blocks = evaluate.attack_blocks(log, [], [F.floor(F.col("at") / 500)], [F.col("at")])
+    adjusted = evaluate.point_adjusted(blocks, [])
+    assert adjusted.count() == 4000
+    assert largest_share(adjusted.filter("adjusted >= 0")) < 0.25
+
+
+def test_packets_without_a_page_spread_over_the_join(spark, folder, plain_joins):
+    packets = spark.range(4000).select(
+        F.col("id").alias("packet_id"), F.when(F.col("id") % 50 == 0, 17).otherwise(6).alias("proto")
+    )
+    named = with_qname(spark, folder, packets)
+    assert named.count() == 4000
+    assert named.filter("qname IS NOT NULL AND proto <> 17").count() == 0
+    assert named.filter("qname IS NOT NULL").count() > 0
+    assert largest_share(named) < 0.25
+
+
+def test_sources_of_one_flood_spread_over_the_join(spark, plain_joins):
+    packets = spark.range(4000).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 2 * SPARSE.capture_seconds).alias("ts"),
+        F.concat(F.lit("10.0."), F.floor(F.col("id") / 250), F.lit("."), F.col("id") % 250).alias("src_ip"),
+        F.lit(SPARSE.target_port).alias("dst_port"),
+        F.lit("192.0.2.1").alias("dst_ip"),
+        F.lit(6).alias("proto"),
+    )
+    scored = spatial.similarity_per_source(packets, SPARSE)
+    assert scored.count() == 2000  # the first window has no earlier signature
+    assert largest_share(scored) < 0.4

@@ -103,18 +103,23 @@ def attack_blocks(
 
 
 def point_adjusted(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds `adjusted`: a run with any detection counts as detected throughout."""
+    """Adds `adjusted`: a run with any detection counts as detected throughout.
+
+    Rows outside runs match nothing; negative keys, which no run has, spread them.
+    """
+    spread = -1 - F.pmod(F.xxhash64(*blocks.columns), F.lit(1 << 30))
+    keyed = blocks.withColumn("_run", F.coalesce("block", spread))
     detected = (
         blocks.filter((F.col("actual") == 1) & (F.col("predicted") == 1))
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("block").alias("_block"))
         .distinct()
         .withColumn("_hit", F.lit(1))
     )
-    same = blocks["block"] == detected["_block"]
+    same = keyed["_run"] == detected["_block"]
     for k in keys:
-        same = same & blocks[k].eqNullSafe(detected[f"_k_{k}"])
-    return blocks.join(detected, same, "left").select(
-        *[blocks[c] for c in blocks.columns],
+        same = same & keyed[k].eqNullSafe(detected[f"_k_{k}"])
+    return keyed.join(detected, same, "left").select(
+        *[keyed[c] for c in blocks.columns],
         F.when(F.col("actual") == 1, F.greatest("predicted", F.coalesce("_hit", F.lit(0))))
         .otherwise(F.col("predicted"))
         .alias("adjusted"),

@@ -67,12 +67,18 @@ def processed_batches(events: DataFrame, ledger: DataFrame, as_of: Column, p: Pr
     return pending.filter(selected).select("ingest_batch_id").distinct()
 
 
+def later_than(events: DataFrame, start: Column) -> Column:
+    """Time filter that also prunes date partitions where `events` has them."""
+    later = F.col("time") > start
+    return later & (F.col("date") >= F.to_date(start)) if "date" in events.columns else later
+
+
 def adaptive_rows(
     events: DataFrame, as_of: Column, p: Profile, host: str | None = None
 ) -> DataFrame:
     """Confident rows of the last days, processed or not."""
     since = as_of - F.make_dt_interval(days=F.lit(p.lookback_days))
-    recent = events.filter((F.col("time") > since) & confident(p, host))
+    recent = events.filter(later_than(events, since) & confident(p, host))
     return _training_rows(recent, host, ("time",))
 
 

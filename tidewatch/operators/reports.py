@@ -70,5 +70,7 @@ def threat_bands(events: DataFrame) -> DataFrame:
 
 
 def retained(events: DataFrame, as_of, days: int) -> DataFrame:
-    """Events inside the retention period."""
-    return events.filter(F.col("time") >= as_of - F.make_dt_interval(days=F.lit(days)))
+    """Events inside the retention period; prunes date partitions where there are any."""
+    start = as_of - F.make_dt_interval(days=F.lit(days))
+    kept = events.filter(F.col("time") >= start)
+    return kept.filter(F.col("date") >= F.to_date(start)) if "date" in events.columns else kept

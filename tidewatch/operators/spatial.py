@@ -16,6 +16,7 @@ SEED = 42
 IDLE = -1
 
 SPINE_CHUNK = 4096
+FLOOD_SALTS = 32  # keys that the sources of one window and port are split over
 
 
 def coefficients(k: int) -> list[tuple[int, int]]:
@@ -164,7 +165,10 @@ def similarity_per_source(packets: DataFrame, p: Profile) -> DataFrame:
     """The score of a window and port, once for every source that hit it."""
     sources = port_sources(packets, p)
     scores = signature_similarity(signatures(sources, p), first_capture_window(packets, p), p)
-    return sources.join(scores, ["window_start", "target_port"]).select(
+    # all sources of a flood meet one score: they are split by address, the score is repeated
+    sources = sources.withColumn("_salt", F.pmod(F.hash("source_ip"), F.lit(FLOOD_SALTS)))
+    scores = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FLOOD_SALTS - 1))))
+    return sources.join(scores, ["window_start", "target_port", "_salt"]).select(
         "window_start", "target_port", "source_ip", "jaccard_score"
     )
 

@@ -73,8 +73,10 @@ def with_qname(spark: SparkSession, folder: str, packets: DataFrame) -> DataFram
     pages = read_table(spark, folder, "pages")
     hosts = pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("qname"))
     page_count = pages.agg(F.count(F.lit(1))).scalar()
+    # other packets get a key of their own that no page has, instead of one null key for all
     wanted = packets.withColumn(
-        "page_id", F.when(F.col("proto") == UDP, F.col("packet_id") % page_count)
+        "page_id",
+        F.when(F.col("proto") == UDP, F.col("packet_id") % page_count).otherwise(-1 - F.col("packet_id")),
     )
     return wanted.join(hosts, "page_id", "left").drop("page_id")
 
