@@ -176,6 +176,31 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
 
 
+@pytest.mark.parametrize(
+    "module,run",
+    [(neardup, neardup.near_duplicates), (exact, exact.exact_groups), (substrings, substrings.remove_repeats), (suffixes, suffixes.string_report)],
+)
+def test_row_numbers_are_in_the_written_table(spark, docs, monkeypatch, module, run):
+    plans = []
+
+    def staged(df, *args, write=module.staged):
+        out = write(df, *args)
+        plans.append(out)
+        # later jobs split their scans otherwise, as with another number of cores
+        spark.conf.set("spark.sql.files.openCostInBytes", "1" if len(plans) % 2 else "64m")
+        return out
+
+    monkeypatch.setattr(module, "staged", staged)
+    try:
+        result = run(docs)
+        if module is neardup:
+            assert by_id(result, "n_shingles", "component_id") == neardup.brute_force(corpus())
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "monotonically_increasing_id" not in plan
+
+
 # ---- benchmark passages ------------------------------------------------------------------
 
 

@@ -18,7 +18,8 @@ def staged(df: DataFrame, name: str, settings: dict[str, str] | None = None) ->
 
     That cuts the lineage at a table which survives lost executors. The shuffle files
     that the write needed are released when it ends, so the disk holds one phase of a
-    long operator at a time.
+    long operator at a time. Row numbers belong into `df`: numbered after the reread, rows
+    would get other numbers in each job whose scan is split otherwise.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)

@@ -71,9 +71,9 @@ def exact_groups(
             "_digest",
             (F.lit(None).cast("string") if digest is sha256 else sha256(F.col("_text"))).alias("_sha"),
             F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"),
-        ),
+        ).withColumn("_row", F.monotonically_increasing_id()),
         "exact-links",
-    ).withColumn("_row", F.monotonically_increasing_id())
+    )
     if digest is sha256:
         links = links.withColumn("_sha", F.col("_digest"))
 

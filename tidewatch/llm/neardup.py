@@ -378,9 +378,10 @@ def near_duplicates(
     classes = staged(
         sketches.filter("n_shingles > 0")
         .groupBy("set_key", "n_shingles", "bits", "signature")
-        .agg(F.min("doc_id").alias("first"), F.min(_row_key(F.col("text_hash"))).alias("row_key")),
+        .agg(F.min("doc_id").alias("first"), F.min(_row_key(F.col("text_hash"))).alias("row_key"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
-    ).withColumn("node", F.monotonically_increasing_id())
+    )
     parts = components(_links(docs, classes, percent, size, coordinates))
     placed = classes.select("set_key", "first", "node").join(parts, "node", "left").withColumn(
         "component", F.coalesce("component", "node")

@@ -119,8 +119,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     """
     keyed = id_text(docs).withColumn("_doc", document_key(F.col("doc_id"), F.col("text")))
     verdicts = staged(judge_seeds(post_seeds(keyed, _letters, size, gram).drop("n").withColumn("n", F.lit(1)), later=True), "repeat-seeds")
-    rows = staged(_extended(with_verdicts(keyed, verdicts), size, gram), "repeat-rows").withColumn(
-        "_row", F.monotonically_increasing_id()
+    rows = staged(
+        _extended(with_verdicts(keyed, verdicts), size, gram).withColumn("_row", F.monotonically_increasing_id()), "repeat-rows"
     )
     windows = rows.select("_row", "_doc", F.explode("windows").alias("w")).select("_row", "_doc", "w.*")
     shared = (

@@ -315,8 +315,8 @@ def remove_repeated_strings(docs: DataFrame, size: int = SIZE, gram: int = GRAM,
         return lambda text: table[np.frombuffer(text, np.uint8)]
 
     verdicts = staged(judge_seeds(post_seeds(keyed, letters, size, gram), later=False), "string-seeds")
-    rows = staged(_cut(with_verdicts(keyed, verdicts), size, gram), "string-rows").withColumn(
-        "_row", F.monotonically_increasing_id()
+    rows = staged(
+        _cut(with_verdicts(keyed, verdicts), size, gram).withColumn("_row", F.monotonically_increasing_id()), "string-rows"
     )
     probes = rows.filter(F.size("pieces") > 0)
     pieces = probes.select(F.col("_row").alias("row"), F.explode("pieces").alias("p")).select("row", "p.*")
