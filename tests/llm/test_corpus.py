@@ -381,6 +381,30 @@ def test_secrets(spark, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def test_secret_values_of_one_word(spark):
+    texts = {
+        1: ('{"token":"%s","n":1}' % HEX, {HEX}),
+        2: (f"see https://bob:{HEX[:24]}@h.io now", {HEX[:24]}),
+        3: ("password = P@ssw0rd!2024", {"P@ssw0rd!2024"}),
+        4: ('{"api_key":"%s","region":"us-east-1"}' % HEX[:32], {HEX[:32]}),
+        5: (f"GET /v1/items?token={HEX}&user=bob,api_key={HEX[::-1]};", {HEX, HEX[::-1]}),
+        6: (f'{{\\"secret\\":\\"{HEX}\\"}}', {HEX}),
+        7: ('password = get_password_from_vault("primary_database")', set()),
+        8: ("author = Johnathan", set()),
+        9: ("postgres://bob:Pa$$w0rd!@db/x", {"Pa$$w0rd!"}),
+        11: (f'token = "{HEX}", secret = {HEX[::-1]}.', {HEX, HEX[::-1]}),
+    }
+    found = secrets.with_features(secrets.candidates(table(spark, [(i, t) for i, (t, _) in texts.items()])))
+    rows = [(r["doc_id"], r["value"], r["named"] or r["key"].startswith("//")) for r in found.collect()]
+    assert {i: {v for j, v, named in rows if i == j and named} for i in texts} == {i: want for i, (_, want) in texts.items()}
+    assert (4, "us-east-1", False) in [(i, v, bool(n)) for i, v, n in rows]
+    long = found.sparkSession.createDataFrame([(1, "k9" * 200_000), (2, "password=" + "x#" * 2000)], "doc_id int, text string")
+    assert secrets.candidates(long).count() == 2
+
+
 # ---- queries and pipeline ----------------------------------------------------------------
 
 

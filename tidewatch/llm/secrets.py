@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are words with a long run of key characters, or values assigned to a word such
-as `token`. A forest scores each by its length, character transitions, dictionary
+Candidates are the runs of key characters in words with a long one, and values assigned to
+a name such as `token`, with their symbols. A forest scores each by its length, character transitions, dictionary
 coverage, the document's path and the neighbouring words. Everything is built-in
 expressions and the JVM's forest.
 """
@@ -24,9 +24,24 @@ HELD_OUT_MODULUS = 5
 
 # fixed values: patterns of candidates and of their surroundings
 LONG_RUN = "(?=\\S*[0-9])\\S*[A-Za-z0-9+/_=-]{16,}\\S*"
-VALUE = "([A-Za-z0-9+/_=.~-]{8,})[^A-Za-z0-9+/_=.~-]*$"
 KEYWORD = "(?i)(secret|token|passw(or)?d|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|credential|auth|bearer)"
 ASSIGNMENT = "(:|=|:=|=>|->|is)"
+# fixed values: a name that a value is assigned to, inside one word or at the end of the word before
+NAME = "(?:secret|token(?!iz|is)|passw(?:or)?d|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|credential|auth(?!or(?!i[zs]))|bearer)"
+NAMED = "(?i:[\\w./-]{0,60}?" + NAME + "[\\w./\\]-]{0,40}?)"
+CLOSE, SIGN, OPEN = "(?:\\\\*[\"'`])?\\]?", "(?::=|=>|->|=|:(?!//))", "(?:\\\\*[\"'`])?"
+# fixed values: the password in an address
+LOGIN = "(?<=:)//[^\\s/:@\"'`]{0,80}:[^\\s/\"'`<>]{8,}?@(?=[\\w.\\[-]+(?:[^\\w.@-]|$))"
+# fixed values: the parts of a word that can be values, the first that fits at each place
+RUN = "[A-Za-z0-9+/_.~-]{8,}+(?:={1,2}(?![A-Za-z0-9]))?"
+QUOTED = "(\\\\*[\"'`])(?:(?!\\1)\\S){8,}+(?:\\1|$)"
+BARE = (
+    "(?![\\w.]+[(\\[])(?![{(\\[$<])(?:(?![&,;|][\"'\\w.\\[\\]-]{1,80}[:=])[^\\s\"'`]){8,}+"
+)
+ASSIGNED = NAMED + CLOSE + SIGN + "(?:" + QUOTED + "|" + BARE + ")"
+LOGIN_PIECE = "^//[^:]*:(.*)@$"
+PIECE = LOGIN + "|" + ASSIGNED + "|[\\w./-]{1,80}?" + CLOSE + SIGN + OPEN + "(?![\\w.]+[(\\[])" + RUN + "|" + RUN
+HEAD = "^[\\w./\\]-]{1,140}?" + CLOSE + SIGN + OPEN + "(?=\\S{8})"
 PLACEHOLDER = "(?i)(example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234567|test|todo|redacted)"
 TEST_PATH = "(?i)(test|example|sample|mock|fixture|doc|readme)"
 CODE_PATH = "(?i)(\\.env|conf|settings|\\.ya?ml|\\.json|\\.properties|\\.py|\\.js|\\.sh)"
@@ -46,7 +61,7 @@ DICTIONARY = (
 ).split()
 FEATURES = [
     "length", "digits", "uppers", "symbols", "distinct", "entropy", "class_changes", "case_changes", "doubled",
-    "consonants", "hex", "dictionary", "placeholder", "keyword_near", "assigned", "quoted", "prose_near", "test_path",
+    "consonants", "hex", "dictionary", "placeholder", "keyword_near", "assigned", "named", "quoted", "prose_near", "test_path",
     "code_path",
 ]
 
@@ -55,34 +70,56 @@ def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.greatest(F.lit(1), F.length(value))
 
 
+def _value(piece: Column, key: Column) -> Column:
+    """What is assigned in a piece: without its quotes, or without the marks that end a bare value."""
+    rest = F.substring(piece, F.length(key) + 1, F.length(piece))
+    closed = F.when(rest.rlike("[({\\[]"), rest).otherwise(F.regexp_replace(rest, "[)\\]}]+[.,;]*$", ""))
+    bare = F.regexp_replace(closed, "[\\\\.,;]+$", "")
+    return (
+        F.when(piece.rlike(LOGIN_PIECE), F.regexp_extract(piece, LOGIN_PIECE, 1))
+        .when(key.rlike("[\"'`]$"), F.regexp_replace(rest, "\\\\*[\"'`]$", ""))
+        .when(key.rlike("(?i)" + NAME), bare)
+        .otherwise(rest)
+    )
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, position, word, value, before2, before and after of each candidate.
+    """doc_id, path, position, word, key, value, before2, before and after of each candidate.
 
-    Null and empty texts have none. The path is the `source` column where there is one.
+    A word has a candidate for each run of key characters; a value assigned to a secret's
+    name is whole, with its symbols, up to the closing quote, the next pair or the word's
+    end. `key` is the name it is assigned to and the sign, empty without one. Null and
+    empty texts have none. The path is the `source` column where there is one.
     """
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     words = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("_text")
-    ).filter(F.col("_text").rlike(LONG_RUN) | F.col("_text").rlike(KEYWORD))
+    ).filter(F.col("_text").rlike(LONG_RUN) | F.col("_text").rlike(KEYWORD) | F.col("_text").rlike(LOGIN))
     words = words.withColumn("_words", F.split("_text", SPACES)).drop("_text")
     at = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
     assigned = lambda i: at(i - 1).rlike("^" + ASSIGNMENT + "$") & at(i - 2).rlike(KEYWORD) & (F.length(at(i)) >= 8)
-    inside = lambda i: at(i).rlike(KEYWORD + "[\"']?[:=]\\S{8,}")
+    inside = lambda i: at(i).rlike(KEYWORD + "\\\\*[\"']?[:=]\\S{8,}")
+    named = lambda i: F.when(~assigned(i), "").when(at(i - 2).rlike("(?i)" + NAME), "secret=").otherwise("name=")
     found = F.filter(
         F.sequence(F.lit(0), F.size("_words") - 1),
-        lambda i: at(i).rlike("^" + LONG_RUN + "$") | assigned(i) | inside(i),
+        lambda i: at(i).rlike("^" + LONG_RUN + "$") | assigned(i) | inside(i) | at(i).rlike(LOGIN),
     )
     rows = F.transform(
         found,
         lambda i: F.struct(
-            i.alias("position"), at(i).alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before"), at(i + 1).alias("after")
+            i.alias("position"), at(i).alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before"), at(i + 1).alias("after"),
+            named(i).alias("named"),
         ),
-    )
+    )
+    pieces = F.regexp_extract_all(F.concat("named", "word"), F.lit(PIECE), F.lit(0))
     return (
         words.select("doc_id", "path", F.explode(rows).alias("c"))
         .select("doc_id", "path", "c.*")
-        .withColumn("value", F.regexp_extract("word", VALUE, 1))
+        .withColumn("piece", F.explode(pieces))
+        .withColumn("key", F.regexp_extract("piece", HEAD, 0))
+        .withColumn("value", _value(F.col("piece"), F.col("key")))
         .filter(F.length("value") >= 8)
+        .drop("named", "piece")
     )
 
 
@@ -96,7 +133,7 @@ def with_features(found: DataFrame) -> DataFrame:
         F.filter(letters, lambda c: c != ""), F.lit(0.0), lambda sum_, c: sum_ - share(c) * F.log2(share(c))
     )
     plain = F.regexp_replace(F.lower(value), "(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", "")
-    near = F.concat_ws(" ", "before2", "before", "word")
+    near = F.concat_ws(" ", "before2", "before", "key", "value")
     columns = {
         "length": n.cast("double"),
         "digits": _share(value, "[0-9]"),
@@ -112,7 +149,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "dictionary": 1 - F.length(plain) / n,
         "placeholder": value.rlike(PLACEHOLDER).cast("double"),
         "keyword_near": near.rlike(KEYWORD).cast("double"),
-        "assigned": (F.col("before").rlike("^" + ASSIGNMENT + "$") | F.col("word").rlike("\\w[\"']?[:=]\\S")).cast("double"),
+        "assigned": (F.col("before").rlike("^" + ASSIGNMENT + "$") | (F.col("key") != "")).cast("double"),
+        "named": F.col("key").rlike("(?i)" + NAME).cast("double"),
         "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         "prose_near": F.concat_ws(" ", "before", "after").rlike("^[\\p{L}]+[.,;]? [\\p{L}]+").cast("double"),
         "test_path": F.col("path").rlike(TEST_PATH).cast("double"),
@@ -130,7 +168,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
     """
     return found.filter(F.coalesce(fold(F.col("doc_id"), HELD_OUT_MODULUS), F.lit(1)) != 0).withColumn(
         "label",
-        ((F.col("keyword_near") > 0) & (F.col("assigned") > 0) & (F.col("placeholder") == 0) & (F.col("dictionary") < 0.5)).cast("double"),
+        ((F.col("named") > 0) & (F.col("placeholder") == 0) & (F.col("dictionary") < 0.5)).cast("double"),
     )
 
 
