@@ -30,8 +30,20 @@ ASSIGNMENT = "(:|=|:=|=>|->|is)"
 NAME = "(?:secret|token(?!iz|is)|passw(?:or)?d|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|credential|auth(?!or(?!i[zs]))|bearer)"
 NAMED = "(?i:[\\w./-]{0,60}?" + NAME + "[\\w./\\]-]{0,40}?)"
 CLOSE, SIGN, OPEN = "(?:\\\\*[\"'`])?\\]?", "(?::=|=>|->|=|:(?!//))", "(?:\\\\*[\"'`])?"
-# fixed values: the password in an address
+ENDS_IN_SIGN = NAMED + CLOSE + SIGN + "$"
+SCHEME = "(?i)(?:^|[^a-z])bearer$"
+AUTHORIZATION = "(?i)authorization[\"'`]?[:=]$"
+OPAQUE = "[0-9]|[A-Za-z0-9+/_=.~-]{16,}"
+# fixed values: lines of a private key's block, the password in an address, keys known by their form
+PRIVATE_KEY = "(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:\\s+(?:Proc-Type:\\s+\\S+|DEK-Info:\\s+\\S+))*|(?!^)\\G)((?:\\s|\\\\+[nr])+)([A-Za-z0-9+/=]{8,})"
+KEY_LINE = "\ue000"  # stands before each line of a private key's block
 LOGIN = "(?<=:)//[^\\s/:@\"'`]{0,80}:[^\\s/\"'`<>]{8,}?@(?=[\\w.\\[-]+(?:[^\\w.@-]|$))"
+ACCESS_KEY = "(?:AKIA|ASIA)[A-Z0-9]{16}"
+KNOWN = (
+    "^/{0,2}(?:(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_\\w{36,}|github_pat_\\w{22,}|glpat-[\\w-]{20,}|xox[abeoprs]-[\\w-]{10,}|"
+    "[sr]k_(?:live|test)_\\w{16,}|AIza[\\w-]{35}|SG\\.[\\w-]{16,}\\.[\\w-]{16,}|ya29\\.[\\w-]{20,}|npm_\\w{36}|sk-[\\w-]{20,}|"
+    "hf_\\w{30,}|pypi-[\\w-]{50,}|eyJ[\\w-]{8,}\\.eyJ[\\w-]{8,}\\.)"
+)
 # fixed values: the parts of a word that can be values, the first that fits at each place
 RUN = "[A-Za-z0-9+/_.~-]{8,}+(?:={1,2}(?![A-Za-z0-9]))?"
 QUOTED = "(\\\\*[\"'`])(?:(?!\\1)\\S){8,}+(?:\\1|$)"
@@ -40,7 +52,7 @@ BARE = (
 )
 ASSIGNED = NAMED + CLOSE + SIGN + "(?:" + QUOTED + "|" + BARE + ")"
 LOGIN_PIECE = "^//[^:]*:(.*)@$"
-PIECE = LOGIN + "|" + ASSIGNED + "|[\\w./-]{1,80}?" + CLOSE + SIGN + OPEN + "(?![\\w.]+[(\\[])" + RUN + "|" + RUN
+PIECE = KEY_LINE + "[A-Za-z0-9+/=]{8,}+|" + LOGIN + "|" + ASSIGNED + "|[\\w./-]{1,80}?" + CLOSE + SIGN + OPEN + "(?![\\w.]+[(\\[])" + RUN + "|" + RUN
 HEAD = "^[\\w./\\]-]{1,140}?" + CLOSE + SIGN + OPEN + "(?=\\S{8})"
 PLACEHOLDER = "(?i)(example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234567|test|todo|redacted)"
 TEST_PATH = "(?i)(test|example|sample|mock|fixture|doc|readme)"
@@ -76,7 +88,8 @@ def _value(piece: Column, key: Column) -> Column:
     closed = F.when(rest.rlike("[({\\[]"), rest).otherwise(F.regexp_replace(rest, "[)\\]}]+[.,;]*$", ""))
     bare = F.regexp_replace(closed, "[\\\\.,;]+$", "")
     return (
-        F.when(piece.rlike(LOGIN_PIECE), F.regexp_extract(piece, LOGIN_PIECE, 1))
+        F.when(piece.startswith(KEY_LINE), F.substring(piece, 2, F.length(piece)))
+        .when(piece.rlike(LOGIN_PIECE), F.regexp_extract(piece, LOGIN_PIECE, 1))
         .when(key.rlike("[\"'`]$"), F.regexp_replace(rest, "\\\\*[\"'`]$", ""))
         .when(key.rlike("(?i)" + NAME), bare)
         .otherwise(rest)
@@ -88,21 +101,30 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     A word has a candidate for each run of key characters; a value assigned to a secret's
     name is whole, with its symbols, up to the closing quote, the next pair or the word's
-    end. `key` is the name it is assigned to and the sign, empty without one. Null and
-    empty texts have none. The path is the `source` column where there is one.
+    end. `key` is the name it is assigned to and the sign, empty without one, `KEY_LINE`
+    for the lines of a private key. Null and empty texts have none. The path is the `source` column where there is one.
     """
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     words = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("_text")
-    ).filter(F.col("_text").rlike(LONG_RUN) | F.col("_text").rlike(KEYWORD) | F.col("_text").rlike(LOGIN))
+    ).filter(
+        F.col("_text").rlike(LONG_RUN) | F.col("_text").rlike(KEYWORD) | F.col("_text").rlike(LOGIN) | F.col("_text").rlike(ACCESS_KEY)
+    )
+    block = F.regexp_replace("_text", PRIVATE_KEY, "$1$2" + KEY_LINE + "$3")
+    words = words.withColumn("_text", F.when(F.col("_text").contains("PRIVATE KEY-----"), block).otherwise(F.col("_text")))
     words = words.withColumn("_words", F.split("_text", SPACES)).drop("_text")
     at = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
-    assigned = lambda i: at(i - 1).rlike("^" + ASSIGNMENT + "$") & at(i - 2).rlike(KEYWORD) & (F.length(at(i)) >= 8)
+    apart = lambda i: at(i - 1).rlike("^" + ASSIGNMENT + "$") & at(i - 2).rlike(KEYWORD)
+    signed = lambda i: F.right(at(i - 1), F.lit(1)).isin(":", "=", ">") & F.right(at(i - 1), F.lit(140)).rlike(ENDS_IN_SIGN)
+    scheme = lambda i: (
+        F.right(at(i - 1), F.lit(20)).rlike(SCHEME) | at(i - 1).rlike("^[A-Za-z-]+$") & at(i - 2).rlike(AUTHORIZATION)
+    ) & at(i).rlike(OPAQUE)
+    assigned = lambda i: (F.length(at(i)) >= 8) & (apart(i) | signed(i) | scheme(i))
     inside = lambda i: at(i).rlike(KEYWORD + "\\\\*[\"']?[:=]\\S{8,}")
-    named = lambda i: F.when(~assigned(i), "").when(at(i - 2).rlike("(?i)" + NAME), "secret=").otherwise("name=")
+    named = lambda i: F.when(~assigned(i), "").when(~apart(i) | at(i - 2).rlike("(?i)" + NAME), "secret=").otherwise("name=")
     found = F.filter(
         F.sequence(F.lit(0), F.size("_words") - 1),
-        lambda i: at(i).rlike("^" + LONG_RUN + "$") | assigned(i) | inside(i) | at(i).rlike(LOGIN),
+        lambda i: at(i).rlike("^" + LONG_RUN + "$") | assigned(i) | inside(i) | at(i).rlike(LOGIN) | at(i).rlike(ACCESS_KEY) | at(i).contains(KEY_LINE),
     )
     rows = F.transform(
         found,
@@ -116,7 +138,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         words.select("doc_id", "path", F.explode(rows).alias("c"))
         .select("doc_id", "path", "c.*")
         .withColumn("piece", F.explode(pieces))
-        .withColumn("key", F.regexp_extract("piece", HEAD, 0))
+        .withColumn("key", F.when(F.col("piece").startswith(KEY_LINE), KEY_LINE).otherwise(F.regexp_extract("piece", HEAD, 0)))
         .withColumn("value", _value(F.col("piece"), F.col("key")))
         .filter(F.length("value") >= 8)
         .drop("named", "piece")
@@ -149,8 +171,10 @@ def with_features(found: DataFrame) -> DataFrame:
         "dictionary": 1 - F.length(plain) / n,
         "placeholder": value.rlike(PLACEHOLDER).cast("double"),
         "keyword_near": near.rlike(KEYWORD).cast("double"),
-        "assigned": (F.col("before").rlike("^" + ASSIGNMENT + "$") | (F.col("key") != "")).cast("double"),
-        "named": F.col("key").rlike("(?i)" + NAME).cast("double"),
+        "assigned": (F.col("before").rlike("^" + ASSIGNMENT + "$|[:=]$|=>$") | (F.col("key") != "")).cast("double"),
+        "named": (
+            F.col("key").rlike("(?i)" + NAME) | (F.col("key") == KEY_LINE) | F.col("key").startswith("//") | value.rlike(KNOWN)
+        ).cast("double"),
         "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         "prose_near": F.concat_ws(" ", "before", "after").rlike("^[\\p{L}]+[.,;]? [\\p{L}]+").cast("double"),
         "test_path": F.col("path").rlike(TEST_PATH).cast("double"),
@@ -162,13 +186,14 @@ def with_features(found: DataFrame) -> DataFrame:
 def weak_labels(found: DataFrame) -> DataFrame:
     """Stand-in for a table of labelled findings where there is none.
 
-    A value assigned to a secret's keyword that is neither a placeholder nor made of
-    dictionary words is labelled 1, any other candidate 0. Only rows whose fold (crc32
-    of the id modulo 5) is not 0 are labelled.
+    A value assigned to a secret's name, one of a known form or an address's password is
+    labelled 1 unless it is a placeholder or made of dictionary words, a line of a private
+    key always, and any other candidate 0. Only rows whose fold (crc32 of the id modulo
+    5) is not 0 are labelled.
     """
+    secret = (F.col("named") > 0) & (F.col("placeholder") == 0) & (F.col("dictionary") < 0.5)
     return found.filter(F.coalesce(fold(F.col("doc_id"), HELD_OUT_MODULUS), F.lit(1)) != 0).withColumn(
-        "label",
-        ((F.col("named") > 0) & (F.col("placeholder") == 0) & (F.col("dictionary") < 0.5)).cast("double"),
+        "label", (secret | (F.col("key") == KEY_LINE)).cast("double")
     )
 
 
