@@ -427,6 +427,19 @@ def test_secret_forms_are_labelled(spark):
     assert {i: {v for j, v in rows if i == j} for i in texts} == {i: want for i, (_, want) in texts.items()}
 
 
+def test_rare_secrets_are_in_the_sample(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("0123456789", k=rng.randint(16, 30))) for _ in range(20))) for i in range(200)]
+    rows += [(i, f"copy {'7' * 9}{'3' * 9}") for i in range(300, 500)]
+    rows += [(i, f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"') for i in range(600, 612)]
+    found = secrets.scan_secrets(table(spark, rows), sample_rows=60).collect()
+    assert {r["doc_id"] for r in found if r["is_secret"]} == set(range(600, 612))
+    labelled = secrets.weak_labels(secrets.with_features(secrets.candidates(table(spark, rows))))
+    sample = secrets._sample(labelled.select(*secrets.FEATURES, "label"), 60).collect()
+    rare = labelled.filter("label = 1").select(*secrets.FEATURES).distinct().count()
+    assert len(sample) == len(set(sample)) == 60 and sum(r["label"] for r in sample) == rare > 5
+
+
 # ---- queries and pipeline ----------------------------------------------------------------
 
 

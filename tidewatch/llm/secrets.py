@@ -8,13 +8,15 @@ expressions and the JVM's forest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACES, fold
+from tidewatch.llm.common import SPACES, fold, staged
 
 SAMPLE_ROWS = 20_000
 TREES = 24
@@ -197,21 +199,43 @@ def weak_labels(found: DataFrame) -> DataFrame:
     )
 
 
+def _sample(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """At most `sample_rows` distinct rows in hash order, shared evenly by the labels.
+
+    What a rare label leaves of its share goes to the other. Rows whose hash is far above
+    the bound for their label are left out before copies are combined, so the shuffle is
+    as small as the sample.
+    """
+    rows = labelled.withColumn("_hash", F.xxhash64(*FEATURES))
+    about = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("_hash", 0.02).alias("n")).collect()}
+    share = sample_rows // max(1, len(about))
+
+    def bounds(sizes: dict) -> dict:
+        few = sum(min(n, share) for n in sizes.values())
+        return {label: share if n <= share else sample_rows - few + share for label, n in sizes.items()}
+
+    near = F.lit(False)
+    for label, bound in bounds(about).items():
+        part = min(1.0, (1.3 * bound + 200) / max(1, about[label]))
+        low = F.col("_hash") <= int(-(2**63) + part * (2**64 - 1)) if part < 1 else F.lit(True)
+        near = near | (F.col("label") == label) & low
+    kept = staged(rows.filter(near).distinct(), "secret-sample")
+    sizes = bounds({r["label"]: r["count"] for r in kept.groupBy("label").count().collect()})
+    parts = [kept.filter(F.col("label") == label).orderBy("_hash", *FEATURES).limit(sizes[label]) for label in sorted(sizes)]
+    return reduce(DataFrame.unionByName, parts, kept.limit(0)).drop("_hash")
+
+
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, position, value_sha256, value_length, probability and is_secret per candidate.
 
-    The forest is fitted on at most `sample_rows` labelled findings in hash order
-    (columns of `with_features` and `label`); without such a table `weak_labels` of the
-    candidates are used. Where all labels are equal, every candidate gets that label.
+    The forest is fitted on at most `sample_rows` labelled findings (columns of
+    `with_features` and `label`); without such a table `weak_labels` of the candidates are
+    used. Where all labels of the table are equal, every candidate gets that label.
     Documents without candidates have no rows; repeated rows repeat their findings.
     """
     found = with_features(candidates(docs))
-    sample = (
-        (weak_labels(found) if labelled is None else labelled.filter(F.col("label").isNotNull()))
-        .orderBy(F.xxhash64("value", "before", "before2"), "value", "before", "before2", *FEATURES, "label")
-        .select(*FEATURES, F.col("label").cast("double").alias("label"))
-        .limit(sample_rows)
-    )
+    weak = weak_labels(found) if labelled is None else labelled.filter(F.col("label").isNotNull())
+    sample = _sample(weak.select(*FEATURES, F.col("label").cast("double").alias("label")), sample_rows)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
     low, high = sample.agg(F.min("label"), F.max("label")).first()
     if low == high:
