@@ -354,6 +354,26 @@ def test_pages(spark):
     assert extraction.extract_main_text(pages.limit(0)).count() == 0
 
 
+PROSE = "The tide came in over the flats and the boats rose with it, one after another. "
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<form id=aspnetForm><nav><a>Home</a></nav><main><p>{PROSE}</p></main></form>", PROSE),
+        (f"<form><ul class=menu><li><a>Home</a></ul><div><p>{PROSE * 2}</p><p>{PROSE * 2}</p></div></form>", f"{PROSE * 2}\n{PROSE * 2}"),
+        (f'<div class="layout has-sidebar"><article><p>{PROSE}</p></article><div class="sidebar"><p>Next read.</p></div></div>', PROSE),
+        (f'<main class="content no-sidebar"><p>{PROSE}</p></main>', PROSE),
+        (f'<article><header class="entry-header"><h1>Tides</h1></header><p>{PROSE}</p></article>', f"Tides\n{PROSE}"),
+        (f"<article><p>{PROSE}</p></article><div class=comments><article><p>{PROSE * 2}</p></article></div>", PROSE),
+        (f"<div class=widget><p>{PROSE * 9}</p></div><article><p>{PROSE}</p></article>", f"{PROSE * 9}\n{PROSE}"),
+        (f"<article><p>\u0130</p><SCRIPT>x</SCRIPT><p>{PROSE}</p></article>", f"\u0130\n{PROSE}"),
+    ],
+)
+def test_wrappers_do_not_hide_the_text(page, want):
+    assert extraction.main_text(f"<body>{page}</body>") == want.replace(" \n", "\n").strip()
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(9)
     for _ in range(200):

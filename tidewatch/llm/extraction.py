@@ -43,42 +43,86 @@ BOILERPLATE_NAMES = frozenset(
     "signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 CONTENT_NAMES = frozenset("article articlebody content entry main post story".split())
+# fixed values: parts of compound names that speak of something else, as in `has-sidebar`
+MODIFIERS = frozenset("has no not with without is show hide hidden layout page body wrap wrapper".split())
+CLOSERS = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 
-CONTAINER = 600  # log-odds, in hundredths, of a container that tells
+CONTAINER = 600  # log-odds, in hundredths, of a container that tells content
+AGAINST = 400  # against, of one that tells boilerplate; prose of 128 words outweighs it
+HINT = 250  # against, of a compound name with a word of boilerplate
 NEXT, NEAR = 80, 60  # smoothness of neighbours on the page, and of those with one parent
 
 
 @dataclass
 class Block:
     parent: int
-    container: int  # CONTAINER, -CONTAINER or 0
+    container: int  # CONTAINER, -AGAINST, -HINT or 0; the number of the telling element until all are read
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def _evidence(name: str, tag: str, inherited: int) -> int:
-    """What an element says about the text in it; the innermost that tells counts."""
-    words = set()
-    for found in NAMES.findall(tag):
-        words.update(w for w in re.split(r"[^a-z]+", "".join(found).lower()) if w)
-    if name in BOILERPLATE_TAGS or words & BOILERPLATE_NAMES and name not in ("body", "html"):
-        return -CONTAINER
+HEADER = 1  # what a plain header says depends on where it is
+
+
+def _evidence(name: str, tag: str) -> int:
+    """What an element says by itself about the text in it: CONTAINER, -AGAINST, -HINT, HEADER or 0."""
+    if name in BOILERPLATE_TAGS:
+        return -AGAINST
+    names = {n for found in NAMES.findall(tag) for n in "".join(found).lower().split()}
+    content, hint = name in CONTENT_TAGS, False
+    for whole in names:
+        if whole in BOILERPLATE_NAMES and name not in ("body", "html"):
+            if not (name in CONTENT_TAGS or name == "header" and whole == "header"):
+                return -AGAINST
+        words = set(re.split(r"[^a-z]+", whole)) - {""}
+        content |= bool(words & CONTENT_NAMES) and not words & (BOILERPLATE_NAMES | MODIFIERS)
+        content |= whole in CONTENT_NAMES
+        hint |= bool(words & BOILERPLATE_NAMES) and whole not in BOILERPLATE_NAMES and not words & (CONTENT_NAMES | MODIFIERS)
     if name == "header":
-        return inherited if inherited > 0 else -CONTAINER
-    if name in CONTENT_TAGS or words & CONTENT_NAMES:
-        # an article inside comments or a sidebar is still boilerplate
-        return inherited if inherited < 0 else CONTAINER
-    return inherited
+        return HEADER
+    if content:
+        return CONTAINER
+    return -HINT if hint and name not in ("body", "html") else 0
+
+
+def _settle(blocks: list[Block], told: list[tuple[int, int]]) -> None:
+    """Sets each block's container from `told`, the elements that tell: evidence and next one outside.
+
+    The innermost that tells counts, and an article inside comments or a sidebar is still
+    boilerplate, unless that holds most of the page's text and no content element is
+    outside of it: then it is only a wrapper. Without any content element, one around
+    nine tenths of the text is a wrapper.
+    """
+    words = [0] * len(told)
+    for block in blocks:
+        words[block.container] += len("".join(block.parts).split())
+    articles = [int(evidence == CONTAINER) for evidence, _ in told]
+    for i in range(len(told) - 1, 0, -1):
+        words[told[i][1]] += words[i]
+        articles[told[i][1]] += articles[i]
+    says = [0] * len(told)
+    for i in range(1, len(told)):
+        evidence, outer = told[i]
+        inherited = says[outer]
+        if evidence < 0:
+            most = 2 * words[i] > words[0] if articles[0] else 10 * words[i] >= 9 * words[0]
+            says[i] = inherited if most and articles[i] == articles[0] else min(evidence, inherited)
+        elif evidence == HEADER:
+            says[i] = inherited if inherited > 0 else -AGAINST
+        else:
+            says[i] = inherited if inherited <= -AGAINST else evidence
+    for block in blocks:
+        block.container = says[block.container]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order, without scripts, styles and markup."""
-    stack: list[tuple[str, int, int]] = []  # name, evidence, number of the block-level element
+    stack: list[tuple[str, int, int]] = []  # name, innermost element that tells, number of the block-level element
     blocks: list[Block] = []
     current: Block | None = None
+    told = [(0, 0)]
     elements, links, skipped = 0, 0, 0
     at, end = 0, len(page)
-    low = None
     while at < end:
         token = TOKEN.match(page, at)
         at = token.end()
@@ -121,16 +165,20 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID or piece.endswith("/>") and name in SKIPPED:
             continue
         if name in RAW:
-            low = low if low is not None else page.lower() if len(page.lower()) == end else page
-            close = low.find("</" + name, at)
-            at = end if close < 0 else close
+            close = CLOSERS[name].search(page, at)
+            at = close.start() if close else end
         if name not in INLINE:
             elements += 1
         inherited = stack[-1][1] if stack else 0
         parent = elements if name not in INLINE else (stack[-1][2] if stack else 0)
-        stack.append((name, _evidence(name, piece, inherited), parent))
+        evidence = _evidence(name, piece)
+        if evidence:
+            told.append((evidence, inherited))
+            inherited = len(told) - 1
+        stack.append((name, inherited, parent))
         skipped += name in SKIPPED
         links += name == "a"
+    _settle(blocks, told)
     return blocks
 
 
@@ -139,7 +187,7 @@ def log_odds(block: Block, text: str) -> int:
     sentence marks."""
     words = len(text.split())
     odds = block.container - 150
-    odds += 60 * min(words, 60).bit_length()
+    odds += 60 * min(words, 255).bit_length()
     odds -= 500 * block.linked // max(1, words)
     odds += 100 if re.search(r"[.!?:;…]['\"”»)]?$", text) else 0
     return odds
