@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import contamination, exact, extraction, langid, neardup, packing, quality, secrets, substrings, suffixes
+from tidewatch.llm import contamination, exact, extraction, langid, neardup, packing, quality, secrets, substrings, suffixes, whitening
 from tidewatch.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitening_report(read_table(spark, folder, "embeddings"))
+
+
 REGISTRY: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ REGISTRY: dict[str, Query] = {
         op8_quality_classifier,
         op9_exact_dedup,
         op10_benchmark_decontamination,
+        op11_embedding_whitening,
     )
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": exact.ORACLE}
