@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import collocations, contamination, exact, extraction, langid, neardup, packing, quality, secrets, substrings, suffixes, whitening
+from tidewatch.llm import collocations, contamination, exact, extraction, katz, langid, neardup, packing, quality, secrets, substrings, suffixes, whitening
 from tidewatch.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitening_report(read_table(spark, folder, "embeddings"))
 
 
+def op12_katz_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_report(read_table(spark, folder, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(read_table(spark, folder, "documents"))
 
@@ -78,6 +82,7 @@ REGISTRY: dict[str, Query] = {
         op9_exact_dedup,
         op10_benchmark_decontamination,
         op11_embedding_whitening,
+        op12_katz_scoring,
         op13_phrase_collocations,
     )
 }

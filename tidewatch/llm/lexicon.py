@@ -102,41 +102,67 @@ class Coder:
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
 
-def counted(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of equally long columns in order, and the sums of their weights."""
+def _packed(columns: list[np.ndarray]) -> np.ndarray | None:
+    """Up to three columns of numbers as one that sorts equal rows together, if they fit.
+
+    Negative numbers get places behind the largest one.
+    """
+    if len(columns) * BITS > 63:
+        return None
+    top = max(int(c.max()) for c in columns) + 1
+    if any(c.min() < 0 for c in columns):
+        wide = np.unique(np.concatenate([c[c < 0] for c in columns]))
+        columns = [np.where(c < 0, max(top, 0) + np.searchsorted(wide, c), c) for c in columns]
+        top = max(top, 0) + len(wide)
+    if top > 1 << BITS:
+        return None
+    packed = columns[0]
+    for c in columns[1:]:
+        packed = packed << BITS | c
+    return packed
+
+
+def grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, and where each group starts in it.
+
+    Rows that share their first columns stand together as well.
+    """
     if not len(columns[0]):
-        return columns, np.zeros(0, np.int64)
-    if len(columns) * BITS < 64 and all(c.min() >= 0 and c.max() < 1 << BITS for c in columns):
-        packed = columns[0]
-        for c in columns[1:]:
-            packed = packed << BITS | c
-        if weights is None:
-            packed, sums = np.unique(packed, return_counts=True)
-        else:
-            order = np.argsort(packed)
-            packed = packed[order]
-            first = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
-            packed, sums = packed[first], np.add.reduceat(weights[order], first)
-        low = (1 << BITS) - 1
-        return [packed >> BITS * k & low for k in reversed(range(len(columns)))], sums
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    packed = _packed(columns)
+    if packed is not None:
+        order = np.argsort(packed, kind="stable")
+        packed = packed[order]
+        return order, np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
     order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
     change = np.zeros(len(order) - 1, bool)
     for c in columns:
-        change |= c[1:] != c[:-1]
-    first = np.flatnonzero(np.r_[True, change])
-    sums = np.diff(np.r_[first, len(order)]) if weights is None else np.add.reduceat(weights[order], first)
-    return [c[first] for c in columns], sums
+        change |= c[order[1:]] != c[order[:-1]]
+    return order, np.flatnonzero(np.r_[True, change])
+
+
+def counted(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of equally long columns, grouped, and the sums of their weights."""
+    order, first = grouped(columns)
+    rows = [c[order[first]] for c in columns]
+    if weights is None or not len(order):
+        return rows, np.diff(np.r_[first, len(order)])
+    return rows, np.add.reduceat(weights[order], first)
 
 
 def bucket_of(first: np.ndarray, second: np.ndarray, lexicon: Lexicon, buckets: int) -> np.ndarray:
     """The bucket of sequences by their first word, or by two words if the first is frequent."""
-    hot = np.searchsorted(-lexicon.counts, -(BUCKET_ENTRIES // 4), "right")
+    hot = frequent_words(lexicon)
     with np.errstate(over="ignore"):
         spread = mixed(first.astype(np.uint64) * np.uint64(GOLDEN))
         finer = mixed(spread + second.astype(np.uint64) * np.uint64(GOLDEN))
     return (np.where((first >= 0) & (first < hot), finer, spread) % np.uint64(buckets)).astype(np.int32)
 
 
+def frequent_words(lexicon: Lexicon) -> int:
+    """The ranks below this have a quarter of a bucket's entries or more."""
+    return int(np.searchsorted(-lexicon.counts, -(BUCKET_ENTRIES // 4), "right"))
+
+
 def bucket_count(entries: int) -> int:
     return max(1, -(-entries // BUCKET_ENTRIES))
