@@ -46,7 +46,7 @@ def by_key(rows):
 
 def test_running_totals(table, rows):
     got = running_totals(
-        table, ["key"], [F.floor(F.col("at") / 50)], [F.col("at")], {"rn": F.lit(1), "total": F.col("x")}
+        table, ["key"], [F.col("at")], {"rn": F.lit(1), "total": F.col("x")}, slice_rows=50
     )
     found = {(r["key"], r["at"]): (r["rn"], r["total"]) for r in got.collect()}
     assert len(found) == len(rows)
@@ -76,7 +76,7 @@ def reference_kinematics(group, size, first):
 
 @pytest.mark.parametrize(("size", "full"), [(5, False), (20, True)])
 def test_trailing_kinematics_across_blocks(table, rows, size, full):
-    numbered = number_rows(table.filter(F.col("key").isNotNull()), ["key"], [F.floor(F.col("at") / 64)], [F.col("at")])
+    numbered = number_rows(table.filter(F.col("key").isNotNull()), ["key"], [F.col("at")], slice_rows=64)
     got = volumetric.trailing_kinematics(numbered, ["key"], size, MODEL, full_frames_only=full, block=32)
     found = {(r["key"], r["at"]): (r["velocity"], r["acceleration"]) for r in got.collect()}
     for key, group in by_key(rows).items():
@@ -87,7 +87,7 @@ def test_trailing_kinematics_across_blocks(table, rows, size, full):
 
 
 def test_offline_rows_start_when_two_residuals_exist(table):
-    numbered = number_rows(table.filter("key = 'hot'"), ["key"], [F.floor(F.col("at") / 64)], [F.col("at")])
+    numbered = number_rows(table.filter("key = 'hot'"), ["key"], [F.col("at")], slice_rows=64)
     extra = numbered.withColumns({c: F.lit(0.0) for c in ("iat_mean", "sa_ratio", "jaccard_score", "entropy_shannon")})
     got = volumetric.offline_features(extra, ["key"], 20, MODEL, F.lit(1))
     assert got.agg(F.min("rn")).first()[0] == 21
@@ -96,7 +96,7 @@ def test_offline_rows_start_when_two_residuals_exist(table):
 
 
 def test_lookback_must_fit_a_block(table):
-    numbered = number_rows(table, ["key"], [F.lit(0)], [F.col("at")])
+    numbered = number_rows(table, ["key"], [F.col("at")])
     with pytest.raises(ValueError):
         volumetric.trailing_kinematics(numbered, ["key"], 20, MODEL, block=8)
 
@@ -135,7 +135,7 @@ def test_point_adjust_known_case(spark):
     actual, predicted = [0, 1, 1, 1, 0, 1, 1], [1, 0, 1, 0, 0, 0, 0]
     df = spark.createDataFrame(list(enumerate(zip(actual, predicted))), "at int, v struct<actual:int,predicted:int>")
     log = df.select("at", "v.*")
-    blocks = evaluate.attack_blocks(log, [], [F.floor(F.col("at") / 2)], [F.col("at")])
+    blocks = evaluate.attack_blocks(log, [], [F.col("at")], 2)
     adjusted = [r["adjusted"] for r in evaluate.point_adjusted(blocks, []).orderBy("at").collect()]
     assert adjusted == [1, 1, 1, 1, 0, 0, 0]
     m = evaluate.point_adjusted_metrics(blocks).first()
@@ -146,7 +146,7 @@ def test_point_adjust_against_brute_force(spark):
     rng = random.Random(6)
     data = [("hot" if i % 3 else "cold", i, int(rng.random() < 0.7), int(rng.random() < 0.2)) for i in range(500)]
     df = spark.createDataFrame(data, "log string, at int, actual int, predicted int").repartition(3)
-    blocks = evaluate.attack_blocks(df, ["log"], [F.floor(F.col("at") / 40)], [F.col("at")])
+    blocks = evaluate.attack_blocks(df, ["log"], [F.col("at")], 40)
     got = {r["at"]: r["adjusted"] for r in evaluate.point_adjusted(blocks, ["log"]).collect()}
     raw = {r["log"]: r["detection_rate"] for r in evaluate.confusion_metrics(df, ["log"]).collect()}
     for m in evaluate.point_adjusted_metrics(blocks, ["log"]).collect():
@@ -187,7 +187,7 @@ def test_auc_against_spark_evaluator(spark):
         (F.pmod(F.hash("id"), F.lit(97)) / 97.0).alias("score"),
         F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < 4, 1).otherwise(0).alias("actual"),
     )
-    mine = evaluate.roc_auc(evaluate.score_curve(df, "score", bands=10)).first()[0]
+    mine = evaluate.roc_auc(evaluate.score_curve(df, "score", slice_rows=10)).first()[0]
     ready = df.withColumn("label", F.col("actual").cast("double"))
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", numBins=0).evaluate(ready)
     assert mine == pytest.approx(theirs, abs=1e-9)
@@ -228,7 +228,7 @@ def test_rows_outside_runs_spread_over_the_join(spark, plain_joins):
     log = spark.range(4000).select(
         F.col("id").alias("at"), (F.col("id") % 100 == 7).cast("int").alias("actual"), F.lit(1).alias("predicted")
     )
-    blocks = evaluate.attack_blocks(log, [], [F.floor(F.col("at") / 500)], [F.col("at")])
+    blocks = evaluate.attack_blocks(log, [], [F.col("at")], 500)
     adjusted = evaluate.point_adjusted(blocks, [])
     assert adjusted.count() == 4000
     assert largest_share(adjusted.filter("adjusted >= 0")) < 0.25

@@ -25,10 +25,5 @@ def line_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The series with row numbers; a slice is one ship month."""
-    return number_rows(
-        line_series(spark, folder),
-        ["series"],
-        [F.trunc("l_shipdate", "month")],
-        [F.col(c) for c in LINE_ORDER],
-    )
+    """The series with row numbers."""
+    return number_rows(line_series(spark, folder), ["series"], [F.col(c) for c in LINE_ORDER])

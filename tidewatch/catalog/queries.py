@@ -164,9 +164,7 @@ def recorded_features(spark: SparkSession, folder: str) -> DataFrame:
     raw = recording(spark, folder)
     picked = files.feature_columns(raw, files.RECORDED_NAMES)
     rows = raw.select("series", *LINE_ORDER, *[c.alias(n) for n, c in picked.items()])
-    numbered = number_rows(
-        rows, ["series"], [F.trunc("l_shipdate", "month")], [F.col(c) for c in LINE_ORDER]
-    )
+    numbered = number_rows(rows, ["series"], [F.col(c) for c in LINE_ORDER])
     return volumetric.offline_features(
         numbered, ["series"], SPARSE.offline_rows, LINE_MODEL, F.lit(1)
     )
@@ -188,7 +186,6 @@ def detection_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.attack_blocks(
         detection_log(spark, folder),
         ["log"],
-        [F.to_date("ts")],
         [F.col("ts"), F.col("packet_id")],
     )
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.entropy import bin_index
 from tidewatch.functions.network import guarded_ratio, seconds_of_day
-from tidewatch.operators.ordering import running_totals
+from tidewatch.operators.ordering import SLICE_ROWS, running_totals
 from tidewatch.operators.scalars import row_of
+from tidewatch.session import staged
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def interval_bounds(log: DataFrame, ts: str, timeline: Sequence[Interval] = tupl
 
 
 def attack_blocks(
-    log: DataFrame, keys: Sequence[str], slices: Sequence[Column], order: Sequence[Column]
+    log: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Numbers the contiguous runs of true attacks; `log` has `actual` and `predicted`.
 
@@ -93,9 +94,9 @@ def attack_blocks(
     numbered = running_totals(
         log,
         keys,
-        slices,
         order,
         {"_rn": F.lit(1).cast("bigint"), "_an": F.col("actual").cast("bigint")},
+        slice_rows,
     )
     return numbered.withColumn(
         "block", F.when(F.col("actual") == 1, F.col("_rn") - F.col("_an"))
@@ -226,19 +227,19 @@ def class_report(df: DataFrame, actual: str = "actual", predicted: str = "predic
     return classes.drop("hits").unionByName(summary)
 
 
-def score_curve(df: DataFrame, score: str, actual: str = "actual", bands: int = 1000) -> DataFrame:
+def score_curve(df: DataFrame, score: str, actual: str = "actual", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Cumulative positives and negatives per distinct score, from the highest down.
 
-    Rows are aggregated by score first. The running sums are then cut into score bands,
-    because the distinct scores may be as many as the rows.
+    Rows are aggregated by score first. The distinct scores may be as many as the rows, on
+    any scale, so the running sums are cut at sampled quantiles of the scores.
     """
-    groups = (
+    groups = staged(
         df.groupBy(F.col(score).alias("score"))
-        .agg(F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) != 1).alias("neg"))
+        .agg(F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) != 1).alias("neg")),
+        "score-groups",
     )
-    band = -F.floor(F.col("score") * bands)
     curve = running_totals(
-        groups, [], [band], [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}
+        groups, [], [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, slice_rows
     )
     totals = row_of(groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
     return curve.withColumns({"p": totals["p"], "n": totals["n"]})

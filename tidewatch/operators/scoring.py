@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import Profile
 from tidewatch.functions import rules
-from tidewatch.functions.folds import let, scan
-from tidewatch.functions.network import clip, epoch_seconds
+from tidewatch.functions.network import epoch_seconds
+from tidewatch.operators.ordering import fold_stream
 from tidewatch.sources.schemas import FEATURE_COLUMNS
 
 LOOPBACK = "127.0.0.1"
@@ -22,62 +23,48 @@ def without_hosts(df: DataFrame, hosts: Sequence[str] = ()) -> DataFrame:
     return df.filter(~F.col("source_ip").isin(LOOPBACK, *hosts))
 
 
-def bayes_step(state: Column, at: Column, probability: Column, p: Profile) -> Column:
-    """Next (posterior, seen) of one source."""
-    gap = at - state["seen"]
-    decayed = F.greatest(
-        state["posterior"] * F.pow(F.lit(p.decay), F.floor(gap / p.step_seconds)),
-        F.lit(p.base_prior),
-    )
-    inputs = F.struct(
-        F.when(gap > p.gap_seconds, decayed).otherwise(state["posterior"]).alias("prior"),
-        clip(probability, 1e-5, 1.0 - 1e-5).alias("a"),
-    )
+class Posterior:
+    """The running posterior of one source: state is (posterior, time of the last update)."""
+
+    def __init__(self, p: Profile):
+        self.base, self.decay, self.step_seconds, self.gap = p.base_prior, p.decay, p.step_seconds, p.gap_seconds
 
-    def update(v: Column) -> Column:
-        attack = v["a"] * v["prior"]
-        normal = (F.lit(1.0) - v["a"]) * (F.lit(1.0) - v["prior"])
-        return F.struct((attack / (attack + normal)).alias("posterior"), at.alias("seen"))
+    def start(self, at: float, probability: float, skip: bool, posterior: float | None, seen: float | None):
+        return (self.base if posterior is None else posterior), seen
 
-    return let(inputs, update)
+    def step(self, state, at: float, probability: float, skip: bool, *_):
+        """Rows that are skipped or have no probability leave the state alone and give null."""
+        if skip or probability is None:
+            return state, None
+        prior, seen = state
+        if seen is not None and at - seen > self.gap:
+            prior = max(prior * self.decay ** math.floor((at - seen) / self.step_seconds), self.base)
+        a = min(max(probability, 1e-5), 1.0 - 1e-5)
+        attack, normal = a * prior, (1.0 - a) * (1.0 - prior)
+        posterior = attack / (attack + normal)
+        return (posterior, at), posterior
 
 
 def sequential_posterior(rows: DataFrame, p: Profile, state: DataFrame | None = None) -> DataFrame:
     """Adds the running posterior of each source; skipped rows get null.
 
     `rows` has one row per source and evaluation window, with `probability` and a
-    boolean `skip`. The order-dependent fold therefore sees at most one entry per window
-    of the batch, however much traffic a source sends. Longer histories are scored
-    period by period, handing `state` (source_ip, posterior, seen) on.
+    boolean `skip`. The fold depends on order, so a source's rows pass one task one by
+    one, but as a stream: it holds one state, whatever the length of the history.
+    Histories are continued period by period with `state` (source_ip, posterior, seen).
     """
-    carried = [c for c in rows.columns if c != "source_ip"]
-    item = F.struct(
-        epoch_seconds(F.col("time")).alias("_at"), *[F.col(c) for c in carried]
-    )
-    per_source = rows.groupBy("source_ip").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    fresh = F.struct(
-        F.lit(p.base_prior).alias("posterior"), F.lit(None).cast("double").alias("seen")
-    )
+    columns = rows.columns
+    timed = rows.withColumn("_at", epoch_seconds(F.col("time")).cast("double"))
     if state is None:
-        zero = fresh
+        timed = timed.withColumns({c: F.lit(None).cast("double") for c in ("_posterior", "_seen")})
     else:
-        per_source = per_source.join(state.select("source_ip", "posterior", "seen"), "source_ip", "left")
-        zero = F.struct(
-            F.coalesce("posterior", F.lit(p.base_prior)).alias("posterior"), F.col("seen").alias("seen")
-        )
-
-    def step(current: Column, x: Column) -> Column:
-        return F.when(x["skip"], current).otherwise(
-            bayes_step(current, x["_at"], x["probability"], p)
-        )
-
-    states = scan(F.col("items"), zero, step)
-    return per_source.select(
-        "source_ip", F.inline(F.arrays_zip("items", states.alias("states")))
-    ).select(
-        "source_ip",
-        *[F.col(f"items.{c}").alias(c) for c in carried],
-        F.when(~F.col("items.skip"), F.col("states.posterior")).alias("posterior"),
+        before = state.select("source_ip", F.col("posterior").alias("_posterior"), F.col("seen").alias("_seen"))
+        timed = timed.join(before, "source_ip", "left")
+    update = Posterior(p)
+    inputs = ["_at", "probability", "skip", "_posterior", "_seen"]
+    order = ["_at", *[c for c in columns if c != "source_ip"]]
+    return fold_stream(timed, "source_ip", order, inputs, update.start, update.step, "posterior").select(
+        *columns, "posterior"
     )
 
 

@@ -21,7 +21,7 @@ def log_quality(
 ) -> DataFrame:
     """Point-adjusted metrics of a log against a timeline.
 
-    `order` breaks ties of `ts`. Logs are cut by hour, so a long log spreads over tasks.
+    `order` breaks ties of `ts`.
     """
     rows = log.withColumns(
         {
@@ -29,7 +29,5 @@ def log_quality(
             "predicted": predicted.cast("int"),
         }
     )
-    blocks = evaluate.attack_blocks(
-        rows, keys, [F.date_trunc("hour", ts)], [F.col(ts), *order]
-    )
+    blocks = evaluate.attack_blocks(rows, keys, [F.col(ts), *order])
     return evaluate.point_adjusted_metrics(blocks, keys)

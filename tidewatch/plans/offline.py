@@ -17,16 +17,11 @@ from tidewatch.sources import files
 def numbered_recording(
     raw: DataFrame, names: Mapping[str, Sequence[str]] = files.LIVE_NAMES
 ) -> DataFrame:
-    """Rows of CSV recordings with their features and their position in the file.
-
-    A slice is a run of at most 2^20 rows of one file split, so no task orders a whole
-    file, not even one that cannot be split.
-    """
+    """Rows of CSV recordings with their features and their position in the file."""
     picked = files.feature_columns(raw, names)
     kept = [c for c in ("file", "split_start", "split_row", "label") if c in raw.columns]
     rows = raw.select(*kept, *[c.alias(n) for n, c in picked.items()])
-    slices = [F.col("split_start"), F.shiftright("split_row", 20)]
-    return number_rows(rows, ["file"], slices, [F.col("split_start"), F.col("split_row")])
+    return number_rows(rows, ["file"], [F.col("split_start"), F.col("split_row")])
 
 
 def train_regression(
