@@ -198,6 +198,33 @@ def test_training_loss_falls(spark):
     rows = x.select(*[(F.col("label") * 2.0 + (F.col("id") % 5) / 5.0).alias(c) for c in FEATURE_COLUMNS], "label")
     history = models.training_history(models.fit_classifier(rows, [8], 20)).orderBy("iteration").collect()
     assert history[-1]["loss"] < history[0]["loss"]
+    assert [r["iteration"] for r in history] == list(range(len(history)))
+
+
+def noise(spark, n):
+    """Features that say nothing about the label."""
+    columns = [(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 100.0).alias(c) for k, c in enumerate(FEATURE_COLUMNS)]
+    return spark.range(n).select(*columns, F.pmod(F.xxhash64("id", F.lit(99)), F.lit(2)).cast("int").alias("label"))
+
+
+def test_training_on_noise_stops_early_with_the_best_weights(spark):
+    rows = noise(spark, 600)
+    fitted = models.fit_classifier(rows, [16], iterations=500, patience=3, round_iterations=4)
+    history = models.training_history(fitted).orderBy("iteration").collect()
+    tried = [r["validation_accuracy"] for r in history if r["validation_accuracy"] is not None]
+    assert 4 <= len(tried) and len(history) < 200
+    assert max(tried[:-3]) >= max(tried[-3:]) - 1e-4
+    identity = F.concat_ws("|", *[F.col(c).cast("string") for c in FEATURE_COLUMNS], "label")
+    held = rows.filter(learning.in_test_split(identity, 10, models.VALIDATION_SEED))
+    right = fitted.score(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right == pytest.approx(max(tried))
+
+
+@pytest.mark.parametrize("rows", [12, 60])
+def test_training_without_a_validation_part_runs_all_iterations(spark, rows):
+    fitted = models.fit_classifier(noise(spark, rows), [4], iterations=6, validation_percent=0)
+    history = models.training_history(fitted).collect()
+    assert len(history) >= 2 and all(r["validation_accuracy"] is None for r in history)
 
 
 def frame(spark, linktype, hexa):

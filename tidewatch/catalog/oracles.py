@@ -734,6 +734,20 @@ FROM stored, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS sd_{c}'
         f"""SELECT {r('avg(abs(actual - predicted))', 'mean_train', 4)}, {r('stddev_pop(abs(actual - predicted))', 'sigma_train', 4)},
 {', '.join(r(f'any_value(m_{c})', f'mean_{c}', 4) + ', ' + r(f'any_value(sd_{c})', f'std_{c}', 4) for c in SERIES)}
 FROM line_fit, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS sd_{c}' for c in SERIES)} FROM lines)""",
+    ),
+    "regression_normal_equations": sql(
+        ["windows20"],
+        """SELECT term, 0.0 AS product, n FROM
+(SELECT unnest(['constant', 'n_req', 's_len', 'n_req_sq', 'n_req_s_len', 's_len_sq']) AS term),
+(SELECT count(*) AS n FROM (SELECT DISTINCT series, w FROM windows20)
+WHERE CAST('0x' || substr(md5('42-' || series || '-' || w), 1, 8) AS BIGINT) % 100 >= 20)""",
+    ),
+    "mlp_score_bounds": sql(["scored"], "SELECT count(*) AS n, count(*) AS n_probable, count(*) AS n_consistent FROM scored"),
+    "mlp_hold_out_bounds": sql(
+        ["stored", "recorded"],
+        f"""SELECT label, least(b, a) AS n, TRUE AS a_fifth_held_out, TRUE AS beats_guessing FROM (VALUES (0), (1)) AS v(label),
+(SELECT count(*) FILTER (label = 0) AS b, count(*) FILTER (label = 1) AS a
+FROM (SELECT label FROM recorded UNION ALL SELECT {RELABEL} {RECENT}))""",
     ),
     "ground_truth": sql(["packets"], f"SELECT packet_id, {TRUTH} AS is_attack, {NUMBER} AS \"interval\" FROM packets"),
     "attack_bounds": sql(

@@ -38,6 +38,7 @@ from tidewatch.operators import (
     volumetric,
 )
 from tidewatch.operators.ordering import number_rows
+from tidewatch.operators.scalars import row_of
 from tidewatch.plans import evaluation, learning_loop, offline
 from tidewatch.session import stage_path
 from tidewatch.sinks import events as event_sink
@@ -1011,6 +1012,57 @@ def regression_fit(spark, folder):
     )
 
 
+@query
+def regression_normal_equations(spark, folder):
+    """Mean of residual times term over the training windows: zero for each term of a fit
+    of least squares."""
+    entropies = line_entropies(spark, folder)
+    identity = F.concat_ws("-", "series", "w")
+    model = models.fit_entropy_model(entropies, identity)
+    train = entropies.filter(~learning.in_test_split(identity))
+    n, s = F.col("h_n_req"), F.col("h_s_len")
+    residual = F.col("h_t_vol") - volumetric.predicted_entropy(n, s, model)
+    terms = {"constant": F.lit(1.0), **volumetric.poly_terms(n, s)}
+    sums = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(residual * x).alias(t) for t, x in terms.items()])
+    rows = [F.struct(F.lit(t).alias("term"), (F.round(t, 5) + 0.0).alias("product"), "n") for t in terms]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+@query
+def mlp_score_bounds(spark, folder):
+    """Windows scored by the trained classifier: all of them, within [0, 1], on the side of
+    the prediction."""
+    scored = mlp_scores(spark, folder)
+    p, called = F.col("probability"), F.col("prediction") == 1
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(p.between(0.0, 1.0)).alias("n_probable"),
+        F.count_if(called == (p > 0.5)).alias("n_consistent"),
+    )
+
+
+@query
+def mlp_hold_out_bounds(spark, folder):
+    """Rows of each class that the base classifier learns from and is tried on, and whether
+    a fifth was held out and beats guessing the larger class."""
+    rows = classifier_rows(spark, folder)
+    _, scored = offline.train_base_classifier(rows, F.col("id"))
+    label, right = F.col("label"), F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    tried = row_of(
+        scored.agg(
+            F.count(F.lit(1)).alias("n"), right.alias("right"),
+            F.greatest(F.avg((label == 0).cast("double")), F.avg((label == 1).cast("double"))).alias("guess"),
+        )
+    )
+    total = rows.count()
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(
+        "label",
+        "n",
+        (tried["n"] / F.lit(float(total))).between(0.1, 0.3).alias("a_fifth_held_out"),
+        (tried["right"] >= tried["guess"]).alias("beats_guessing"),
+    )
+
+
 # ---- streaming ----------------------------------------------------------------------
 
 CLOSING_IP = "10.255.255.1"

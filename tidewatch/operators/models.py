@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.learning import in_test_split, scaling_stats
 from tidewatch.operators.scalars import row_of
+from tidewatch.operators.selection import exact_quantiles
 from tidewatch.operators.volumetric import (
     SERIES,
     TERMS,
@@ -25,12 +26,14 @@ from tidewatch.operators.volumetric import (
     predicted_entropy,
     series_stats,
 )
+from tidewatch.session import staged
 from tidewatch.sources.schemas import FEATURE_COLUMNS
 
 # fixed values: hidden layers of the base and of the adaptive classifier
 BASE_LAYERS = [128, 64, 32]
 ADAPTIVE_LAYERS = [64, 32]
 SEED = 42
+VALIDATION_SEED = 43
 
 
 def with_terms(entropies: DataFrame) -> DataFrame:
@@ -45,19 +48,20 @@ def fit_entropy_model(
     The scaler sees the training rows only, unless `scale_on_all` asks for all rows. The
     constant term would scale to zero, so the intercept stands for it.
     """
-    assemble = VectorAssembler(inputCols=TERMS, outputCol="terms")
-    rows = assemble.transform(with_terms(entropies).withColumn("_held_out", in_test_split(identity)))
+    held_out = in_test_split(identity).alias("_held_out")
+    rows = staged(with_terms(entropies).select(*TERMS, "h_t_vol", held_out), "regression-rows")
     train = rows.filter(~F.col("_held_out"))
-    scaler = RobustScaler(
-        inputCol="terms", outputCol="features", withCentering=True, relativeError=0.0
-    ).fit(rows if scale_on_all else train)
+    quartiles = exact_quantiles(rows if scale_on_all else train, TERMS, [0.25, 0.5, 0.75])
+    center = tuple(quartiles[c][1] for c in TERMS)
+    # a constant term keeps its scale
+    scale = tuple((quartiles[c][2] - quartiles[c][0]) or 1.0 for c in TERMS)
+    scaled = train.select("h_t_vol", *[((F.col(c) - m) / w).alias(c) for c, m, w in zip(TERMS, center, scale)])
     model = LinearRegression(
         featuresCol="features", labelCol="h_t_vol", predictionCol="p", solver="normal"
-    ).fit(scaler.transform(train))
+    ).fit(VectorAssembler(inputCols=TERMS, outputCol="features").transform(scaled))
     return EntropyModel(
-        center=tuple(float(x) for x in scaler.median),
-        # a constant term keeps its scale
-        scale=tuple(float(x) or 1.0 for x in scaler.range),
+        center=center,
+        scale=scale,
         weights=tuple(float(x) for x in model.coefficients),
         intercept=float(model.intercept),
     )
@@ -88,6 +92,7 @@ class Classifier:
     network: MultilayerPerceptronClassificationModel
     mean: list[float]
     std: list[float]
+    history: list[tuple[int, float, float | None]] = field(default_factory=list)  # of a fit of this session
 
     def assemble(self, df: DataFrame) -> DataFrame:
         return _assembled(df, self.mean, self.std)
@@ -125,31 +130,81 @@ def _assembled(df: DataFrame, mean: list[float], std: list[float]) -> DataFrame:
 
 
 def fit_classifier(
-    labelled: DataFrame, hidden: Sequence[int], iterations: int = 500, seed: int = SEED
+    labelled: DataFrame,
+    hidden: Sequence[int],
+    iterations: int = 500,
+    seed: int = SEED,
+    validation_percent: int = 10,
+    patience: int = 10,
+    tolerance: float = 1e-4,
+    round_iterations: int = 5,
 ) -> Classifier:
-    """Trains on standardised features; only 12 numbers of statistics reach the driver."""
-    stats = scaling_stats(labelled).first()
+    """Trains on standardised features until the validation part stops to improve.
+
+    `validation_percent` of the rows, by the hash of their content, take no part in the
+    fit. Training goes on in rounds of `round_iterations` from the weights of the round
+    before; after `patience` rounds without a gain of `tolerance` in validation accuracy, or
+    `iterations` in all, it ends, and the best weights are kept. With no validation part, or
+    one class left without rows in a part, all rows are used and all iterations are run.
+    Only 12 numbers of statistics and one of quality a round reach the driver.
+    """
+    identity = F.concat_ws("|", *[F.col(c).cast("string") for c in FEATURE_COLUMNS], "label")
+    rows = labelled.select(
+        *FEATURE_COLUMNS, "label", in_test_split(identity, validation_percent, VALIDATION_SEED).alias("_validation")
+    )
+    rows = staged(rows, "classifier-rows")
+    train, validation = rows.filter(~F.col("_validation")), rows.filter("_validation")
+    classes = [{r["label"] for r in part.select("label").distinct().collect()} for part in (train, validation)]
+    early = bool(validation_percent) and bool(classes[1]) and classes[0] >= classes[1] and len(classes[0]) == 2
+    if not early:
+        train = rows
+    stats = scaling_stats(train).first()
     mean = [float(stats[f"mean_{c}"]) for c in FEATURE_COLUMNS]
     std = [float(stats[f"std_{c}"]) or 1.0 for c in FEATURE_COLUMNS]
-    network = MultilayerPerceptronClassifier(
-        featuresCol="_features",
-        labelCol="label",
-        predictionCol="_prediction",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
-        layers=[len(FEATURE_COLUMNS), *hidden, 2],
-        maxIter=iterations,
-        seed=seed,
-    ).fit(_assembled(labelled.select(*FEATURE_COLUMNS, "label"), mean, std))
-    return Classifier(network, mean, std)
+    train = staged(_assembled(train, mean, std).select("_features", "label"), "classifier-train")
+
+    def fitted(count: int, weights=None) -> MultilayerPerceptronClassificationModel:
+        estimator = MultilayerPerceptronClassifier(
+            featuresCol="_features",
+            labelCol="label",
+            predictionCol="_prediction",
+            probabilityCol="_probability",
+            rawPredictionCol="_raw",
+            layers=[len(FEATURE_COLUMNS), *hidden, 2],
+            maxIter=count,
+            seed=seed,
+        )
+        return (estimator if weights is None else estimator.setInitialWeights(weights)).fit(train)
+
+    if not early:
+        network = fitted(iterations)
+        return Classifier(network, mean, std, [(i, float(x), None) for i, x in enumerate(network.summary().objectiveHistory)])
+
+    validation = staged(_assembled(validation, mean, std).select("_features", "label"), "classifier-validation")
+    network = best = None
+    top, waited, history = float("-inf"), 0, []
+    for done in range(0, iterations, round_iterations):
+        network = fitted(min(round_iterations, iterations - done), network.weights if network else None)
+        right = network.transform(validation).agg(F.avg((F.col("_prediction") == F.col("label")).cast("double"))).first()[0]
+        losses = [float(x) for x in network.summary().objectiveHistory]
+        # a later round starts where the one before ended
+        fresh = losses if not history else losses[1:]
+        history += [(len(history) + i, x, None) for i, x in enumerate(fresh)]
+        if history:
+            history[-1] = (*history[-1][:2], float(right))
+        waited = 0 if right > top + tolerance else waited + 1
+        if right > top:
+            best, top = network, right
+        # no step was possible: the optimiser has converged
+        if waited >= patience or not fresh:
+            break
+    return Classifier(best, mean, std, history)
 
 
 def training_history(classifier: Classifier) -> DataFrame:
-    """Loss per iteration of the training run that made this classifier."""
-    history = classifier.network.summary().objectiveHistory
-    return SparkSession.active().createDataFrame(
-        [(i, float(loss)) for i, loss in enumerate(history)], "iteration int, loss double"
-    )
+    """Loss per iteration of the training run that made this classifier, and the accuracy on
+    the validation part after each round (null between)."""
+    return SparkSession.active().createDataFrame(classifier.history, "iteration int, loss double, validation_accuracy double")
 
 
 VERSIONS = "version bigint, path string, created timestamp"
