@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import fold, staged
 from tidewatch.llm.lexicon import (
+    BUCKET_ENTRIES,
     LEXICON_WORDS,
-    Coder,
     Lexicon,
     bucket_count,
     bucket_of,
@@ -44,8 +45,10 @@ from tidewatch.llm.lexicon import (
 
 CUTOFF = 5
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 500_000
 SHARD_TEXTS = 50_000
+PIECE_BYTES = 1 << 22
+ROW_ENTRIES = 1 << 16
 START = -1  # the context of a text's first word
 UNIT = float(1 << 30)  # log10 probabilities are added up in units of 2^-30
 SUMS, TOKEN, RARE, CONTEXT, FOLLOWER = range(5)
@@ -56,6 +59,34 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), b""]
 
 
+def coded(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the tokens of all texts, one after the other, and how many each has."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, sizes = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # nothing stands before a first space
+    spelled = flat.dictionary_encode()
+    numbers = lexicon.numbers(key_of(spelled.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)))
+    ids = numbers[spelled.indices.to_numpy()[full]] if len(numbers) else np.zeros(0, np.int64)
+    sizes = np.bincount(text[full], minlength=len(sizes)) + 1
+    out = np.full(sizes.sum(), lexicon.numbers(key_of([b""]))[0], np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = ids
+    return out, sizes
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `PIECE_BYTES` of text; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def discounts(ranks: list[int], most: int = CUTOFF) -> list[float]:
     """Good-Turing discounts of the counts 1 to k, as Katz renormalises them.
 
@@ -104,7 +135,7 @@ def training_words(docs: DataFrame) -> DataFrame:
 
     def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        coder, held, size = Coder(Lexicon(none, none, True, none)), [], 0
+        keys_only, held, size = Lexicon(none, none, True, none), [], 0
 
         def flushed():
             (keys,), sums = counted([np.concatenate(held)])
@@ -112,8 +143,8 @@ def training_words(docs: DataFrame) -> DataFrame:
             return pa.record_batch({"key": keys, "n": sums})
 
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                held.append(coder(tokens(text)))
+            for piece in pieces_of(batch):
+                held.append(coded(piece.column("text"), keys_only)[0])
                 size += len(held[-1])
                 if size > SHARD_TOKENS:
                     size = 0
@@ -124,6 +155,8 @@ def training_words(docs: DataFrame) -> DataFrame:
     return docs.filter("NOT held_out").select("text").mapInArrow(tallied, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("f"))
 
 
+# rows of the pair tables hold long lists
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8", "spark.sql.parquet.columnarReaderBatchSize": "8"}
 HEAD = "struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double>"
 HEADS = pa.list_(
     pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
@@ -139,58 +172,53 @@ def _shards(docs: DataFrame, shared, total: int, distinct: int, buckets: int) ->
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(*shared.value)
-        coder = Coder(known)
-        ids, who, held, number = [], [], [], TaskContext.get().partitionId() << 32
+        held, number, size, texts = [], TaskContext.get().partitionId() << 32, 0, 0
 
         def shard() -> pa.RecordBatch:
             nonlocal number
             number += 1
-            sizes = np.array([len(x) for x in ids])
-            w, starts = np.concatenate(ids), np.r_[0, np.cumsum(sizes)[:-1]]
+            w, sizes = (np.concatenate(x) for x in zip(*(x[:2] for x in held)))
+            who, out = (pa.concat_arrays(x) for x in zip(*(x[2:] for x in held)))
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
             h = np.r_[START, w[:-1]]
             h[starts] = START
             count = np.where(w >= 0, known.counts[np.maximum(w, 0)], 0) if len(known.counts) else np.zeros(len(w), np.int64)
             log = np.log10((count + 1) / (total + distinct + 1))
             if not known.complete:
                 log[w < 0] = 0  # those come from a join
-            heads = list(zip(who, held, sizes.tolist(), np.add.reduceat(count > 0, starts, dtype=np.int64).tolist(), np.add.reduceat(log, starts).tolist()))
-            place = np.repeat(np.arange(len(ids)), sizes)
+            heads = pa.StructArray.from_arrays(
+                [who, out, pa.array(sizes), pa.array(np.add.reduceat(count > 0, starts, dtype=np.int64)), pa.array(np.add.reduceat(log, starts))],
+                fields=list(HEADS.value_type),
+            )
+            place = np.repeat(np.arange(len(sizes)), sizes)
             (h, w, place), n = counted([h, w, place])
-            at = np.where(np.array(held)[place], -1 - place, place).astype(np.int32)
+            at = np.where(out.to_numpy(zero_copy_only=False)[place], -1 - place, place).astype(np.int32)
             bucket = bucket_of(np.where(h == START, w, h), w, known, buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, h, w, at, n = (x[order] for x in (bucket, h, w, at, n.astype(np.int32)))
-            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)].tolist()
-            spans = list(zip(cuts, cuts[1:]))
-            none = [None]
-            out = pa.record_batch(
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            # the first row has the heads, the others the pairs
+            lists = pa.array(np.r_[0, 0, cuts[1:], len(bucket)].astype(np.int32))
+            posts = {c: pa.ListArray.from_arrays(lists, pa.array(x)) for c, x in (("h", h), ("w", w), ("at", at), ("n", n))}
+            first = pa.array(np.r_[0, np.full(len(cuts) + 1, len(sizes))].astype(np.int32))
+            return pa.record_batch(
                 {
-                    "bucket": pa.array([number % buckets, *(int(bucket[a]) for a, _ in spans)], pa.int32()),
-                    "shard": pa.array([number] * (len(spans) + 1), pa.int64()),
-                    "h": pa.array(none + [h[a:b] for a, b in spans], pa.list_(pa.int64())),
-                    "w": pa.array(none + [w[a:b] for a, b in spans], pa.list_(pa.int64())),
-                    "at": pa.array(none + [at[a:b] for a, b in spans], pa.list_(pa.int32())),
-                    "n": pa.array(none + [n[a:b] for a, b in spans], pa.list_(pa.int32())),
-                    "heads": pa.array(
-                        [[dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base"), x)) for x in heads]] + none * len(spans), HEADS
-                    ),
+                    "bucket": pa.array(np.r_[number % buckets, bucket[cuts]].astype(np.int32)),
+                    "shard": pa.array(np.full(len(cuts) + 1, number, np.int64)),
+                    **posts,
+                    "heads": pa.ListArray.from_arrays(first, heads),
                 }
             )
-            for x in (ids, who, held):
-                x.clear()
-            return out
 
-        size = 0
         for batch in batches:
-            for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out")), batch.column("text").cast(pa.binary()).to_pylist()):
-                ids.append(coder(tokens(text)))
-                who.append(doc)
-                held.append(out)
-                size += len(ids[-1])
-                if size > SHARD_TOKENS or len(ids) >= SHARD_TEXTS:
-                    size = 0
+            for piece in pieces_of(batch):
+                held.append((*coded(piece.column("text"), known), piece.column("doc_id"), piece.column("held_out")))
+                size, texts = size + len(held[-1][0]), texts + piece.num_rows
+                if size > SHARD_TOKENS or texts > SHARD_TEXTS:
+                    size = texts = 0
                     yield shard()
-        if ids:
+                    held.clear()
+        if held:
             yield shard()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(sharded, POSTS)
@@ -202,8 +230,11 @@ TABLE = (
 ).format(head=HEAD)
 
 
+TABLE_COLUMNS = [x.split()[0] for x in TABLE.replace(HEAD, "").split(", ")]
+
+
 def pair_tables(posts: DataFrame, shared) -> DataFrame:
-    """One row per bucket: contexts, their pairs with training counts, and who asked.
+    """Rows of whole contexts of a bucket: their pairs with training counts, and who asked.
 
     contexts[i] has pairs[i] of the following words `w` with count `f`; of those each was
     asked for by `asked` texts: `n` times by the text `at` of the shard shards[of]. `ranks`
@@ -211,45 +242,55 @@ def pair_tables(posts: DataFrame, shared) -> DataFrame:
     in several buckets. Rows with `heads` pass through.
     """
 
+    kinds = {"bucket": pa.int32(), "shard": pa.int64(), "heads": HEADS}
+    kinds |= {c: pa.list_(pa.int64()) for c in ("contexts", "w", "f", "shards", "ranks", "spread", "least")}
+    kinds |= {c: pa.list_(pa.int32()) for c in ("pairs", "asked", "of", "at", "n")}
+    layout = pa.schema([(c, kinds[c]) for c in TABLE_COLUMNS])
+
     def united(table: pa.Table) -> pa.Table:
         hot = frequent_words(Lexicon(*shared.value))
-        heads = table.filter(pa.compute.is_valid(table.column("heads")))
-        rows = table.filter(pa.compute.is_null(table.column("heads")))
-        out = [{"bucket": heads.column("bucket")[i].as_py(), "shard": heads.column("shard")[i].as_py(), "heads": heads.column("heads")[i]} for i in range(heads.num_rows)]
+        filled = pc.greater(pc.list_value_length(table.column("heads")), 0)
+        heads = table.filter(filled).select(["bucket", "shard", "heads"])
+        parts = [pa.table({c: heads.column(c) if c in heads.column_names else pa.nulls(heads.num_rows, kinds[c]) for c in TABLE_COLUMNS}, schema=layout)]
+        rows = table.filter(pc.invert(filled))
         if rows.num_rows:
-            shards, sizes = rows.column("shard").to_numpy(), pa.compute.list_value_length(rows.column("h")).to_numpy()
-            distinct, number = np.unique(shards, return_inverse=True)
-            of = np.repeat(number, sizes).astype(np.int32)
-            h, w, at, n = (np.concatenate([x.values.to_numpy() for x in rows.column(c)]) for c in ("h", "w", "at", "n"))
+            distinct, number = np.unique(rows.column("shard").to_numpy(), return_inverse=True)
+            of = np.repeat(number, pc.list_value_length(rows.column("h")).to_numpy()).astype(np.int32)
+            h, w, at, n = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("h", "w", "at", "n"))
             order, first = grouped([h, w])
             h, w, at, n, of = (x[order] for x in (h, w, at, n, of))
             f = np.add.reduceat(np.where(at >= 0, n, 0), first, dtype=np.int64)
-            heads_of = np.flatnonzero(np.r_[True, h[first][1:] != h[first][:-1]])
-            contexts = h[first][heads_of]
-            spread = (contexts == START) | ((contexts >= 0) & (contexts < hot))
-            least = np.minimum.reduceat(np.where(f > 0, f, np.iinfo(np.int64).max), heads_of)
-            out.append(
-                {
-                    "bucket": rows.column("bucket")[0].as_py(),
+            h, w, asked = h[first], w[first], np.diff(np.r_[first, len(at)]).astype(np.int32)
+            opened = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])  # the first pair of each context
+            # whole contexts, until a row has ROW_ENTRIES entries
+            filling = first[opened] // ROW_ENTRIES
+            cuts = [*np.flatnonzero(np.r_[True, filling[1:] != filling[:-1]]).tolist(), len(opened)]
+            pair_ends, entry_ends = np.r_[opened, len(w)], np.r_[first, len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                p, q = pair_ends[a], pair_ends[b]
+                u, v = entry_ends[p], entry_ends[q]
+                contexts, begin = h[opened[a:b]], opened[a:b] - p
+                spread = (contexts == START) | ((contexts >= 0) & (contexts < hot))
+                least = np.minimum.reduceat(np.where(f[p:q] > 0, f[p:q], np.iinfo(np.int64).max), begin)
+                used, of_row = np.unique(of[u:v], return_inverse=True)
+                row = {
                     "contexts": contexts,
-                    "pairs": np.diff(np.r_[heads_of, len(first)]),
-                    "w": w[first],
-                    "f": f,
-                    "asked": np.diff(np.r_[first, len(h)]),
-                    "shards": distinct,
-                    "of": of,
-                    "at": at,
-                    "n": n,
-                    "ranks": np.bincount(np.minimum(f, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2],
+                    "pairs": np.diff(np.r_[begin, q - p]).astype(np.int32),
+                    "w": w[p:q],
+                    "f": f[p:q],
+                    "asked": asked[p:q],
+                    "shards": distinct[used],
+                    "of": of_row.astype(np.int32),
+                    "at": at[u:v],
+                    "n": n[u:v],
+                    "ranks": np.bincount(np.minimum(f[p:q], CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2],
                     "spread": contexts[spread],
                     "least": least[spread],
                 }
-            )
-        kinds = {"bucket": pa.int32(), "shard": pa.int64(), "heads": HEADS}
-        kinds |= {c: pa.list_(pa.int64()) for c in ("contexts", "w", "f", "shards", "ranks", "spread", "least")}
-        kinds |= {c: pa.list_(pa.int32()) for c in ("pairs", "asked", "of", "at", "n")}
-        names = [x.split()[0] for x in TABLE.replace(HEAD, "").split(", ")]
-        return pa.table({c: pa.array([r.get(c).as_py() if isinstance(r.get(c), pa.Scalar) else r.get(c) for r in out], kinds[c]) for c in names})
+                lists = {c: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kinds[c].value_type)) for c, x in row.items()}
+                lists["bucket"] = pa.array([rows.column("bucket")[0].as_py()], pa.int32())
+                parts.append(pa.table({c: lists.get(c, pa.nulls(1, kinds[c])) for c in TABLE_COLUMNS}, schema=layout))
+        return pa.concat_tables(parts)
 
     return posts.groupBy("bucket").applyInArrow(united, TABLE)
 
@@ -270,11 +311,39 @@ def evaluated(tables: DataFrame, shared, words: Words, cut: list[float], starts:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(*shared.value)
         hot = frequent_words(known)
+        held: list[tuple[np.ndarray, ...]] = []
+        bucket = None
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from _terms({c: batch.column(c)[i].values.to_numpy() for c in ("contexts", "pairs", "w", "f", "asked", "shards", "of", "at", "n")}, known, hot)
+                # the rows of a bucket stand together; their sums are added up before they leave
+                if held and (batch.column("bucket")[i].as_py() != bucket or sum(len(x[0]) for x in held) > BUCKET_ENTRIES):
+                    yield summed(held)
+                    held.clear()
+                bucket = batch.column("bucket")[i].as_py()
+                row = {c: batch.column(c)[i].values.to_numpy() for c in ("contexts", "pairs", "w", "f", "asked", "shards", "of", "at", "n")}
+                yield from _terms(row, known, hot, held)
+        if held:
+            yield summed(held)
+
+    def out(kind, n, h=None, w=None, shard=None, at=None, v=None, x=None, y=None):
+        columns = {"h": (h, pa.int64()), "w": (w, pa.int64()), "shard": (shard, pa.int64()), "at": (at, pa.list_(pa.int32()))}
+        columns |= {"v": (v, pa.list_(pa.int64())), "x": (x, pa.float64()), "y": (y, pa.float64())}
+        return pa.record_batch(
+            {"kind": pa.array(np.full(n, kind, np.int32))} | {c: pa.nulls(n, k) if a is None else a if isinstance(a, pa.Array) else pa.array(a, k) for c, (a, k) in columns.items()}
+        )
 
-    def _terms(row: dict[str, np.ndarray], known: Lexicon, hot: int) -> Iterator[pa.RecordBatch]:
+    def summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        shard, at, fixed = (np.concatenate(x) for x in zip(*held))
+        shards, number = np.unique(shard, return_inverse=True)
+        (number, at), sums = counted([number.astype(np.int64), at.astype(np.int64)], fixed)
+        cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        lists = pa.array(np.r_[cuts, len(number)].astype(np.int32))
+        return out(
+            SUMS, len(cuts), shard=shards[number[cuts]], at=pa.ListArray.from_arrays(lists, pa.array(at.astype(np.int32))),
+            v=pa.ListArray.from_arrays(lists, pa.array(sums)),
+        )
+
+    def _terms(row: dict[str, np.ndarray], known: Lexicon, hot: int, held: list) -> Iterator[pa.RecordBatch]:
         contexts, w, f = row["contexts"], row["w"], row["f"]
         begin = np.r_[0, np.cumsum(row["pairs"])[:-1]]
         context = np.repeat(np.arange(len(contexts)), row["pairs"])
@@ -309,21 +378,9 @@ def evaluated(tables: DataFrame, shared, words: Words, cut: list[float], starts:
         wait = np.repeat(needs_alpha | needs_word, per)
         fixed = np.repeat(_fixed(value), per) * row["n"]
 
-        def out(kind, n, h=None, w=None, shard=None, at=None, v=None, x=None, y=None):
-            columns = {"h": (h, pa.int64()), "w": (w, pa.int64()), "shard": (shard, pa.int64()), "at": (at, pa.list_(pa.int32()))}
-            columns |= {"v": (v, pa.list_(pa.int64())), "x": (x, pa.float64()), "y": (y, pa.float64())}
-            return pa.record_batch(
-                {"kind": pa.array(np.full(n, kind, np.int32))} | {c: pa.nulls(n, k) if a is None else a if isinstance(a, pa.Array) else pa.array(a, k) for c, (a, k) in columns.items()}
-            )
-
         ready = np.flatnonzero(~wait)
         if len(ready):
-            (number, at), sums = counted([shard[ready].astype(np.int64), place[ready].astype(np.int64)], fixed[ready])
-            order = np.argsort(number, kind="stable")
-            number, at, sums = number[order], at[order].astype(np.int32), sums[order]
-            cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-            ends = np.r_[cuts[1:], len(number)]
-            yield out(SUMS, len(cuts), shard=row["shards"][number[cuts]], at=[at[a:b] for a, b in zip(cuts, ends)], v=[sums[a:b] for a, b in zip(cuts, ends)])
+            held.append((row["shards"][shard[ready]], place[ready], fixed[ready]))
 
         def singly(values, which):
             return pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32)), pa.array(values[which]))
@@ -348,7 +405,7 @@ def evaluated(tables: DataFrame, shared, words: Words, cut: list[float], starts:
         if len(which):
             yield out(CONTEXT, len(which), h=contexts[which], x=left[which], y=mass[which])
 
-    asked = tables.filter(F.col("heads").isNull()).select("contexts", "pairs", "w", "f", "asked", "shards", "of", "at", "n")
+    asked = tables.filter(F.col("heads").isNull()).select("bucket", "contexts", "pairs", "w", "f", "asked", "shards", "of", "at", "n")
     return asked.mapInArrow(terms, TERMS)
 
 
@@ -387,7 +444,7 @@ def score_texts(docs: DataFrame, held_out: Column, lexicon_words: int = LEXICON_
     spread = tables.select(F.explode(F.arrays_zip("spread", "least")).alias("s")).groupBy("s.spread").agg(F.min("s.least").alias("least"))
     bare = {r["spread"] for r in spread.filter(F.col("least") > len(cut)).collect()}
     terms = staged(
-        evaluated(tables, shared, words, cut, facts["starts"], bare), "katz-terms", {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+        evaluated(tables, shared, words, cut, facts["starts"], bare), "katz-terms", SMALL_BATCHES
     )
     return _assembled(tables, terms, counts, words, facts["total"], facts["distinct"])
 
@@ -439,7 +496,7 @@ def _assembled(tables: DataFrame, terms: DataFrame, counts: DataFrame, words: Wo
         head = table.column("heads").drop_null()[0].values
         n = len(head)
         sums = {c: np.zeros(n, np.int64) for c in "vkb"}
-        rows = table.filter(pa.compute.is_null(table.column("heads")))
+        rows = table.filter(pc.is_null(table.column("heads")))
         for i in range(rows.num_rows):
             at = rows.column("at")[i].values.to_numpy()
             for c, into in sums.items():

@@ -11,6 +11,7 @@ occurrences than a quarter of a bucket is spread over all buckets by its second
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.hashing import GOLDEN, mixed
 
 LEXICON_WORDS = 1 << 20
-BUCKET_ENTRIES = 2_000_000
-MEMO_WORDS = 300_000
+BUCKET_ENTRIES = 1_000_000
+MEMO_WORDS = 150_000
 # fixed value: the seed of Spark's xxhash64
 SEED = 42
 TOP = np.uint64(1 << 63)
@@ -38,7 +39,7 @@ def prefix_seed(prefix: bytes | None = None) -> int:
 
 
 def key_of(words, seed: int = SEED) -> np.ndarray:
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
     return (hashes | TOP).view(np.int64)
 
 
@@ -90,11 +91,11 @@ def common_words(words: DataFrame, least: int = 1, most: int = LEXICON_WORDS) ->
 class Coder:
     """Numbers of the words of texts; those of words met before are remembered."""
 
-    def __init__(self, lexicon: Lexicon, seed: int = SEED):
-        self.lexicon, self.seed, self.memo = lexicon, seed, {}
+    def __init__(self, lexicon: Lexicon, seed: int = SEED, most: int = MEMO_WORDS):
+        self.lexicon, self.seed, self.most, self.memo = lexicon, seed, most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > self.most:
             self.memo.clear()
         new = list(set(words).difference(self.memo))
         if new:
