@@ -15,6 +15,7 @@ from tidewatch.llm import (
     contamination,
     exact,
     extraction,
+    hashing,
     langid,
     neardup,
     packing,
@@ -140,7 +141,7 @@ def test_deep_shallow_order_is_sorted_order():
 
 def test_hot_anchor_streams_in_bounded_rows(spark, docs):
     keyed = docs.select("text", seeds.document_key(F.col("doc_id"), F.col("text")).alias("_doc"))
-    posts = seeds.post_seeds(keyed, substrings._letters, 13, 5).withColumn("n", F.lit(1)).persist()
+    posts = seeds.post_seeds(keyed, hashing.word_letters, 13, 5).withColumn("n", F.lit(1)).persist()
     full = lambda rows: sorted((r["doc"], r["around"]) for r in rows.collect() if r["kind"] & seeds.FULL)
     assert full(seeds.judge_seeds(posts, True, held_rows=2)) == full(seeds.judge_seeds(posts, True))
 

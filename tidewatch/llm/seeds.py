@@ -13,7 +13,7 @@ a *probe*, and the probes' windows are compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,18 +84,18 @@ def seeds(letters: np.ndarray, size: int, gram: int, powers: Powers) -> tuple[np
     return np.concatenate(places), np.concatenate(anchors), np.concatenate(around)
 
 
-def post_seeds(keyed: DataFrame, letters: Callable[[], Callable[[bytes], np.ndarray]], size: int, gram: int) -> DataFrame:
+def post_seeds(keyed: DataFrame, letters: Callable[[pa.Array], Iterable[np.ndarray]], size: int, gram: int) -> DataFrame:
     """anchor, around, doc and n (occurrences in the row), once per class and row.
 
-    `keyed` has `_doc` and `text`; `letters()` makes a function from UTF-8 to letters.
+    `keyed` has `_doc` and `text`; `letters` gives the letters of each text of a column.
     """
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, read = Powers(), letters()
+        powers = Powers()
         for batch in batches:
             anchors, around, docs, counts = [], [], [], []
-            for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                _, a, s = seeds(read(text or b""), size, gram, powers)
+            for doc, of_text in zip(batch.column("_doc").to_pylist(), letters(batch.column("text"))):
+                _, a, s = seeds(of_text, size, gram, powers)
                 if len(a):
                     order = np.lexsort((s, a))
                     a, s = a[order], s[order]

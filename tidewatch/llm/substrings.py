@@ -10,15 +10,16 @@ grouping their hashes. Repeated windows that touch or overlap are maximal repeat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import id_text, staged
-from tidewatch.llm.hashing import Memo, Powers, Substrings, word_hashes
+from tidewatch.llm.hashing import Powers, Substrings, word_letters
 from tidewatch.llm.seeds import FULL, PROBE, document_key, judge_seeds, merged, post_seeds, seeds, verdict_kinds, with_verdicts
 
 SIZE = 13
@@ -28,23 +29,18 @@ SPANS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 WINDOWS = pa.list_(pa.struct([("hash", pa.int64()), ("check", pa.int64()), ("at", pa.int32())]))
 
 
-def _letters() -> Callable[[bytes], np.ndarray]:
-    memo = Memo()
-    return lambda text: word_hashes(text.split(), memo)  # bytes split at the contract's white space
-
-
 def _extended(keyed: DataFrame, size: int, gram: int) -> DataFrame:
     """_doc, text, spans (repeated for certain) and windows (to compare) of every row."""
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, read = Powers(), _letters()
+        powers = Powers()
         for batch in batches:
             all_spans, all_windows = [], []
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for text, verdicts in zip(texts, batch.column("verdicts").to_pylist()):
+            # rows without verdicts need no letters
+            judged = pc.if_else(pc.is_valid(batch.column("verdicts")), batch.column("text"), None)
+            for letters, verdicts in zip(word_letters(judged), batch.column("verdicts").to_pylist()):
                 spans, windows = [], []
                 if verdicts:
-                    letters = read(text or b"")
                     at, _, around = seeds(letters, size, gram, powers)
                     kinds = verdict_kinds(around, verdicts)
                     low, high = np.maximum(at - (size - gram), 0), np.minimum(at + size, len(letters))
@@ -118,7 +114,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     joined by one space. Only id and text are read.
     """
     keyed = id_text(docs).withColumn("_doc", document_key(F.col("doc_id"), F.col("text")))
-    verdicts = staged(judge_seeds(post_seeds(keyed, _letters, size, gram).drop("n").withColumn("n", F.lit(1)), later=True), "repeat-seeds")
+    verdicts = staged(judge_seeds(post_seeds(keyed, word_letters, size, gram).drop("n").withColumn("n", F.lit(1)), later=True), "repeat-seeds")
     rows = staged(
         _extended(with_verdicts(keyed, verdicts), size, gram).withColumn("_row", F.monotonically_increasing_id()), "repeat-rows"
     )

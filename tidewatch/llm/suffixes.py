@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -310,9 +310,9 @@ def remove_repeated_strings(docs: DataFrame, size: int = SIZE, gram: int = GRAM,
         .withColumn("_doc", document_key(F.col("doc_id"), F.col("text")))
     )
 
-    def letters() -> Callable[[bytes], np.ndarray]:
+    def letters(texts: pa.Array) -> Iterator[np.ndarray]:
         table = byte_letters()
-        return lambda text: table[np.frombuffer(text, np.uint8)]
+        return (table[np.frombuffer(text, np.uint8)] for text in texts.cast(pa.binary()).to_pylist())
 
     verdicts = staged(judge_seeds(post_seeds(keyed, letters, size, gram), later=False), "string-seeds")
     rows = staged(
