@@ -29,6 +29,7 @@ from tidewatch.llm.common import staged
 from tidewatch.llm.hashing import GOLDEN, mixed
 from tidewatch.llm.lexicon import (
     LEXICON_WORDS,
+    MEMO_WORDS,
     Coder,
     Lexicon,
     bucket_count,
@@ -44,8 +45,8 @@ TOP_PHRASES = 2000
 COVER_PERCENT = 50
 SCALE = 1_000_000
 NO_LANG = "und"
-SHARD_TOKENS = 2_000_000
-SHARD_WORDS = 500_000
+SHARD_TOKENS = 1_000_000
+SHARD_WORDS = 200_000
 FILTER_WORDS = 1 << 21  # of 64 bits
 END = -1  # between pieces; keys of words lie far below
 # fixed values of the contract: what ends a piece, and what separates words in one
@@ -215,7 +216,7 @@ def phrase_counts(
                 if lang not in coders:
                     if len(coders) >= 64:
                         coders.clear()
-                    coders[lang] = Coder(known, prefix_seed(lang.encode()))
+                    coders[lang] = Coder(known, prefix_seed(lang.encode()), MEMO_WORDS // 4)
                 coder = coders[lang]
                 coder.memo[b"\n"] = END
                 held += [coder(pieces(text)), np.array([END])]
