@@ -10,7 +10,7 @@ import __spark_entry__ as driver
 from tidewatch.catalog.queries import REGISTRY
 
 # covered by test_streaming and test_io
-SLOW = {"stream_events", "mlp_scores", "mlp_hold_out"}
+SLOW = {"stream_events", "stream_events_by_messages", "mlp_scores", "mlp_hold_out"}
 CHECKED = sorted(n for n in set(REGISTRY) - SLOW)
 
 

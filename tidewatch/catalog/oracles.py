@@ -858,6 +858,8 @@ ORACLES["stream_events"] = sql(
 {r('probability', 'probability')}, prediction FROM stored""",
 )
 
+ORACLES["stream_events_by_messages"] = ORACLES["stream_events"]
+
 step("short_frames", ["lines"], frames("lines", "series", P.trailing_rows, False))
 step("short_long", ["short_frames"], longer("short_frames", "series, rn"))
 step("short_h", ["short_long"], renyi("short_long", "series, rn", most=P.trailing_rows))

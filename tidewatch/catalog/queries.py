@@ -1105,3 +1105,17 @@ def stream_events(spark, folder):
     return stored.filter(F.col("source_ip") != CLOSING_IP).select(
         "time", "source_ip", "analyzer", *FEATURE_COLUMNS, "probability", "prediction"
     )
+
+
+@query
+def stream_events_by_messages(spark, folder):
+    """The same events, with flows, signatures and name queries as JSON messages by topic."""
+    run = streams.MessageStreams(
+        spark, stage_path(spark, "message-streams"), SPARSE, FLOW_MODEL, "0 seconds", hosts=(HOST,)
+    )
+    packet_files(spark, folder, run.table("packets"))
+    run.run_once(lambda: lambda df: df.withColumn("probability", logistic_score()))
+    stored = event_sink.read_events(spark, run.table("events"))
+    return stored.filter(F.col("source_ip") != CLOSING_IP).select(
+        "time", "source_ip", "analyzer", *FEATURE_COLUMNS, "probability", "prediction"
+    )

@@ -17,6 +17,7 @@ class Profile:
     capture_seconds: int = 2
     evaluation_seconds: int = 10
     flow_ttl_seconds: int = 60
+    state_ttl_seconds: int = 7 * DAY  # of event time; streams forget sources and ports silent for longer
     target_port: int = 80
     minhash_size: int = 128
     trailing_rows: int = 5
@@ -66,6 +67,7 @@ SPARSE = Profile(
     capture_seconds=6 * HOUR,
     evaluation_seconds=DAY,
     flow_ttl_seconds=3 * DAY,
+    state_ttl_seconds=400 * DAY,
     gap_seconds=2 * DAY,
     step_seconds=DAY,
     port_scan_ports=2,

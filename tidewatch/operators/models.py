@@ -254,3 +254,7 @@ class CurrentModel:
         if self.classifier is None:
             raise ValueError(f"no model under {self.root}")
         return self.classifier
+
+    def scorer(self):
+        """The score function of the newest model, for a stream that asks once per batch."""
+        return self.refresh().score

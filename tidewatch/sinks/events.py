@@ -76,6 +76,26 @@ def append_log(rows: DataFrame, kind: str, path: str, fmt: str = "parquet") -> N
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def write_once(rows: DataFrame, folder: str, batch_id: int, fmt: str = "parquet") -> bool:
+    """Adds a micro-batch to a folder of batches, whole or not at all; False if it is there.
+
+    The files are written aside and come into the folder by one rename, so a reader of the
+    folder never sees a part of a batch, and a replayed batch is neither written nor seen a
+    second time.
+    """
+    spark = rows.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, aside = paths(f"{folder}/batch={batch_id}"), f"{folder}_unfinished/batch={batch_id}"
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    rows.write.mode("overwrite").format(fmt).save(aside)
+    files.mkdirs(target.getParent())
+    if not files.rename(paths(aside), target):
+        raise OSError(f"batch {batch_id} could not be moved to {folder}")
+    return True
+
+
 def newest_alerts(alerts: DataFrame, n: int = KEPT_ALERTS) -> DataFrame:
     """The rows an alert file may hold; a fixed small number."""
     return alerts.orderBy(F.desc("time"), "source_ip").limit(n)

@@ -1,30 +1,36 @@
 """Streaming stages from packets to stored events.
 
 Each stage is one query that reads a stage table as a stream and appends to the next,
-so that stages restart and scale on their own. A stage table stands where a broker
-topic would; `tidewatch.sources.messages` and `tidewatch.sinks.messages` give the broker
-form of the same rows.
+so that stages restart and scale on their own. A stage table stands where a broker topic
+would; `MessageStreams` runs the same stages over keyed JSON messages by topic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import AnalysisException
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidewatch.config import Profile
 from tidewatch.functions import rules
+from tidewatch.functions.entropy import domain_entropy
+from tidewatch.functions.network import mean_gap, syn_ack_ratio
 from tidewatch.operators import features as feature_ops
 from tidewatch.operators import flows as flow_ops
 from tidewatch.operators import spatial
 from tidewatch.operators.scoring import alerts, without_hosts
 from tidewatch.operators.volumetric import EntropyModel
 from tidewatch.session import prepare
-from tidewatch.sinks.events import write_events
-from tidewatch.sources.schemas import FEATURE_COLUMNS
+from tidewatch.sinks import messages as message_sink
+from tidewatch.sinks.events import LOG_COLUMNS, write_events, write_once
+from tidewatch.sources import messages as message_source
+from tidewatch.sources.schemas import FEATURE_COLUMNS, FLOW_MESSAGE, SIGNATURE_MESSAGE
 from tidewatch.sources.tables import dns_queries, only_transport
 from tidewatch.streaming import state
 
@@ -34,11 +40,48 @@ PACKETS = (
 )
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that the query's recent batches dropped because they came after the watermark."""
-    return sum(
-        state["numRowsDroppedByWatermark"] for batch in query.recentProgress for state in batch["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts of rows that came after the watermark, per query and batch, for a table.
+
+    Spark reports every batch once; `flush` appends what has been reported since the last
+    call. Rows that were combined before the state store count as one.
+    """
+
+    SCHEMA = "query string, batch_id bigint, at string, dropped bigint"
+
+    def __init__(self, path: str):
+        self.path = path
+        self.waiting: list[tuple[str, int, str, int]] = []
+        self.lock = Lock()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        dropped = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+        if dropped:
+            with self.lock:
+                self.waiting.append((progress.name or str(progress.id), progress.batchId, progress.timestamp, dropped))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def flush(self, spark: SparkSession) -> None:
+        with self.lock:
+            rows, self.waiting = self.waiting, []
+        if rows:
+            spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        self.flush(spark)
+        try:
+            return spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException:  # nothing was late so far
+            return spark.createDataFrame([], self.SCHEMA)
 
 
 @dataclass
@@ -56,6 +99,12 @@ class Streams:
     def table(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def late_rows(self) -> LateRows:
+        """Counts late rows of all queries of the session from now on, in the table `late`."""
+        listener = LateRows(self.table("late"))
+        self.spark.streams.addListener(listener)
+        return listener
+
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         prepare(self.spark)
         if schema is None:
@@ -67,6 +116,7 @@ class Streams:
     def _writer(self, df: DataFrame, name: str):
         return (
             df.writeStream.outputMode("append")
+            .queryName(f"{name}-{uuid.uuid4().hex[:8]}")
             .option("checkpointLocation", f"{self.root}/_checkpoints/{name}")
             .trigger(**(self.trigger or {"availableNow": True}))
         )
@@ -82,6 +132,9 @@ class Streams:
     def packets(self) -> DataFrame:
         return only_transport(self.read("packets", PACKETS)).withWatermark("ts", self.delay)
 
+    def dns(self) -> DataFrame:
+        return dns_queries(self.read("packets", PACKETS))
+
     def totals(self) -> StreamingQuery:
         return self.append(flow_ops.window_totals(self.packets(), self.profile), "totals")
 
@@ -150,7 +203,7 @@ class Streams:
             moving,
             feature_ops.stealth_features(self.read("flows")),
             feature_ops.spatial_features(self.read("spatial")),
-            feature_ops.dns_features(dns_queries(self.read("packets", PACKETS))),
+            feature_ops.dns_features(self.dns()),
         ]
         stacked = feature_ops.unify(*[b.withWatermark("ts", self.delay) for b in branches])
         return self.append(feature_ops.roll_up(stacked, self.profile), "windows")
@@ -160,9 +213,7 @@ class Streams:
         micro-batch, so that a newly published one takes over between windows."""
 
         def body(batch: DataFrame, batch_id: int) -> None:
-            rows = score()(without_hosts(batch, self.hosts))
-            # a replayed batch overwrites its own folder
-            rows.write.mode("overwrite").parquet(f"{self.table('scored')}/batch={batch_id}")
+            write_once(score()(without_hosts(batch, self.hosts)), self.table("scored"), batch_id)
 
         return self.each_batch(self.read("windows"), "scored", body)
 
@@ -201,12 +252,33 @@ class Streams:
         def body(batch: DataFrame, batch_id: int) -> None:
             batch.persist()
             write_events(batch, self.table("events"), batch_id)
-            lines = alerts(batch, p).select("line")
-            lines.write.mode("overwrite").text(f"{self.table('alerts')}/batch={batch_id}")
+            write_once(alerts(batch, p).select("line"), self.table("alerts"), batch_id, "text")
             batch.unpersist()
 
         return self.each_batch(rows, "events", body)
 
+    def telemetry(self) -> list[StreamingQuery]:
+        """The four logs of the analyzers, in their column order; a replayed batch is logged once."""
+        gaps = mean_gap(F.col("iat_sum"), F.col("iat_count"))
+        ratio = syn_ack_ratio(F.col("syn_count"), F.col("ack_count"))
+        named = self.dns().filter(F.coalesce("domain", F.lit("")) != "")
+        rows = {
+            "residual": self.read("kinematics").select("ts", "source_ip", "residual", "velocity", "acceleration"),
+            "stealth": self.read("flows").select("window_start", "source_ip", gaps, ratio),
+            "spatial": self.read("similarity").select("window_start", "target_port", "jaccard_score"),
+            "dns": named.select("ts", "source_ip", "domain", domain_entropy(F.col("domain"))),
+        }
+
+        def writer(kind: str) -> Callable[[DataFrame, int], None]:
+            def body(batch: DataFrame, batch_id: int) -> None:
+                write_once(batch, self.table(f"log-{kind}"), batch_id)
+
+            return body
+
+        return [
+            self.each_batch(df.toDF(*LOG_COLUMNS[kind]), f"log-{kind}", writer(kind)) for kind, df in rows.items()
+        ]
+
     def run_once(self, score: Callable[[], Callable[[DataFrame], DataFrame]]) -> None:
         """Runs every stage over the data that is there, in order."""
         for stage in (
@@ -225,3 +297,68 @@ class Streams:
             self.events,
         ):
             stage().awaitTermination()
+
+
+TOPICS = {
+    "flows": (message_source.FLOW_TOPIC, message_sink.encode_flows, message_source.decode_flows),
+    "signatures": (message_source.SIGNATURE_TOPIC, message_sink.encode_signatures, message_source.decode_signatures),
+    "dns": (message_source.DNS_TOPIC, message_sink.encode_dns, message_source.decode_dns),
+}
+
+
+@dataclass
+class MessageStreams(Streams):
+    """The stages with flows, signatures and name queries as keyed JSON messages by topic.
+
+    `fmt` and `options` are those of the broker's connector; with a file format, a topic is a
+    folder of messages. Whoever reads a topic sees every message of the subscription and
+    takes its own out of the running stream, and messages that do not parse are kept aside by
+    `malformed`. Topics named in `foreign` are filled by other senders.
+    """
+
+    fmt: str = "parquet"
+    options: Mapping[str, str] = field(default_factory=dict)
+    foreign: tuple[str, ...] = ()
+
+    def _folder(self, topic: str) -> str | None:
+        return None if self.fmt == "kafka" else f"{self.root}/topic={topic}"
+
+    def subscription(self, topic: str) -> DataFrame:
+        options = {**message_source.kafka_options(self.options.get("kafka.bootstrap.servers", ""), [topic]), **self.options}
+        messages = message_source.subscribe(
+            self.spark, self.fmt, options if self.fmt == "kafka" else self.options, self._folder(topic)
+        )
+        return message_source.of_topic(messages, topic)
+
+    def append(self, df: DataFrame, name: str) -> StreamingQuery:
+        if name not in TOPICS:
+            return super().append(df, name)
+        topic, encode, _ = TOPICS[name]
+        writer = self._writer(encode(df), name).format(self.fmt).options(**self.options)
+        return writer.start() if self.fmt == "kafka" else writer.start(self._folder(topic))
+
+    def read(self, name: str, schema: str | None = None) -> DataFrame:
+        if name not in TOPICS:
+            return super().read(name, schema)
+        topic, _, decode = TOPICS[name]
+        return decode(self.subscription(topic))
+
+    def name_queries(self) -> StreamingQuery:
+        """Publishes the name queries among the packets."""
+        return self.append(dns_queries(super().read("packets", PACKETS)), "dns")
+
+    def dns(self) -> DataFrame:
+        return self.read("dns")
+
+    def malformed(self, name: str) -> StreamingQuery:
+        """Messages of a topic that do not parse, as a table."""
+        topic, _, _ = TOPICS[name]
+        messages = self.subscription(topic)
+        schemas = {"flows": FLOW_MESSAGE, "signatures": SIGNATURE_MESSAGE}
+        bad = message_source.malformed(messages, schemas[name]) if name in schemas else message_source.malformed_dns(messages)
+        return super().append(bad, f"malformed-{name}")
+
+    def run_once(self, score: Callable[[], Callable[[DataFrame], DataFrame]]) -> None:
+        if "dns" not in self.foreign:
+            self.name_queries().awaitTermination()
+        super().run_once(score)

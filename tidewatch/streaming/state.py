@@ -1,7 +1,8 @@
 """Keyed state of the streaming stages.
 
 Each processor sees the rows of one key in one micro-batch. Every input holds at most
-one row per key and window, so a group is bounded by the windows of the batch.
+one row per key and window, so a group is bounded by the windows of the batch. A key that
+is silent for its TTL leaves no state behind.
 """
 
 from __future__ import annotations
@@ -83,36 +84,75 @@ class FlowGaps(StatefulProcessor):
         pass
 
 
-class Kinematics(StatefulProcessor):
+class Expiring(StatefulProcessor):
+    """A processor that forgets a key when the watermark passes the key's last event.
+
+    The watermark of these stages lies the TTL behind the newest event, so that is the
+    silence after which a key is forgotten.
+    """
+
+    def watch(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint")
+
+    def touch(self, us: int) -> None:
+        if not self.last.exists() or us > self.last.get()[0]:
+            self.last.update((us,))
+            self.handle.registerTimer(us // 1000 + 1)
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.last.exists() and self.last.get()[0] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+            self.forget()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class Kinematics(Expiring):
     """Trailing volumes and the last two residuals per source."""
 
-    def __init__(self, size: int, alpha: int, model: EntropyModel):
-        self.size, self.alpha, self.model = size, alpha, model
+    def __init__(self, p: Profile, model: EntropyModel):
+        self.size, self.alpha, self.model = p.trailing_rows, p.renyi_alpha, model
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.watch(handle)
         self.memory = handle.getValueState(
             "memory", "t array<double>, n array<double>, s array<double>, r array<double>"
         )
 
-    def _residual(self, t: list[float], n: list[float], s: list[float]) -> float:
-        values = np.array([*t, *n, *s], dtype=float)
-        h = frame_entropies(values, np.array([len(t)] * 3), self.alpha)
-        return abs(float(h[0]) - self.model.predict(float(h[1]), float(h[2])))
+    def forget(self) -> None:
+        self.memory.clear()
+
+    def _residuals(self, series: list[list[float]], new: int) -> list[float]:
+        """Residuals of the frames that end at the last `new` rows, in one entropy call."""
+        n = len(series[0])
+        frames = [x[max(0, end - self.size):end] for x in series for end in range(n - new + 1, n + 1)]
+        h = frame_entropies(np.concatenate([np.array(f, float) for f in frames]), np.array([len(f) for f in frames]), self.alpha)
+        t, u, v = h.reshape(3, new).tolist()
+        return [abs(a - self.model.predict(b, c)) for a, b, c in zip(t, u, v)]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = self.memory.get() if self.memory.exists() else ([], [], [], [])
-        t, n, s, r = (list(x) for x in state)
+        t, n, s, memory = (list(x) for x in state)
+        rows = sorted(rows, key=lambda x: x.window_start)
+        before = len(t)
+        series = [[*old, *(getattr(row, c) for row in rows)] for old, c in ((t, "t_vol"), (n, "n_req"), (s, "s_len"))]
         out = []
-        for row in sorted(rows, key=lambda x: x.window_start):
-            t, n, s = [*t, row.t_vol][-self.size:], [*n, row.n_req][-self.size:], [*s, row.s_len][-self.size:]
-            residual = velocity = acceleration = 0.0
-            if len(t) >= 2:
-                residual = self._residual(t, n, s)
-                r = [*r, residual][-3:]
-                if len(r) >= 2:
-                    velocity = abs(r[-1] - r[-2])
-                if len(r) == 3:
-                    acceleration = abs((r[2] - r[1]) - (r[1] - r[0]))
+        for at, (row, residual) in enumerate(zip(rows, self._residuals(series, len(rows))), before + 1):
+            velocity = acceleration = 0.0
+            if at < 2:  # a frame of one row has no residual yet
+                residual = 0.0
+            else:
+                memory = [*memory, residual][-3:]
+                if len(memory) >= 2:
+                    velocity = abs(memory[-1] - memory[-2])
+                if len(memory) == 3:
+                    acceleration = abs((memory[2] - memory[1]) - (memory[1] - memory[0]))
             out.append(
                 Row(
                     ts=row.window_start,
@@ -122,22 +162,24 @@ class Kinematics(StatefulProcessor):
                     acceleration=acceleration,
                 )
             )
-        self.memory.update((t, n, s, r))
+        self.memory.update((*(x[-self.size:] for x in series), memory))
+        self.touch(micros(rows[-1].window_start))
         return iter(out)
 
-    def close(self) -> None:
-        pass
-
 
-class PreviousSignature(StatefulProcessor):
+class PreviousSignature(Expiring):
     """Last signature per port; only the adjacent window can score."""
 
     def __init__(self, p: Profile):
         self.step_us, self.min_sources = p.capture_seconds * 1_000_000, p.min_sources
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.watch(handle)
         self.previous = handle.getValueState("previous", "us bigint, signature array<bigint>")
 
+    def forget(self) -> None:
+        self.previous.clear()
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         at, signature = self.previous.get() if self.previous.exists() else (None, None)
         out = []
@@ -155,21 +197,23 @@ class PreviousSignature(StatefulProcessor):
                 )
             at, signature = now, current
         self.previous.update((at, signature))
+        self.touch(at)
         return iter(out)
 
-    def close(self) -> None:
-        pass
-
 
-class Posterior(StatefulProcessor):
+class Posterior(Expiring):
     """Running posterior and last evaluation time per source."""
 
     def __init__(self, p: Profile):
         self.p = p
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.watch(handle)
         self.belief = handle.getValueState("belief", "posterior double, seen double")
 
+    def forget(self) -> None:
+        self.belief.clear()
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         p = self.p
         prior, seen = self.belief.get() if self.belief.exists() else (p.base_prior, None)
@@ -187,11 +231,9 @@ class Posterior(StatefulProcessor):
             out.append(Row(time=row.time, source_ip=key[0], posterior=prior))
         if seen is not None:
             self.belief.update((prior, seen))
+            self.touch(round(seen * 1_000_000))
         return iter(out)
 
-    def close(self) -> None:
-        pass
-
 
 def flow_gaps(summaries: DataFrame, p: Profile) -> DataFrame:
     """`summaries` carries a watermark on window_start and start_us next to it."""
@@ -201,22 +243,25 @@ def flow_gaps(summaries: DataFrame, p: Profile) -> DataFrame:
     )
 
 
+def remembered(rows: DataFrame, time: str, p: Profile) -> DataFrame:
+    """The watermark by which keys are forgotten; no row within the TTL is late."""
+    use_rocksdb(rows)
+    return rows.withWatermark(time, f"{p.state_ttl_seconds} seconds")
+
+
 def kinematics(flows: DataFrame, p: Profile, model: EntropyModel) -> DataFrame:
-    use_rocksdb(flows)
-    return flows.groupBy("source_ip").transformWithState(
-        Kinematics(p.trailing_rows, p.renyi_alpha, model), KINEMATIC_ROWS, "Append", "None"
+    return remembered(flows, "window_start", p).groupBy("source_ip").transformWithState(
+        Kinematics(p, model), KINEMATIC_ROWS, "Append", "EventTime"
     )
 
 
 def similarity(signatures: DataFrame, p: Profile) -> DataFrame:
-    use_rocksdb(signatures)
-    return signatures.groupBy("target_port").transformWithState(
-        PreviousSignature(p), SIMILARITY_ROWS, "Append", "None"
+    return remembered(signatures, "window_start", p).groupBy("target_port").transformWithState(
+        PreviousSignature(p), SIMILARITY_ROWS, "Append", "EventTime"
     )
 
 
 def posterior(rows: DataFrame, p: Profile) -> DataFrame:
-    use_rocksdb(rows)
-    return rows.groupBy("source_ip").transformWithState(
-        Posterior(p), POSTERIOR_ROWS, "Append", "None"
+    return remembered(rows, "time", p).groupBy("source_ip").transformWithState(
+        Posterior(p), POSTERIOR_ROWS, "Append", "EventTime"
     )
