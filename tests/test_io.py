@@ -146,8 +146,17 @@ def test_events_are_idempotent_partitioned_and_checked(spark, tmp_path):
 def test_retention_and_logs_and_rotation(spark, tmp_path):
     path = str(tmp_path / "events")
     event_sink.write_events(event_rows(spark), path, 1)
-    event_sink.drop_expired(spark, path, str(tmp_path / "kept"), F.lit(T0 + dt.timedelta(days=2)), 1)
-    assert event_sink.read_events(spark, str(tmp_path / "kept")).count() == 5
+    files_before = {f: f.stat().st_mtime_ns for f in (tmp_path / "events").rglob("*.parquet")}
+    days = sorted({r["date"] for r in event_sink.read_events(spark, path).select("date").collect()})
+    as_of = F.lit(T0 + dt.timedelta(days=2))
+    removed = event_sink.drop_expired(spark, path, as_of, 1)
+    first = (T0 + dt.timedelta(days=1)).date()
+    assert removed == [str(d) for d in days if d < first] and removed
+    left = {f: f.stat().st_mtime_ns for f in (tmp_path / "events").rglob("*.parquet")}
+    assert left == {f: t for f, t in files_before.items() if f in left}  # no kept file was written again
+    kept = event_sink.read_events(spark, path).filter(event_sink.since(F.lit(T0 + dt.timedelta(days=1))))
+    assert kept.count() == 5
+    assert event_sink.drop_expired(spark, path, as_of, 1) == []
     log = spark.createDataFrame([(1.0, "a", 0.1, 0.2, 0.3)], "Timestamp double, Source_IP string, Residual double, Velocity double, Acceleration double")
     for _ in range(2):
         event_sink.append_log(log, "residual", str(tmp_path / "log"), "csv")
@@ -157,6 +166,17 @@ def test_retention_and_logs_and_rotation(spark, tmp_path):
     assert files.read_log_lines(spark, str(tmp_path / "alerts")).count() == 3
 
 
+def test_processed_batches_are_not_read(spark, tmp_path):
+    path, ledger = str(tmp_path / "events"), str(tmp_path / "ledger")
+    for batch in (1, 2, 3):
+        event_sink.write_events(event_rows(spark), path, batch)
+    event_sink.append_ledger(spark.createDataFrame([(1,), (3,)], "ingest_batch_id bigint"), ledger)
+    waiting = learning.waiting_only(event_sink.read_events(spark, path), event_sink.read_ledger(spark, ledger))
+    assert {r[0] for r in waiting.select("ingest_batch_id").distinct().collect()} == {2}
+    plan = waiting._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ingest_batch_id" in plan
+
+
 def test_sanitize_run(spark, tmp_path):
     events, ledger, batch = (str(tmp_path / n) for n in ("events", "ledger", "batch"))
     event_sink.write_events(event_rows(spark), events, 1)

@@ -39,14 +39,26 @@ def unprocessed(events: DataFrame, ledger: DataFrame) -> DataFrame:
     return events.join(done, "ingest_batch_id", "left_anti")
 
 
+def waiting_only(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The same events with a filter on the batches that are not in the ledger.
+
+    Where the batch is a partition of the table, their numbers come from the partitions
+    alone, and no file of a processed batch is opened. The numbers of the batches since the
+    last run reach the driver.
+    """
+    batches = unprocessed(events.select("ingest_batch_id").distinct(), ledger)
+    return events.filter(F.col("ingest_batch_id").isin([r[0] for r in batches.collect()]))
+
+
 def _pending(events: DataFrame, ledger: DataFrame, as_of: Column) -> DataFrame:
     """Unprocessed events of the batches that end by the snapshot time.
 
     A batch that reaches beyond it waits as a whole for a later snapshot, so that no row
     of it is marked unseen or selected twice.
     """
-    ended = events.groupBy("ingest_batch_id").agg(F.max("time").alias("last")).filter(F.col("last") <= as_of)
-    return unprocessed(events, ledger).join(ended.select("ingest_batch_id"), "ingest_batch_id", "left_semi")
+    waiting = unprocessed(events, ledger)
+    ended = waiting.groupBy("ingest_batch_id").agg(F.max("time").alias("last")).filter(F.col("last") <= as_of)
+    return waiting.join(ended.select("ingest_batch_id"), "ingest_batch_id", "left_semi")
 
 
 def sanitized_batch(

@@ -26,7 +26,8 @@ def sanitize(
     The batch is written before the ledger, so a run that fails in between selects the
     same rows again.
     """
-    events, ledger = read_events(spark, events_path), read_ledger(spark, ledger_path)
+    ledger = read_ledger(spark, ledger_path)
+    events = learning.waiting_only(read_events(spark, events_path), ledger)
     batch = learning.sanitized_batch(events, ledger, as_of, p, host)
     marks = learning.processed_batches(events, ledger, as_of, p, host)
     if batch.isEmpty():

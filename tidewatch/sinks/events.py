@@ -112,8 +112,19 @@ def write_training_batch(batch: DataFrame, path: str) -> None:
     batch.write.mode("overwrite").parquet(path)
 
 
-def drop_expired(spark: SparkSession, path: str, kept_path: str, as_of: Column, days: int) -> None:
-    """Rewrites the events that are inside the retention period."""
+def drop_expired(spark: SparkSession, path: str, as_of: Column, days: int) -> list[str]:
+    """Removes the date partitions that lie wholly before the retention period.
+
+    Directories are removed and nothing is rewritten: the files of kept days stay as they
+    are, and what the first kept day holds of the time before is left to `since`. Returns the
+    removed dates.
+    """
     start = as_of - F.make_dt_interval(days=F.lit(days))
-    kept = read_events(spark, path).filter(since(start))
-    kept.write.mode("overwrite").partitionBy("date", "ingest_batch_id").parquet(kept_path)
+    first = spark.range(1).select(F.to_date(start).cast("string")).first()[0]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days_stored = {status.getPath().getName(): status.getPath() for status in files.listStatus(folder)}
+    expired = sorted(n for n in days_stored if n.startswith("date=") and n.removeprefix("date=") < first)
+    for name in expired:
+        files.delete(days_stored[name], True)
+    return [n.removeprefix("date=") for n in expired]
