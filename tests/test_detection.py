@@ -59,7 +59,7 @@ def reference_flows(packets, p):
 def test_flow_rows_match_the_packet_loop(spark):
     packets = traffic()
     df = spark.createDataFrame(packets, PACKET).repartition(6)
-    got = {(r["window_start"].timestamp(), r["source_ip"]): r for r in flows.flow_rows(df, LIVE).collect()}
+    got = {(r["window_start"].timestamp(), r["source_ip"]): r for r in flows.flow_rows(flows.packet_summary(df, LIVE), LIVE).collect()}
     want = reference_flows(packets, LIVE)
     assert set(got) == {(float(w), ip) for w, ip in want}
     for (w, ip), x in want.items():
@@ -71,7 +71,7 @@ def test_flow_rows_match_the_packet_loop(spark):
 def test_packet_gaps_add_up_to_the_flow_counters(spark):
     df = spark.createDataFrame(traffic(), PACKET)
     per_packet = flows.packet_gaps(df, LIVE).agg(F.sum("iat"), F.count("iat")).first()
-    per_flow = flows.source_counters(df, LIVE).agg(F.sum("iat_sum"), F.sum("iat_count")).first()
+    per_flow = flows.source_counters(flows.flow_summaries(df, LIVE), LIVE).agg(F.sum("iat_sum"), F.sum("iat_count")).first()
     assert per_packet[1] == per_flow[1]
     assert per_packet[0] == pytest.approx(per_flow[0], abs=1e-3)
 
@@ -287,3 +287,12 @@ def test_scaling_keeps_constant_columns_finite(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, y double")
     got = learning.scaled(df, learning.scaling_stats(df, ["x", "y"]), ["x", "y"]).orderBy("x").collect()
     assert [tuple(r) for r in got] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_packets_are_read_once_for_flows_and_similarity(spark, folder):
+    """Everything but the name queries comes from the summary's table."""
+    from tidewatch.catalog import queries
+
+    frame = queries.REGISTRY["unified_features"](spark, folder)
+    scans = [line for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in line]
+    assert sum("event_id" in line for line in scans) <= 1  # name queries

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import SPARSE
 from tidewatch.functions.entropy import frame_entropies
-from tidewatch.operators import evaluate, learning, spatial, spikes, volumetric
+from tidewatch.operators import evaluate, flows, learning, spatial, spikes, volumetric
 from tidewatch.operators.ordering import number_rows, running_totals
 from tidewatch.operators.volumetric import EntropyModel
 from tidewatch.sources.tables import with_qname
@@ -253,6 +253,7 @@ def test_sources_of_one_flood_spread_over_the_join(spark, plain_joins):
         F.lit("192.0.2.1").alias("dst_ip"),
         F.lit(6).alias("proto"),
     )
-    scored = spatial.similarity_per_source(packets, SPARSE)
+    packets = packets.withColumns({"src_port": F.lit(1), "tcp_flags": F.lit(2), "length": F.lit(60)})
+    scored = spatial.similarity_per_source(flows.packet_summary(packets, SPARSE), SPARSE)
     assert scored.count() == 2000  # the first window has no earlier signature
     assert largest_share(scored) < 0.4

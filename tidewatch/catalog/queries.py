@@ -108,7 +108,7 @@ def queried_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flow_table(spark: SparkSession, folder: str) -> DataFrame:
-    return flows.flow_rows(packets(spark, folder), SPARSE)
+    return flows.flow_rows(flows.packet_summary(packets(spark, folder), SPARSE), SPARSE)
 
 
 def scored_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -517,7 +517,7 @@ def spatial_jaccard(spark, folder):
 @query
 def spatial_fanout(spark, folder):
     """The similarity score for every source of the window."""
-    return spatial.similarity_per_source(packets(spark, folder), SPARSE)
+    return spatial.similarity_per_source(flows.packet_summary(packets(spark, folder), SPARSE), SPARSE)
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Profile
 from tidewatch.functions.entropy import domain_entropy
 from tidewatch.functions.network import mean_gap, syn_ack_ratio
-from tidewatch.operators.flows import flow_rows
+from tidewatch.operators.flows import flow_rows, packet_summary
 from tidewatch.operators.spatial import similarity_per_source
 from tidewatch.operators.volumetric import EntropyModel, flow_kinematics
 
@@ -130,12 +130,12 @@ def roll_up(features: DataFrame, p: Profile, ts: str = "ts") -> DataFrame:
 def window_features(
     packets: DataFrame, queries: DataFrame, p: Profile, model: EntropyModel
 ) -> DataFrame:
-    """Packets and DNS queries to evaluation-window features."""
-    flows = flow_rows(packets, p)
+    """Packets and DNS queries to evaluation-window features; packets are read once."""
+    summary = packet_summary(packets, p)
     return roll_up(
         unify(
-            flow_features(flows, p, model),
-            spatial_features(similarity_per_source(packets, p)),
+            flow_features(flow_rows(summary, p), p, model),
+            spatial_features(similarity_per_source(summary, p)),
             dns_features(queries),
         ),
         p,

@@ -14,6 +14,7 @@ from tidewatch.functions.network import (
     has_flag,
     is_valid_ip,
 )
+from tidewatch.session import staged
 from tidewatch.sources.tables import only_transport
 
 FLOW_KEY = ["src_ip", "src_port", "dst_ip", "dst_port"]
@@ -25,6 +26,15 @@ def capture_window(seconds: int, ts: str = "ts") -> Column:
     return F.window(ts, f"{seconds} seconds").alias("window")
 
 
+def _volumes(p: Profile) -> list[Column]:
+    seconds = F.lit(float(p.capture_seconds))
+    return [
+        (F.col("bytes") / seconds).alias("t_vol"),
+        (F.col("packets") / seconds).alias("n_req"),
+        guarded_ratio(F.col("bytes"), F.col("packets")).alias("s_len"),
+    ]
+
+
 def window_totals(packets: DataFrame, p: Profile) -> DataFrame:
     """Bytes per second, packets per second and mean length of each capture window.
 
@@ -33,15 +43,43 @@ def window_totals(packets: DataFrame, p: Profile) -> DataFrame:
     return (
         only_transport(packets).groupBy(capture_window(p.capture_seconds))
         .agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("packets"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            (F.col("bytes") / F.lit(float(p.capture_seconds))).alias("t_vol"),
-            (F.col("packets") / F.lit(float(p.capture_seconds))).alias("n_req"),
-            guarded_ratio(F.col("bytes"), F.col("packets")).alias("s_len"),
+        .select(F.col("window.start").alias("window_start"), *_volumes(p))
+    )
+
+
+def packet_summary(packets: DataFrame, p: Profile) -> DataFrame:
+    """One row per flow, protocol and capture window, as a stage table.
+
+    It holds all that the analyzers ask of packets, so they are read and shuffled once.
+    """
+    flags = F.col("tcp_flags")
+    return staged(
+        packets.groupBy(capture_window(p.capture_seconds), *FLOW_KEY, "proto")
+        .agg(
+            F.sum("length").alias("bytes"),
+            F.min(F.unix_micros("ts")).alias("first_us"),
+            F.max(F.unix_micros("ts")).alias("last_us"),
+            F.count(F.lit(1)).alias("packets"),
+            F.count_if(has_flag(flags, SYN)).alias("syn_count"),
+            F.count_if(has_flag(flags, ACK)).alias("ack_count"),
         )
+        .select(F.col("window.start").alias("window_start"), *FLOW_KEY, "proto",
+                "bytes", "first_us", "last_us", "packets", "syn_count", "ack_count"),
+        "packet-summary",
     )
 
 
+def totals_of(summary: DataFrame, p: Profile) -> DataFrame:
+    """`window_totals` from the summary."""
+    sums = only_transport(summary).groupBy("window_start").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
+    return sums.select("window_start", *_volumes(p))
+
+
+def tcp_flows_of(summary: DataFrame) -> DataFrame:
+    """`flow_summaries` from the summary."""
+    return tcp_packets(summary).drop("proto", "bytes")
+
+
 def tcp_packets(packets: DataFrame) -> DataFrame:
     """TCP packets whose transport header could be read."""
     return packets.filter((F.col("proto") == TCP) & F.col("dst_port").isNotNull())
@@ -110,10 +148,10 @@ def flow_gaps(summaries: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def source_counters(packets: DataFrame, p: Profile) -> DataFrame:
+def source_counters(summaries: DataFrame, p: Profile) -> DataFrame:
     """Distinct ports, SYN and ACK counts and gap counters per source and window."""
     return (
-        flow_gaps(flow_summaries(packets, p), p)
+        flow_gaps(summaries, p)
         .groupBy("window_start", F.col("src_ip").alias("source_ip"))
         .agg(
             F.count_distinct("dst_port").alias("unique_ports"),
@@ -125,13 +163,14 @@ def source_counters(packets: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def flow_rows(packets: DataFrame, p: Profile) -> DataFrame:
-    """Flow rows: the window volumes next to the counters of each TCP source.
+def flow_rows(summary: DataFrame, p: Profile) -> DataFrame:
+    """Flow rows: the window volumes next to the counters of each TCP source; `summary` is a
+    `packet_summary`.
 
     Both sides are aggregates; no broadcast is forced, the optimizer broadcasts the
     totals only where their measured size allows it.
     """
-    return source_counters(packets, p).join(window_totals(packets, p), "window_start").select(
+    return source_counters(tcp_flows_of(summary), p).join(totals_of(summary, p), "window_start").select(
         "window_start",
         "source_ip",
         "t_vol",

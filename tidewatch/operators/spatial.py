@@ -50,30 +50,20 @@ def port_sources(packets: DataFrame, p: Profile) -> DataFrame:
 def signatures(sources: DataFrame, p: Profile) -> DataFrame:
     """MinHash signature and number of sources per window and port.
 
-    Every source becomes k short rows that the map side already folds to at most k rows
-    per window and port, so a flooded port shuffles k rows per task.
+    One row of k running minima per window and port and task, on the map side as well, so a
+    flooded port costs k comparisons a source and k numbers a task.
     """
-    family = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(a).cast("bigint").alias("a"),
-                F.lit(b).cast("bigint").alias("b"),
-            )
-            for i, (a, b) in enumerate(coefficients(p.minhash_size))
-        ]
-    )
-    hashed = sources.withColumn("ip", ipv4_to_long(F.col("source_ip"))).select(
-        "window_start", "target_port", "ip", F.inline(family)
-    )
-    minima = hashed.groupBy("window_start", "target_port", "i").agg(
-        F.min(address_hash(F.col("ip"), F.col("a"), F.col("b"))).alias("h"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    # k entries per group, never more
-    rows = F.array_sort(F.collect_list(F.struct("i", F.coalesce("h", F.lit(IDLE)).alias("h"))))
-    return minima.groupBy("window_start", "target_port").agg(
-        F.max("n").alias("n_sources"), F.transform(rows, lambda r: r["h"]).alias("signature")
+    ip = F.col("ip")
+    minima = [
+        F.min(address_hash(ip, F.lit(a).cast("bigint"), F.lit(b).cast("bigint"))).alias(f"h{i}")
+        for i, (a, b) in enumerate(coefficients(p.minhash_size))
+    ]
+    hashes = [F.coalesce(f"h{i}", F.lit(IDLE).cast("bigint")) for i in range(p.minhash_size)]
+    return (
+        sources.withColumn("ip", ipv4_to_long(F.col("source_ip")))
+        .groupBy("window_start", "target_port")
+        .agg(F.count(F.lit(1)).alias("n_sources"), *minima)
+        .select("window_start", "target_port", "n_sources", F.array(*hashes).alias("signature"))
     )
 
 
@@ -161,10 +151,21 @@ def first_capture_window(packets: DataFrame, p: Profile) -> Column:
     )
 
 
-def similarity_per_source(packets: DataFrame, p: Profile) -> DataFrame:
-    """The score of a window and port, once for every source that hit it."""
-    sources = port_sources(packets, p)
-    scores = signature_similarity(signatures(sources, p), first_capture_window(packets, p), p)
+def sources_of(summary: DataFrame, p: Profile) -> DataFrame:
+    """`port_sources` from a `packet_summary`."""
+    return (
+        summary.filter((F.col("proto") == TCP) & (F.col("dst_port") == p.target_port))
+        .select("window_start", F.col("dst_port").alias("target_port"), F.col("src_ip").alias("source_ip"))
+        .distinct()
+    )
+
+
+def similarity_per_source(summary: DataFrame, p: Profile) -> DataFrame:
+    """The score of a window and port, once for every source that hit it; `summary` is a
+    `packet_summary`."""
+    sources = sources_of(summary, p)
+    first = summary.agg(F.min("window_start")).scalar()
+    scores = signature_similarity(signatures(sources, p), first, p)
     # all sources of a flood meet one score: they are split by address, the score is repeated
     sources = sources.withColumn("_salt", F.pmod(F.hash("source_ip"), F.lit(FLOOD_SALTS)))
     scores = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FLOOD_SALTS - 1))))
