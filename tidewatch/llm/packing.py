@@ -93,7 +93,7 @@ def pack(
         if tokens is None
         else counted.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("_tokens", F.lit(0)).cast("bigint").alias("n"))
     )
-    lengths = staged(lengths, "lengths").withColumn("_row", F.monotonically_increasing_id())
+    lengths = staged(lengths.withColumn("_row", F.monotonically_increasing_id()), "lengths")
     total = lengths.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_tokens))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / largest) - 1)
