@@ -461,6 +461,34 @@ def test_rare_secrets_are_in_the_sample(spark):
     assert len(sample) == len(set(sample)) == 60 and sum(r["label"] for r in sample) == rare > 5
 
 
+WORDS = " ".join(["prose"] * 60) + "."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<head><title>x</title><body><article><p>One two three four five six seven.</p></article>", "One two three four five six seven."),
+        (f"<a name=top><p>{WORDS}</p><p>{WORDS}</p>", f"{WORDS}\n{WORDS}"),
+        (f"<p>{WORDS}</p><a href=x><p>{WORDS}</p>", WORDS),
+        ("<h1>Pancakes</h1><ul><li>two eggs</li><li>milk</li><li>flour and salt</li></ul><p>Mix it all.</p>", "Pancakes\ntwo eggs\nmilk\nflour and salt\nMix it all."),
+        (f"<main><p>{WORDS}</p><ol class=commentlist><li>{WORDS[:80]}.</li></ol></main>", WORDS),
+        (f"<main><p>{WORDS}</p><div id=user-comments><p>I agree with every word of this.</p></div></main>", WORDS),
+        (f"<p>{WORDS}</p><div id=footer-wrap><p>All rights are reserved by us.</p></div>", WORDS),
+        ("<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p></article>", "We know that x=2 holds for all of them."),
+        (f"<p>{WORDS}</p><table><tr><td>Year</td><td>Count</td></tr><tr><td>1999</td><td>twelve in all</td></tr></table>", f"{WORDS}\nYear\nCount\n1999\ntwelve in all"),
+        (f"<body class='has-sidebar'><div class=no-sidebar><p>{WORDS}</p></div>", WORDS),
+        ("<nav><a href=a>Home</a><a href=b>About</a></nav>", ""),
+    ],
+)
+def test_pages_that_are_easily_lost(page, want):
+    assert extraction.main_text(page) == want
+
+
+def test_a_very_long_page():
+    pages = "".join(f"<p>{WORDS} {i}.</p>" for i in range(20_000))
+    assert extraction.main_text(f"<article>{pages}</article>").count("\n") == 19_999
+
+
 # ---- queries and pipeline ----------------------------------------------------------------
 
 

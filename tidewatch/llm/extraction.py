@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,17 +24,25 @@ TOKEN = re.compile(
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
+TARGET = re.compile(r"\shref\s*=", re.I)
+
 # fixed values: element names by their meaning in HTML
-SKIPPED = frozenset("head script style noscript template svg math iframe object canvas textarea select button".split())
+SKIPPED = frozenset("head script style noscript template svg iframe object canvas textarea select button".split())
 RAW = frozenset("script style noscript template iframe textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var wbr".split()
+    "time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics annotation".split()
 )
+# fixed values: what may stand inside a sentence, shown or not; and what a head may hold
+PHRASING = INLINE | frozenset("script style noscript template svg canvas object iframe button select".split())
+HEAD_PARTS = frozenset("title meta link style script base noscript template".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+GROUPS = frozenset("ul ol dl table".split())
 # fixed values: words in class names, ids and roles
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie "
@@ -45,12 +53,17 @@ BOILERPLATE_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article articlebody content entry main post story".split())
 # fixed values: parts of compound names that speak of something else, as in `has-sidebar`
 MODIFIERS = frozenset("has no not with without is show hide hidden layout page body wrap wrapper".split())
+# fixed values: words that keep their meaning in compounds, and what is written together with them
+PLAIN = frozenset("comment comments footer sidebar breadcrumb breadcrumbs navbar newsletter cookie disqus respond".split())
+JOINED = frozenset("list area section thread box block bar links container wrap wrapper inner outer form main".split())
+NEGATIONS = frozenset("has no not with without is show hide hidden layout page body".split())
 CLOSERS = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 
 CONTAINER = 600  # log-odds, in hundredths, of a container that tells content
 AGAINST = 400  # against, of one that tells boilerplate; prose of 128 words outweighs it
 HINT = 250  # against, of a compound name with a word of boilerplate
 NEXT, NEAR = 80, 60  # smoothness of neighbours on the page, and of those with one parent
+TITLE = 80  # and of a heading with what follows it
 
 
 @dataclass
@@ -59,6 +72,8 @@ class Block:
     container: int  # CONTAINER, -AGAINST, -HINT or 0; the number of the telling element until all are read
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    heading: bool = False
+    group: int = 0  # number of the outermost list or table around it, 0 without
 
 
 HEADER = 1  # what a plain header says depends on where it is
@@ -75,6 +90,10 @@ def _evidence(name: str, tag: str) -> int:
             if not (name in CONTENT_TAGS or name == "header" and whole == "header"):
                 return -AGAINST
         words = set(re.split(r"[^a-z]+", whole)) - {""}
+        for word in [w for w in words if w not in BOILERPLATE_NAMES]:  # as in `commentlist`
+            words |= {p for p in PLAIN if word.startswith(p) and word[len(p) :] in JOINED}
+        if words & PLAIN and not words & (NEGATIONS | CONTENT_NAMES) and name not in ("body", "html", *CONTENT_TAGS):
+            return -AGAINST
         content |= bool(words & CONTENT_NAMES) and not words & (BOILERPLATE_NAMES | MODIFIERS)
         content |= whole in CONTENT_NAMES
         hint |= bool(words & BOILERPLATE_NAMES) and whole not in BOILERPLATE_NAMES and not words & (CONTENT_NAMES | MODIFIERS)
@@ -117,7 +136,8 @@ def _settle(blocks: list[Block], told: list[tuple[int, int]]) -> None:
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order, without scripts, styles and markup."""
-    stack: list[tuple[str, int, int]] = []  # name, innermost element that tells, number of the block-level element
+    # name, innermost element that tells, number of the block-level element, whether it is a link
+    stack: list[tuple[str, int, int, bool]] = []
     blocks: list[Block] = []
     current: Block | None = None
     told = [(0, 0)]
@@ -134,6 +154,8 @@ def blocks_of(page: str) -> list[Block]:
                 if not piece.strip():
                     continue
                 current = Block(stack[-1][2] if stack else 0, stack[-1][1] if stack else 0)
+                current.heading = any(s[0] in HEADINGS for s in stack)
+                current.group = next((s[2] for s in stack if s[0] in GROUPS), 0)
                 blocks.append(current)
             current.parts.append(piece)
             if links:
@@ -146,19 +168,32 @@ def blocks_of(page: str) -> list[Block]:
         if piece[1] == "/":
             if any(s[0] == name for s in stack):
                 while True:
-                    gone = stack.pop()[0]
+                    gone, *_, linked = stack.pop()
                     skipped -= gone in SKIPPED
-                    links -= gone == "a"
+                    links -= linked
                     if gone == name:
                         break
-            if name not in INLINE:
+            if name not in PHRASING:
                 current = None
             continue
         if name == "br":
             if current is not None:
                 current.parts.append(" ")
             continue
-        if name not in INLINE:
+        # the head ends where something begins that it cannot hold, a link where the next begins
+        ended = "head" if name not in HEAD_PARTS and name not in ("head", "html") else ""
+        if ended and any(s[0] == ended for s in stack):
+            while True:
+                gone, *_, linked = stack.pop()
+                skipped -= gone in SKIPPED
+                links -= linked
+                if gone == ended:
+                    break
+        if name == "a":
+            for i, (other, inherited, parent, linked) in enumerate(stack):
+                if other == "a" and linked:
+                    stack[i], links = (other, inherited, parent, False), links - 1
+        if name not in PHRASING:
             current = None
             while stack and stack[-1][0] in SELF_CLOSING.get(name, ()):
                 stack.pop()
@@ -175,17 +210,19 @@ def blocks_of(page: str) -> list[Block]:
         if evidence:
             told.append((evidence, inherited))
             inherited = len(told) - 1
-        stack.append((name, inherited, parent))
+        # an anchor without a target is no link
+        linked = name == "a" and bool(TARGET.search(piece))
+        stack.append((name, inherited, parent, linked))
         skipped += name in SKIPPED
-        links += name == "a"
+        links += linked
     _settle(blocks, told)
     return blocks
 
 
-def log_odds(block: Block, text: str) -> int:
-    """Log-odds, in hundredths, that a block is content: its container, length, links and
-    sentence marks."""
-    words = len(text.split())
+def log_odds(block: Block, text: str, words: int | None = None) -> int:
+    """Log-odds, in hundredths, that a block is content: its container, length (`words`, where
+    it counts with others), links and sentence marks."""
+    words = len(text.split()) if words is None else words
     odds = block.container - 150
     odds += 60 * min(words, 255).bit_length()
     odds -= 500 * block.linked // max(1, words)
@@ -259,11 +296,20 @@ def main_text(page: str | None) -> str:
     edges, last = [], {}
     for i, block in enumerate(blocks):
         if i and blocks[i - 1].container == block.container:
-            edges.append((i - 1, i, NEXT))
+            edges.append((i - 1, i, NEXT + (TITLE if blocks[i - 1].heading and not block.heading else 0)))
         if block.parent in last:
             edges.append((last[block.parent], i, NEAR))
         last[block.parent] = i
-    labels = minimum_cut([log_odds(b, t) for b, t in zip(blocks, texts)], edges)
+    # without a content element, the items of a list and the cells of a table count together
+    grouped, linked = Counter(), Counter()
+    for b, t in zip(blocks, texts):
+        grouped[b.group] += len(t.split())
+        linked[b.group] += b.linked
+    alone = any(b.container > 0 for b in blocks)
+    sizes = [None if alone or not b.group or b.container or linked[b.group] else grouped[b.group] for b in blocks]
+    labels = minimum_cut([log_odds(b, t, n) for b, t, n in zip(blocks, texts, sizes)], edges)
+    if not any(labels):  # a short page is its text, unless that is links or boilerplate
+        labels = [b.container >= 0 and 2 * b.linked <= len(t.split()) for b, t in zip(blocks, texts)]
     return "\n".join(t for t, content in zip(texts, labels) if content)
 
 
