@@ -294,6 +294,28 @@ def test_languages(spark, none):
     assert {r["lang_pred"] for r in langid.predict_languages(df, unlearned).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("shared", [0, 1000])
+def test_languages_with_thousands_of_letters(spark, shared):
+    """Texts of 40 letters; of 1,500 letters a language, `shared` are in both."""
+    rng = random.Random(shared)
+    starts = {"aa": 0x4E00, "bb": 0x4E00 + 1500 - shared}
+    vocabulary = {x: ["".join(chr(at + rng.randrange(1500)) for _ in range(2)) for _ in range(800)] for x, at in starts.items()}
+    rows = [(i, "".join(rng.choices(vocabulary[x], k=20)), x) for i, x in enumerate(["aa", "bb"] * 300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predict_languages(df, langid.fit_languages(df)).collect()}
+    right = [got[i]["lang_pred"] == x for i, _, x in rows if got[i]["held_out"]]
+    assert len(right) > 150 and sum(right) >= 0.95 * len(right)
+
+
+def test_language_sample_has_whole_texts_and_long_ones_where_needed(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 3000, lang), lang) for i, lang in enumerate(["en", "xx"] * 4)]
+    rows += [(100 + i, sentence(rng, 30, "en"), "en") for i in range(20)] + [(100, rows[0][1], "en")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(df, langid.fit_languages(df)).collect()}
+    assert all(got[i] == x for i, _, x in rows)
+
+
 def test_quality(spark, none):
     rng = random.Random(4)
     rows = [(i, sentence(rng, 60) + "." if i % 3 else " ".join(w.upper() + "!!" for w in sentence(rng, 60).split())) for i in range(300)]

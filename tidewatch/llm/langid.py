@@ -26,9 +26,11 @@ from tidewatch.llm.common import fold, id_text
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 200
-ROW_CHARS = 1_000
+ROW_CHARS = 2_000
 SAMPLE_CHARS = 40_000
 MAX_LETTERS = 120
+# with more letters than that, the commonest keep a symbol and the others are spelled
+COMMON_LETTERS, DIGITS, SPELLED = 80, 40, 4
 HELD_OUT_MODULUS = 3
 BLOCK = 512
 BATCH_CHARS = 4_000_000
@@ -78,16 +80,29 @@ def suffix_automaton(sequence: Iterator[int] | np.ndarray) -> list[dict[int, int
 
 
 def symbol_table(letters: list[str]) -> np.ndarray:
-    """Symbol of each code point: space, a letter without an own symbol, or 2 and up."""
-    own = {c: i + 2 for i, c in enumerate(letters)}
-    table = np.zeros(0x110000, np.uint8)
+    """Symbol of each code point: 0 for what is no letter, and for letters 2 and up.
+
+    `letters` are those of the sample, commonest first. Up to `MAX_LETTERS` each has a
+    symbol, and a letter that no sample holds is 1, which matches nothing. Of more letters,
+    `COMMON_LETTERS` have a symbol, and any other is -1 minus its code point, to be spelled
+    in `SPELLED` digits: so no two letters are the same, however many there are.
+    """
+    spelled = len(letters) > MAX_LETTERS
+    own = {c: i + 2 for i, c in enumerate(letters[:COMMON_LETTERS] if spelled else letters)}
+    table = np.zeros(0x110000, np.int32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            table[point] = own.get(c.lower()[0], OTHER_LETTER)
+            lower = c.lower()[0]
+            table[point] = own.get(lower, -1 - ord(lower) if spelled else OTHER_LETTER)
     return table
 
 
+def width_of(table: np.ndarray) -> int:
+    """Number of symbols in use."""
+    return 2 + COMMON_LETTERS + DIGITS if table.min() < 0 else int(table.max(initial=OTHER_LETTER)) + 1
+
+
 def to_symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts in a row and the bounds of each text among them."""
     joined = "".join(t + " " for t in texts)
@@ -95,8 +110,16 @@ def to_symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
     kept = codes != SPACE
     kept[1:] |= codes[:-1] != SPACE  # the first space after a letter stays
-    at = np.concatenate([[0], np.cumsum(kept)])
-    return codes[kept], at[bounds]
+    sizes = kept.astype(np.int64)
+    rare = codes < 0
+    sizes[rare] = SPELLED
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.repeat(codes, sizes)
+    spelled = np.flatnonzero(rare)
+    for digit in range(SPELLED):  # the first digits are those that a script has in common
+        value = (-1 - codes[spelled]) // DIGITS ** (SPELLED - 1 - digit) % DIGITS
+        out[at[spelled] + digit] = 2 + COMMON_LETTERS + value
+    return out.astype(np.uint8), at[bounds]
 
 
 def phrase_counts(
@@ -133,26 +156,28 @@ def fit_languages(
 ) -> LanguageModel:
     """Builds one automaton per language from a bounded sample of labelled rows.
 
-    Per language: the first `sample_rows` rows in hash order with a language and a text
-    whose fold (crc32 of the id modulo 3) is not 1, of each the first `row_chars`
-    characters, at most `sample_chars` symbols in all. The `MAX_LETTERS` most frequent
-    letters of the sample get symbols of their own, all others share one.
+    Per language: whole texts of at most `sample_rows` rows with a language and a text whose
+    fold (crc32 of the id modulo 3) is not 1, as many as have `sample_chars` characters
+    together, one at least. Rows of up to `row_chars` characters come first, in hash order,
+    then longer ones by their length.
     """
-    first = Window.partitionBy("lang").orderBy("_hash", "doc_id", "text")
+    first = Window.partitionBy("lang").orderBy(F.greatest("_size", F.lit(row_chars)), "_hash", "doc_id", "text")
     rows = (
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("lang").cast("string").alias("lang"),
-            F.substring(F.col("text").cast("string"), 1, row_chars).alias("text"),
+            F.col("text").cast("string").alias("text"),
         )
         .filter(
             F.col("lang").isNotNull()
             & F.col("text").isNotNull()
             & (F.coalesce(fold(F.col("doc_id"), HELD_OUT_MODULUS), F.lit(0)) != 1)
         )
-        .withColumn("_hash", F.xxhash64("doc_id"))
+        .withColumns({"_hash": F.xxhash64("doc_id"), "_size": F.length("text")})
         .withColumn("_n", F.row_number().over(first))  # limited per group in the map tasks
         .filter(F.col("_n") <= sample_rows)
+        .withColumn("_sum", F.sum("_size").over(Window.partitionBy("lang").orderBy("_n")))
+        .filter((F.col("_sum") <= sample_chars) | (F.col("_n") == 1))
         .orderBy("lang", "_n")
         .select("lang", "text")
         .collect()
@@ -161,11 +186,11 @@ def fit_languages(
     for row in rows:
         texts.setdefault(row["lang"], []).append(row["text"])
     seen = Counter(c.lower()[0] for parts in texts.values() for t in parts for c in t if c.isalpha())
-    table = symbol_table(sorted(sorted(seen), key=lambda c: -seen[c])[:MAX_LETTERS])
-    width = len(seen.most_common(MAX_LETTERS)) + 2
+    table = symbol_table(sorted(sorted(seen), key=lambda c: -seen[c]))
+    width = width_of(table)
     languages, tables, bits = [], [], []
     for language in sorted(texts):
-        codes = to_symbols(texts[language], table)[0][:sample_chars]
+        codes = to_symbols(texts[language], table)[0]
         if not (codes != SPACE).any():
             continue
         following = suffix_automaton(codes.tolist())
@@ -183,7 +208,7 @@ def fit_languages(
 def identify(texts: list[str | None], model: LanguageModel) -> tuple[list[str], list[float]]:
     """Language and score of each text; `und` and 0 without a letter or a learned language."""
     found, scores = [], []
-    width = int(model.symbols.max(initial=OTHER_LETTER)) + 1
+    width = width_of(model.symbols)
     start = 0
     while start < len(texts):
         end, chars = start, 0
