@@ -180,7 +180,7 @@ def test_components_of_a_chain(spark):
 
 @pytest.mark.parametrize(
     "module,run",
-    [(neardup, neardup.near_duplicates), (exact, exact.exact_groups), (substrings, substrings.remove_repeats), (suffixes, suffixes.string_report)],
+    [(neardup, neardup.near_duplicates), (exact, exact.exact_groups), (substrings, substrings.remove_repeats), (suffixes, suffixes.string_report), (packing, packing.pack)],
 )
 def test_row_numbers_are_in_the_written_table(spark, docs, monkeypatch, module, run):
     plans = []
