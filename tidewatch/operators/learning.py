@@ -14,20 +14,40 @@ from tidewatch.sources.schemas import FEATURE_COLUMNS
 SEED = 42
 
 
-def confident(p: Profile, host: str | None = None) -> Column:
-    """Very likely benign, very likely an attack, or the host itself."""
+Hosts = str | Column | None
+
+
+def _is_host(host: str | Column) -> Column:
+    return F.col("source_ip") == host if isinstance(host, str) else host
+
+
+def confident(p: Profile, host: Hosts = None) -> Column:
+    """Very likely benign, very likely an attack, or the host itself.
+
+    `host` is an address, or a condition such as the one of `with_hosts`.
+    """
     sure = (F.col("probability") <= p.safe_probability) | (
         F.col("probability") >= p.confident_probability
     )
-    return sure if host is None else sure | (F.col("source_ip") == host)
+    return sure if host is None else sure | _is_host(host)
 
 
-def relabelled(host: str | None = None) -> Column:
+def relabelled(host: Hosts = None) -> Column:
     label = F.col("prediction").cast("int")
-    return label if host is None else F.when(F.col("source_ip") == host, 0).otherwise(label)
+    return label if host is None else F.when(_is_host(host), 0).otherwise(label)
+
+
+def with_hosts(events: DataFrame, hosts: DataFrame) -> tuple[DataFrame, Column]:
+    """Events joined to a table of trusted hosts, and the condition that a row is of one.
+
+    The table (`source_ip`, repeated rows count once) may have any size; sources that are
+    null are no host.
+    """
+    known = hosts.select("source_ip").distinct().withColumn("_trusted", F.lit(True))
+    return events.join(known, "source_ip", "left"), F.coalesce("_trusted", F.lit(False))
 
 
-def _training_rows(events: DataFrame, host: str | None, extra: Sequence[str] = ()) -> DataFrame:
+def _training_rows(events: DataFrame, host: Hosts, extra: Sequence[str] = ()) -> DataFrame:
     return events.select(
         *extra, "source_ip", *FEATURE_COLUMNS, relabelled(host).alias("label")
     )
@@ -62,14 +82,14 @@ def _pending(events: DataFrame, ledger: DataFrame, as_of: Column) -> DataFrame:
 
 
 def sanitized_batch(
-    events: DataFrame, ledger: DataFrame, as_of: Column, p: Profile, host: str | None = None
+    events: DataFrame, ledger: DataFrame, as_of: Column, p: Profile, host: Hosts = None
 ) -> DataFrame:
     """Confident unprocessed rows of the batches up to the snapshot, with their labels."""
     pending = _pending(events, ledger, as_of)
     return _training_rows(pending.filter(confident(p, host)), host, ("time",))
 
 
-def processed_batches(events: DataFrame, ledger: DataFrame, as_of: Column, p: Profile, host: str | None = None) -> DataFrame:
+def processed_batches(events: DataFrame, ledger: DataFrame, as_of: Column, p: Profile, host: Hosts = None) -> DataFrame:
     """Batches to add to the ledger: every unprocessed one that ends by the snapshot.
 
     Nothing is marked when no confident row was selected.
@@ -86,7 +106,7 @@ def later_than(events: DataFrame, start: Column) -> Column:
 
 
 def adaptive_rows(
-    events: DataFrame, as_of: Column, p: Profile, host: str | None = None
+    events: DataFrame, as_of: Column, p: Profile, host: Hosts = None
 ) -> DataFrame:
     """Confident rows of the last days, processed or not."""
     since = as_of - F.make_dt_interval(days=F.lit(p.lookback_days))

@@ -18,8 +18,14 @@ LOOPBACK = "127.0.0.1"
 STATE = "source_ip string, posterior double, seen double"
 
 
-def without_hosts(df: DataFrame, hosts: Sequence[str] = ()) -> DataFrame:
-    """Leaves out the monitoring host and the loopback address."""
+def without_hosts(df: DataFrame, hosts: Sequence[str] | DataFrame = ()) -> DataFrame:
+    """Leaves out the monitoring hosts and the loopback address.
+
+    `hosts` are a few addresses or a table of any size with a `source_ip`.
+    """
+    if isinstance(hosts, DataFrame):
+        others = df.filter(F.col("source_ip") != LOOPBACK)
+        return others.join(hosts.select("source_ip"), "source_ip", "left_anti").select(*df.columns)
     return df.filter(~F.col("source_ip").isin(LOOPBACK, *hosts))
 
 
@@ -69,7 +75,10 @@ def sequential_posterior(rows: DataFrame, p: Profile, state: DataFrame | None =
 
 
 def verdicts(
-    scored: DataFrame, p: Profile, hosts: Sequence[str] = (), state: DataFrame | None = None
+    scored: DataFrame,
+    p: Profile,
+    hosts: Sequence[str] | DataFrame = (),
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Event rows out of classifier probabilities.
 

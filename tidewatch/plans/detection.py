@@ -23,7 +23,7 @@ def detect(
     p: Profile,
     model: EntropyModel,
     score: Score,
-    hosts: Sequence[str] = (),
+    hosts: Sequence[str] | DataFrame = (),
     state: DataFrame | None = None,
 ) -> DataFrame:
     """Event rows of one batch of packets; `score` adds the classifier probability."""
@@ -33,7 +33,7 @@ def detect(
 
 
 def score_by_day(
-    scored: DataFrame, events_path: str, p: Profile, hosts: Sequence[str] = ()
+    scored: DataFrame, events_path: str, p: Profile, hosts: Sequence[str] | DataFrame = ()
 ) -> DataFrame:
     """Scores a long history one day after the other and stores its events.
 

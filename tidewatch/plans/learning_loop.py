@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Profile
 from tidewatch.operators import learning, models
 from tidewatch.session import stage_path
-from tidewatch.sinks.events import append_ledger, read_events, read_ledger, write_training_batch
+from tidewatch.sinks.events import append_ledger, read_ledger, read_loose, write_training_batch
 from tidewatch.sources.schemas import FEATURE_COLUMNS
 
 
@@ -19,15 +19,18 @@ def sanitize(
     batch_path: str,
     as_of: Column,
     p: Profile,
-    host: str | None = None,
+    host: learning.Hosts | DataFrame = None,
 ) -> bool:
     """One sanitation run; False when no confident row was waiting.
 
     The batch is written before the ledger, so a run that fails in between selects the
-    same rows again.
+    same rows again. Segments hold processed batches only and are not opened.
+    `host` is an address, a condition on the events or a table of trusted hosts.
     """
     ledger = read_ledger(spark, ledger_path)
-    events = learning.waiting_only(read_events(spark, events_path), ledger)
+    events = learning.waiting_only(read_loose(spark, events_path), ledger)
+    if isinstance(host, DataFrame):
+        events, host = learning.with_hosts(events, host)
     batch = learning.sanitized_batch(events, ledger, as_of, p, host)
     marks = learning.processed_batches(events, ledger, as_of, p, host)
     if batch.isEmpty():
@@ -38,7 +41,11 @@ def sanitize(
 
 
 def training_set(
-    historical: DataFrame, events: DataFrame, as_of: Column, p: Profile, host: str | None = None
+    historical: DataFrame,
+    events: DataFrame,
+    as_of: Column,
+    p: Profile,
+    host: learning.Hosts | DataFrame = None,
 ) -> DataFrame:
     """History and recent confident events, balanced one to one.
 
@@ -47,6 +54,8 @@ def training_set(
     input is partitioned.
     """
     spark = events.sparkSession
+    if isinstance(host, DataFrame):
+        events, host = learning.with_hosts(events, host)
     recent = learning.adaptive_rows(events, as_of, p, host)
     rows = learning.union_labelled(historical, recent)
     path = stage_path(spark, "training-rows")
@@ -61,7 +70,7 @@ def retrain(
     p: Profile,
     root: str,
     version: int,
-    host: str | None = None,
+    host: learning.Hosts | DataFrame = None,
     iterations: int = 500,
 ) -> str | None:
     """Trains and publishes a classifier; None while benign rows are too few."""

@@ -22,8 +22,11 @@ def write_events(events: DataFrame, path: str, batch_id: int) -> None:
     """Stores one batch, partitioned by date and batch.
 
     A replayed batch overwrites exactly its own partitions, so a restart leaves no
-    duplicates. Rows without time, source or verdict are refused.
+    duplicates; one that compaction has taken up already is left as it is. Rows without
+    time, source or verdict are refused.
     """
+    if batch_id <= compacted_upto(events.sparkSession, path):
+        return
     rows = events.select(
         F.col("time"),
         "source_ip",
@@ -50,10 +53,53 @@ def write_events(events: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def folder_of(spark: SparkSession, path: str):
+    """File system and path object of a folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def numbered_folders(spark: SparkSession, path: str, key: str) -> dict[int, object]:
+    """The folders `key=<number>` below `path`, by number."""
+    files, folder = folder_of(spark, path)
+    found = [status.getPath() for status in files.listStatus(folder)] if files.exists(folder) else []
+    named = [p for p in found if p.getName().startswith(f"{key}=")]
+    return {int(p.getName().removeprefix(f"{key}=")): p for p in named}
+
+
+def segments(path: str) -> str:
+    """Where the compacted batches of an events table are."""
+    return f"{path}_segments"
+
+
+def compacted_upto(spark: SparkSession, path: str) -> int:
+    """The last batch that is read from a segment; below every batch if there is none."""
+    return max(numbered_folders(spark, segments(path), "upto"), default=-(2**63))
+
+
+def read_loose(spark: SparkSession, path: str) -> DataFrame:
+    """The events of the batches that no segment holds yet."""
+    prepare(spark)
+    stored = spark.read.schema(f"{EVENTS}, date date").parquet(path)
+    bound = compacted_upto(spark, path)
+    return stored.filter(F.col("ingest_batch_id") > bound) if bound > -(2**63) else stored
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events with their date partition; filter on `date` next to `time` to prune."""
+    """Events with their date partition; filter on `date` next to `time` to prune.
+
+    A batch comes from a segment or from its own files, never from both: one bound, read
+    once, decides for the whole plan. A segment that appears later does not change it.
+    """
     prepare(spark)
-    return spark.read.schema(f"{EVENTS}, date date").parquet(path)
+    stored = spark.read.schema(f"{EVENTS}, date date").parquet(path)
+    bound = compacted_upto(spark, path)
+    if bound == -(2**63):
+        return stored
+    packed = spark.read.schema(f"{EVENTS}, date date, upto bigint").parquet(segments(path))
+    return stored.filter(F.col("ingest_batch_id") > bound).unionByName(
+        packed.filter(F.col("upto") <= bound).drop("upto")
+    )
 
 
 def since(start: Column) -> Column:
@@ -116,15 +162,18 @@ def drop_expired(spark: SparkSession, path: str, as_of: Column, days: int) -> li
     """Removes the date partitions that lie wholly before the retention period.
 
     Directories are removed and nothing is rewritten: the files of kept days stay as they
-    are, and what the first kept day holds of the time before is left to `since`. Returns the
+    are, and what the first kept day holds of the time before is left to `since`. The days of
+    segments go the same way; an emptied segment stays as a mark of its bound. Returns the
     removed dates.
     """
     start = as_of - F.make_dt_interval(days=F.lit(days))
     first = spark.range(1).select(F.to_date(start).cast("string")).first()[0]
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    days_stored = {status.getPath().getName(): status.getPath() for status in files.listStatus(folder)}
-    expired = sorted(n for n in days_stored if n.startswith("date=") and n.removeprefix("date=") < first)
-    for name in expired:
-        files.delete(days_stored[name], True)
-    return [n.removeprefix("date=") for n in expired]
+    files, folder = folder_of(spark, path)
+    expired = set()
+    for parent in [folder, *numbered_folders(spark, segments(path), "upto").values()]:
+        for stored in [status.getPath() for status in files.listStatus(parent)]:
+            name = stored.getName()
+            if name.startswith("date=") and name.removeprefix("date=") < first:
+                files.delete(stored, True)
+                expired.add(name.removeprefix("date="))
+    return sorted(expired)

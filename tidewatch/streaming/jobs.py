@@ -93,7 +93,7 @@ class Streams:
     profile: Profile
     model: EntropyModel
     delay: str  # how late a packet may come; later ones are dropped and counted
-    hosts: tuple[str, ...] = ()
+    hosts: tuple[str, ...] | DataFrame = ()
     trigger: dict | None = None
 
     def table(self, name: str) -> str:
