@@ -247,6 +247,36 @@ def test_training_without_a_validation_part_runs_all_iterations(spark, rows):
     assert len(history) >= 2 and all(r["validation_accuracy"] is None for r in history)
 
 
+def far_apart(spark, n):
+    """Two classes on either side of a curve, with a tenth of the labels turned."""
+    base = noise(spark, n).drop("label")
+    a, b = F.col(FEATURE_COLUMNS[0]), F.col(FEATURE_COLUMNS[1])
+    turned = F.pmod(F.xxhash64(*FEATURE_COLUMNS), F.lit(10)) == 0
+    return base.withColumn("label", ((a + b > 10) != turned).cast("int"))
+
+
+@pytest.mark.parametrize("validation", [0, 10])
+def test_training_by_passes_reads_every_row_and_learns(spark, validation):
+    rows = far_apart(spark, 6000).persist()
+    fitted = models.fit_classifier(rows, [16, 8], iterations=40, validation_percent=validation, pass_rows=2000)
+    history = models.training_history(fitted).orderBy("iteration").collect()
+    assert len(history) <= 40 and history[-1]["loss"] < history[0]["loss"]
+    scored = fitted.score(rows)
+    assert scored.count() == 6000 and scored.filter("prediction = label").count() / 6000 > 0.85
+    # the passes and Spark's network agree on the layout of the weights
+    part = scored.limit(50).toPandas()
+    x = (part[FEATURE_COLUMNS].to_numpy() - fitted.mean) / fitted.std
+    layers = models._layers(fitted.network.weights.toArray(), [len(FEATURE_COLUMNS), 16, 8, 2])
+    assert models._outputs(x, layers)[-1][:, 1] == pytest.approx(part["probability"].to_numpy(), abs=1e-9)
+    if not validation:
+        assert len(history) == 40
+        return
+    identity = F.concat_ws("|", *[F.col(c).cast("string") for c in FEATURE_COLUMNS], "label")
+    held = scored.filter(learning.in_test_split(identity, 10, models.VALIDATION_SEED))
+    right = held.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right == pytest.approx(max(r["validation_accuracy"] for r in history))
+
+
 def frame(spark, linktype, hexa):
     return spark.createDataFrame([(1, T0, linktype, bytearray.fromhex(hexa))], "packet_id bigint, ts timestamp, linktype int, frame binary")
 
