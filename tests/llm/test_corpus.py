@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,29 @@ def test_quality(spark, none):
     assert quality.score_quality(none, quality.fit_quality(none, labels)).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """The bad rows come last in the order of the id's hash, behind 23,000 others."""
+    ids = spark.range(30_000).select(F.col("id").alias("doc_id")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    bad = [r[0] for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(60).collect()]
+    text = F.when(F.col("doc_id").isin(bad), F.concat(F.lit("BUY!! BUY!! NOW!! "), "doc_id")).otherwise(
+        F.concat(F.lit("a calm line of words, number "), F.col("doc_id") % 97, F.lit(".")))
+    docs = ids.withColumn("text", text)
+    labels = ids.withColumn("quality", (~F.col("doc_id").isin(bad)).cast("int"))
+    got = {r["doc_id"]: r["predicted"] for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()}
+    assert {i for i, x in got.items() if x == 0} == set(bad)
+
+
+def test_quality_pairs_against_a_loop():
+    rng = np.random.default_rng(3)
+    good, bad, weights = rng.normal(size=(7, 4)), rng.normal(size=(5, 4)), rng.normal(size=4)
+    n, gradient, curvature = 0, np.zeros(4), np.zeros((4, 4))
+    for a in good:
+        for b in bad:
+            p = 1 / (1 + np.exp(-(a - b) @ weights))
+            n, gradient, curvature = n + 1, gradient + (p - 1) * (a - b), curvature + p * (1 - p) * np.outer(a - b, a - b)
+    assert quality.pair_sums(good, bad, weights) == pytest.approx(np.concatenate([[n], gradient, curvature.ravel()]))
+
+
 # ---- packing, pages, secrets -------------------------------------------------------------
 
 

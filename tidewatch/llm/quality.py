@@ -3,14 +3,16 @@
 A Bradley-Terry model: the chance that document a is preferred to document b is the
 logistic of the difference of their scores, and a score is linear in the features of a
 text. It is fitted on pairs of one document labelled good and one labelled bad, by
-logistic loss on feature differences. The cut is a quantile of the training scores: the
-share of bad labels. Scores are mapped to (0, 1) so that the cut lies at `CUT`.
+logistic loss on feature differences. All labelled rows take part: they are dealt into
+blocks by hash, and every good row of a block is paired with every bad one. The cut is a
+quantile of the scores of all these rows: the share of bad labels. Scores are mapped to
+(0, 1) so that the cut lies at `CUT`.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fold, id_text
+from tidewatch.llm.common import fold, id_text, staged
+from tidewatch.operators.selection import exact_quantiles
 
 CUT = 0.3
-SAMPLE_ROWS = 20_000
-PAIRS = 200_000
+BLOCK_ROWS = 1024
+# rows of the rarer class that a block gets on average; they are repeated where there are fewer
+BLOCK_RARE = 32
 HELD_OUT_MODULUS = 5
 
 
@@ -80,73 +84,120 @@ def features(text: bytes) -> list[float]:
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.record_batch({"quality": batch.column("quality"), "features": pa.array(rows, pa.list_(pa.float64()))})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "features": pa.array(rows, pa.list_(pa.float64()))})
 
 
-def _fit_pairs(differences: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Sum of `part` over all batches; one array a task reaches the driver."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [part(batch) for batch in batches if batch.num_rows]
+        if parts:
+            yield pa.record_batch({"sums": pa.array([np.sum(parts, 0)], pa.list_(pa.float64()))})
+
+    return np.sum([r["sums"] for r in rows.mapInArrow(summed, "sums array<double>").collect()], 0)
+
+
+def _blocks(rows: DataFrame, n: int, n_good: int, block_rows: int) -> DataFrame:
+    """The labelled rows in blocks of about `block_rows`, a row of lists each.
+
+    A class with too few rows for all blocks is repeated, so that the other one meets it in
+    every block: by hash, a block is left without it with a chance of about exp(-32).
+    """
+    blocks = -(-n // block_rows)
+    rare, rare_label = min((n_good, 1), (n - n_good, 0))
+    copies = min(blocks, -(-BLOCK_RARE * blocks // rare))
+    nth = F.when((F.col("quality") == 1).cast("int") == rare_label, copies).otherwise(1)
+    start = F.pmod(F.xxhash64("doc_id", "features"), F.lit(blocks))
+    return (
+        rows.withColumn("copy", F.explode(F.sequence(F.lit(0), nth - 1)))
+        .groupBy(((start + F.col("copy") * (blocks // copies)) % blocks).alias("block"))
+        .agg(F.collect_list(F.struct("quality", "features")).alias("rows"))
+    )
+
+
+def pair_sums(good: np.ndarray, bad: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Number of pairs, gradient and curvature of the logistic loss over all of them."""
+    p = 1 / (1 + np.exp(-np.clip((good @ weights)[:, None] - (bad @ weights)[None, :], -30, 30)))
+    gradient = good.T @ (p - 1).sum(1) - bad.T @ (p - 1).sum(0)
+    w = p * (1 - p)
+    mixed = good.T @ w @ bad
+    curvature = good.T @ (w.sum(1)[:, None] * good) + bad.T @ (w.sum(0)[:, None] * bad) - mixed - mixed.T
+    return np.concatenate([[p.size], gradient, curvature.ravel()])
+
+
+def _fit_pairs(blocks: DataFrame, center: np.ndarray, scale: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weights of least logistic loss on differences (good minus bad), by Newton steps."""
-    weights = np.zeros(differences.shape[1])
+    d = len(center)
+    weights = np.zeros(d)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(differences @ weights, -30, 30)))
-        gradient = differences.T @ (p - 1) / len(differences) + ridge * weights
-        curvature = (differences * (p * (1 - p))[:, None]).T @ differences / len(differences)
-        step = np.linalg.solve(curvature + ridge * np.eye(len(weights)), gradient)
+        def part(batch: pa.RecordBatch, weights: np.ndarray = weights) -> np.ndarray:
+            total = np.zeros(1 + d + d * d)
+            for block in batch.column("rows"):
+                rows = block.values
+                z = (_matrix(rows.field("features")) - center) / scale
+                good = rows.field("quality").to_numpy(zero_copy_only=False) == 1
+                total += pair_sums(z[good], z[~good], weights)
+            return total
+
+        sums = _summed(blocks, part)
+        gradient = sums[1:d + 1] / sums[0] + ridge * weights
+        curvature = sums[d + 1:].reshape(d, d) / sums[0]
+        step = np.linalg.solve(curvature + ridge * np.eye(d), gradient)
         weights = weights - step
         if np.abs(step).max() < 1e-6:
             break
     return weights
 
 
-def _slope(scores: np.ndarray, good: np.ndarray) -> float:
-    """The likeliest steepness of the logistic map whose cut is fixed."""
-    def loss(a: float) -> float:
-        z = np.where(good, 1, -1) * (a * scores + np.log(CUT / (1 - CUT)))
-        return float(np.logaddexp(0, -z).sum())
-
-    return float(min(np.geomspace(0.05, 20, 60), key=loss))
-
-
-def fit_quality(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS, seed: int = 11
-) -> QualityModel:
-    """Fits the ranking on at most `sample_rows` labelled rows and `pairs` of them.
+def fit_quality(docs: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> QualityModel:
+    """Fits the ranking on all labelled rows whose fold (crc32 of the id modulo 5) is not 0.
 
-    The rows are the first in hash order whose fold (crc32 of the id modulo 5) is not 0;
-    rows without a label are left out. If one class is missing, every document gets the
+    Rows without a label are left out. If one class is missing, every document gets the
     same score: above the cut without bad labels, below it without good ones.
     """
-    chosen = (
-        labels.filter(F.col("quality").isNotNull() & (fold(F.col("doc_id"), HELD_OUT_MODULUS) != 0))
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(sample_rows)
-    )
-    # bounded by sample_rows rows of two numbers
-    rows = (
-        id_text(docs)
-        .join(F.broadcast(chosen), "doc_id")
-        .select("text", "quality")
-        .mapInArrow(_with_features, "quality int, features array<double>")
-        .collect()
+    known = labels.filter(F.col("quality").isNotNull()).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")
     )
+    learnt = fold(F.col("doc_id"), HELD_OUT_MODULUS) != 0
+    # features are small, so the join moves no texts
+    found = id_text(docs).filter(learnt).mapInArrow(_with_features, "doc_id bigint, features array<double>")
+    rows = staged(found.join(known.filter(learnt), "doc_id"), "quality-rows")
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good")).first()
+    n, n_good = counts["n"], counts["good"]
     width = len(features(b""))
-    x = np.array([r["features"] for r in rows], float).reshape(-1, width)
-    good = np.array([r["quality"] == 1 for r in rows], bool)
-    if good.all() or not good.any():
-        flat = 0.0 if good.any() or not len(rows) else 10.0
+    if n_good in (0, n):
+        flat = 0.0 if n_good or not n else 10.0
         return QualityModel((0.0,) * width, (0.0,) * width, (1.0,) * width, flat, 1.0)
-    center, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    z = (x - center) / scale
-    order = np.lexsort((*z.T, good))
-    z, good = z[order], good[order]
-    rng = np.random.default_rng(seed)
-    a = rng.choice(np.flatnonzero(good), pairs)
-    b = rng.choice(np.flatnonzero(~good), pairs)
-    weights = _fit_pairs(z[a] - z[b])
-    scores = z @ weights
-    cut = float(np.quantile(scores, 1 - good.mean(), method="midpoint"))
+    center = _summed(rows, lambda b: _matrix(b.column("features")).sum(0)) / n
+    spread = _summed(rows, lambda b: ((_matrix(b.column("features")) - center) ** 2).sum(0)) / n
+    scale = np.maximum(np.sqrt(spread), 1e-9)
+    weights = _fit_pairs(staged(_blocks(rows, n, n_good, block_rows), "quality-blocks"), center, scale)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = ((_matrix(batch.column("features")) - center) / scale) @ weights
+            yield pa.record_batch({"quality": batch.column("quality"), "score": raw})
+
+    scores = staged(rows.mapInArrow(scored, "quality int, score double"), "quality-scores")
+    # the two ranks around the share of bad labels
+    at = (n - 1) * (1 - n_good / n)
+    ranks = [int(np.floor(at)), int(np.ceil(at))]
+    cut = float(np.mean(exact_quantiles(scores, ["score"], [(r + 0.5) / n for r in ranks])["score"]))
+    steep = np.geomspace(0.05, 20, 60)
+
+    def losses(batch: pa.RecordBatch) -> np.ndarray:
+        raw = batch.column("score").to_numpy() - cut
+        sign = np.where(batch.column("quality").to_numpy() == 1, 1, -1)
+        return np.array([np.logaddexp(0, -sign * (a * raw + np.log(CUT / (1 - CUT)))).sum() for a in steep])
+
+    # the likeliest steepness of the logistic map whose cut is fixed
+    slope = float(steep[np.argmin(_summed(scores, losses))])
     weights, center, scale = (tuple(map(float, v)) for v in (weights, center, scale))
-    return QualityModel(weights, center, scale, cut, _slope(scores - cut, good))
+    return QualityModel(weights, center, scale, cut, slope)
 
 
 def _scores(texts: list[bytes | None], model: QualityModel) -> np.ndarray:
