@@ -13,6 +13,7 @@ from tidewatch.config import SPARSE
 from tidewatch.sources.schemas import FEATURE_COLUMNS
 from tidewatch.operators import models
 from tidewatch.sinks.events import LOG_COLUMNS, write_once
+from tidewatch.streaming import state
 from tidewatch.streaming.jobs import MessageStreams, Streams
 
 COLUMNS = ["time", "source_ip", *FEATURE_COLUMNS, "probability", "prediction"]
@@ -128,6 +129,33 @@ def test_a_silent_source_is_forgotten_after_the_ttl(spark, tmp_path, days, remem
     assert (last["residual"] > 0) is remembered and (last["velocity"] > 0) is remembered
 
 
+@pytest.mark.parametrize("buckets", [1, 1024])
+def test_gaps_of_flows_that_share_a_bucket(spark, tmp_path, monkeypatch, buckets):
+    """Gaps over three batches, with flows of null parts; memory ends after the TTL."""
+    monkeypatch.setattr(state, "FLOW_BUCKETS", buckets)
+    ttl, t0 = 3600, 1_700_000_000
+    run = Streams(spark, str(tmp_path), replace(SPARSE, flow_ttl_seconds=ttl), FLOW_MODEL, "0 seconds")
+    flows = [("a", 1, "x", 80), ("a", 2, "x", 80), (None, None, "x", 80), ("b", 1, "x", 80)]
+    seen, want = {}, set()
+    for part, starts in enumerate([(t0, t0 + 600), (t0 + 1200, t0 + 9000), (t0 + 9600, t0 + 9900)]):
+        rows = []
+        for i, flow in enumerate(flows):
+            for at in starts:
+                if part == 1 and i == 3:  # silent for longer than the TTL
+                    continue
+                first, last, n = at + i, at + 30 + i, 2 + i
+                rows.append((at, *flow, first * 1_000_000, last * 1_000_000, n, i, part))
+                known = flow in seen and at - seen[flow] <= ttl
+                want.add((at, *flow, (last - first + (first - seen[flow] if known else 0)) * 1_000_000, n - 1 + known))
+                seen[flow] = last
+        spark.createDataFrame(rows, "at bigint, src_ip string, src_port int, dst_ip string, dst_port int, first_us bigint, last_us bigint, packets bigint, syn_count bigint, ack_count bigint").withColumn(
+            "window_start", F.timestamp_seconds("at")).drop("at").coalesce(1).write.mode("append").parquet(run.table("summaries"))
+        run.gaps().awaitTermination()
+    stored = spark.read.parquet(run.table("gaps")).withColumn("at", F.unix_timestamp("window_start"))
+    got = [tuple(r) for r in stored.select("at", "src_ip", "src_port", "dst_ip", "dst_port", "gap_us", "gap_count").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_late_rows_are_counted_over_many_batches(spark, tmp_path):
     """More batches than a query's progress log keeps."""
     spark.conf.set("spark.sql.shuffle.partitions", "1")

@@ -2,7 +2,8 @@
 
 Each processor sees the rows of one key in one micro-batch. Every input holds at most
 one row per key and window, so a group is bounded by the windows of the batch. A key that
-is silent for its TTL leaves no state behind.
+is silent for its TTL leaves no state behind. Flows, of which there are nearly as many as
+rows, are kept by buckets of their hash.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.config import Profile
@@ -20,6 +22,9 @@ from tidewatch.operators.volumetric import EntropyModel
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# fixed, as stored state is found by it
+FLOW_BUCKETS = 1024
+
 GAP_ROWS = (
     "window_start timestamp, src_ip string, src_port int, dst_ip string, dst_port int, "
     "syn_count bigint, ack_count bigint, gap_us bigint, gap_count bigint"
@@ -40,19 +45,43 @@ def micros(ts) -> int:
 
 
 class FlowGaps(StatefulProcessor):
-    """Last packet time per flow, forgotten after the TTL."""
+    """Last packet time of each flow of a bucket, forgotten after the TTL.
+
+    A flow has few rows in a batch, so a bucket of flows is a key: one state is read,
+    written and timed for all of them.
+    """
 
     def __init__(self, ttl_seconds: int):
         self.ttl_us = ttl_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us bigint")
+        self.last = handle.getValueState(
+            "last", "src_ip array<string>, src_port array<int>, dst_ip array<string>, dst_port array<int>, us array<bigint>"
+        )
+
+    def _read(self) -> dict[tuple, int]:
+        state = self.last.get()
+        return dict(zip(zip(*state[:4]), state[4])) if state is not None else {}
+
+    def _keep(self, last: dict[tuple, int], expired_ms: int) -> None:
+        """Stores the flows whose memory ends after the given time."""
+        last = {flow: us for flow, us in last.items() if self._expiry(us) > expired_ms}
+        if not last:
+            self.last.clear()
+            return
+        self.last.update((*([flow[i] for flow in last] for i in range(4)), list(last.values())))
+        self.handle.registerTimer(self._expiry(max(last.values())))
+
+    def _expiry(self, us: int) -> int:
+        return (us + self.ttl_us) // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        previous = self.last.get()[0] if self.last.exists() else None
+        last = self._read()
         out = []
         for row in sorted(rows, key=lambda r: r.window_start):
+            flow = (row.src_ip, row.src_port, row.dst_ip, row.dst_port)
+            previous = last.get(flow)
             remembered = previous is not None and row.start_us - previous <= self.ttl_us
             gap = row.last_us - row.first_us + (row.first_us - previous if remembered else 0)
             count = row.packets - 1 + (1 if remembered else 0)
@@ -69,15 +98,12 @@ class FlowGaps(StatefulProcessor):
                     gap_count=count,
                 )
             )
-            previous = row.last_us
-        self.last.update((previous,))
-        self.handle.registerTimer((previous + self.ttl_us) // 1000 + 1)
+            last[flow] = row.last_us
+        self._keep(last, timerValues.getCurrentWatermarkInMs())
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        expired_ms = expiredTimerInfo.getExpiryTimeInMs()
-        if self.last.exists() and (self.last.get()[0] + self.ttl_us) // 1000 + 1 <= expired_ms:
-            self.last.clear()
+        self._keep(self._read(), expiredTimerInfo.getExpiryTimeInMs())
         return iter([])
 
     def close(self) -> None:
@@ -238,7 +264,8 @@ class Posterior(Expiring):
 def flow_gaps(summaries: DataFrame, p: Profile) -> DataFrame:
     """`summaries` carries a watermark on window_start and start_us next to it."""
     use_rocksdb(summaries)
-    return summaries.groupBy(*FLOW_KEY).transformWithState(
+    bucket = F.pmod(F.xxhash64(*FLOW_KEY), F.lit(FLOW_BUCKETS))
+    return summaries.withColumn("bucket", bucket).groupBy("bucket").transformWithState(
         FlowGaps(p.flow_ttl_seconds), GAP_ROWS, "Append", "EventTime"
     )
 
